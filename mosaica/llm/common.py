@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 import weakref
@@ -59,11 +60,17 @@ def _release_all() -> None:
             pass
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Cuts lineage: writes df to the shared folder and reads it back, so a lost executor costs no recomputation."""
-    path = new_path(df.sparkSession, what)
+def stored(df: DataFrame, what: str, free: bool = False) -> DataFrame:
+    """Cuts lineage: writes df to the shared folder and reads it back, so a lost executor costs no recomputation.
+
+    free: asks the JVM to collect garbage then, so that Spark deletes the shuffle files that only df needed."""
+    path, spark, schema = new_path(df.sparkSession, what), df.sparkSession, df.schema
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if free:
+        del df
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def only(df: DataFrame, **kinds: str) -> DataFrame:
