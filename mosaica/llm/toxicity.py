@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MAX_LABELLED = 6000
+MAX_LABELLED = 4000
 SEQUENCE = 128
 SLOTS = 1 << 19  # of the hashed weights
 CHARS = 1_500_000  # of texts that are worked on at once
@@ -136,27 +136,28 @@ class Tagger:
         return 1 / (1 + np.exp(-np.clip(self.pooled(p, lengths) @ self.pool, -30, 30)))
 
 
-def _words(docs: list[list[str]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+def _words(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words, word numbers of the texts laid end to end, words of each text."""
     known: dict[str, int] = {}
-    ids = np.fromiter((known.setdefault(w, len(known)) for d in docs for w in d), np.int64)
-    return list(known), ids, np.array([len(d) for d in docs], np.int64)
+    parts = [np.array([known.setdefault(w, len(known)) for w in tokens(t)], np.int32) for t in texts]
+    return list(known), np.concatenate(parts) if parts else np.empty(0, np.int32), np.array([len(p) for p in parts], np.int64)
 
 
 def weak_labels(ids: np.ndarray, lengths: np.ndarray, toxic: np.ndarray, vocabulary: list[str]) -> np.ndarray:
     """Token labels from document labels: 1 in toxic documents where a feature of the word speaks for it."""
     which, slots = features(vocabulary)
     doc = np.repeat(np.arange(len(lengths)), lengths)
-    pairs = np.unique(doc * len(vocabulary) + ids)  # a word once a document
-    d, w = pairs // len(vocabulary), pairs % len(vocabulary)
     order = np.argsort(which, kind="stable")
     slots, sizes = slots[order], np.bincount(which, minlength=len(vocabulary))
     first = np.cumsum(sizes) - sizes
     counts = np.zeros((2, SLOTS))
-    for label in (0, 1):
-        some_d, some_w = d[toxic[d] == label], w[toxic[d] == label]
-        n = sizes[some_w]
-        at = np.repeat(first[some_w] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        counts[label] = np.bincount(np.unique(np.repeat(some_d, n) * SLOTS + slots[at]) % SLOTS, minlength=SLOTS)
+    at = 0
+    for label, n in zip(toxic.tolist(), lengths.tolist(), strict=True):  # a feature once a document
+        own = np.unique(ids[at : at + n])
+        at += n
+        k = sizes[own]
+        if len(own):
+            counts[label][np.unique(slots[np.repeat(first[own] - (np.cumsum(k) - k), k) + np.arange(k.sum())])] += 1
     n0, n1 = max(1, (toxic == 0).sum()), max(1, (toxic == 1).sum())
     odds = np.log((counts[1] + 0.5) / (n1 + 1)) - np.log((counts[0] + 0.5) / (n0 + 1))
     sure = odds - np.sqrt(1 / (counts[1] + 0.5) + 1 / (counts[0] + 0.5))
@@ -177,9 +178,7 @@ def fit(texts: list[str | None], toxic: list[int], odds: float | None = None, se
     held = np.random.default_rng(seed).random(len(y)) < CALIBRATION
     if min(np.bincount(y[held], minlength=2)) < 2 or min(np.bincount(y[~held], minlength=2)) < 2:
         held[:] = False
-    docs = [tokens(t) for t in texts]
-    own = [d for d, h in zip(docs, held, strict=True) if not h]
-    vocabulary, ids, lengths = _words(own)
+    vocabulary, ids, lengths = _words([t for t, h in zip(texts, held, strict=True) if not h])
     if not len(ids):
         return model
     gold = weak_labels(ids, lengths, y[~held], vocabulary)
@@ -200,11 +199,9 @@ def fit(texts: list[str | None], toxic: list[int], odds: float | None = None, se
     np.add.at(real, (g[:, :-1][mask[:, 1:]], g[:, 1:][mask[:, 1:]]), 1)
     starts = np.bincount(g[:, 0], minlength=2).astype(float)
     used = seq[mask]
-    share = np.bincount(ids[used], minlength=len(vocabulary))
     total = np.bincount(ids[used], gold[used], len(vocabulary))
     m = {k: 0.0 for k in "wbAs"}
     v = {k: 0.0 for k in "wbAs"}
-    del share
     for step in range(1, ITERATIONS + 1):
         e = model.emissions(vocabulary)[ids]
         p, trans, begun = model.marginals(e, seq, pairs=True)
@@ -223,7 +220,7 @@ def fit(texts: list[str | None], toxic: list[int], odds: float | None = None, se
             else:
                 model.s = model.s - move
     rows = held if held.any() else ~held
-    vocabulary, ids, lengths = _words([d for d, h in zip(docs, rows, strict=True) if h])
+    vocabulary, ids, lengths = _words([t for t, h in zip(texts, rows, strict=True) if h])
     x = model.pooled(model.marginals(model.emissions(vocabulary)[ids], chunks(lengths)) if len(ids) else np.empty(0), lengths)
     beta, prior = np.array([-2.0, 2.0, 1.0, 0.0, 1.0]), np.diag([0.01, 0.3, 0.3, 0.3, 0.3])
     centre = beta.copy()
@@ -254,10 +251,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED
 
 def tag(texts: list[str | None], model: Tagger) -> tuple[np.ndarray, list[np.ndarray]]:
     """Scores of the texts, and the marginals of their words."""
-    docs = [tokens(t) for t in texts]
-    vocabulary, ids, lengths = _words(docs)
+    vocabulary, ids, lengths = _words(texts)
     p = model.marginals(model.emissions(vocabulary)[ids], chunks(lengths)) if len(ids) else np.empty(0)
-    return model.score(p, lengths), np.split(p, np.cumsum(lengths)[:-1]) if len(docs) else []
+    return model.score(p, lengths), np.split(p, np.cumsum(lengths)[:-1]) if len(texts) else []
 
 
 def portions(texts: list[str | None]):
