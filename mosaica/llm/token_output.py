@@ -23,7 +23,6 @@ import os
 import re
 import struct
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +38,7 @@ BLOCK = 512
 PERCENTILE = 92
 SHARD_IDS = 1 << 21  # ids in a shard, but for a longer document
 END_ID = 0
-CACHE = 400_000  # pieces a worker remembers
+CACHE = 600_000  # pieces a worker remembers
 
 # The byte-level vocabulary's piece pattern for text within U+00FF, its classes written out.
 _L = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
@@ -49,17 +48,32 @@ _PIECES = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}
 
 
 # ---------------------------------------------------------------- tokenizer
+def _byte_letters() -> dict[int, str]:
+    """The printable character that byte-level BPE writes for each byte: itself where it is visible, else the next free one from U+0100."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(0x100 + i) for i, b in enumerate(hidden)}
+
+
 class _Pieces(dict):
-    """Ids by piece. Byte-level BPE never merges across pieces, so ids of a text are those of its pieces in turn."""
+    """Ids (as little-endian bytes) by piece. Byte-level BPE never merges across pieces, so a text's ids are its pieces' in turn.
+
+    Two generations: when the younger is full the elder goes, so pieces in use stay."""
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.model, self.letters, self.elder = tokenizer.model, _byte_letters(), {}
+        self.kind = "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
 
     def __missing__(self, piece):
-        if len(self) >= CACHE:
+        ids = self.elder.get(piece)
+        if ids is None:
+            spelled = piece.encode("utf-8").decode("latin-1").translate(self.letters)
+            ids = np.array([t.id for t in self.model.tokenize(spelled)], self.kind).tobytes()
+        if len(self) >= CACHE // 2:
+            self.elder = dict(self)
             self.clear()
-        ids = self[piece] = tuple(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+        self[piece] = ids
         return ids
 
 
@@ -76,8 +90,8 @@ def _tokenizer(path: str):
 def encode_text(text: str | None, path: str) -> np.ndarray:
     """Ids of one text, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them. Null: none.
 
-    Text beyond U+00FF, and text that spells a special token, goes to the library whole; other text is cut into
-    the pieces its pre-tokenizer would make, each encoded by the library once and remembered."""
+    Text beyond U+00FF, and text that spells a special token, goes to the library whole; other text is cut into the pieces
+    that its pre-tokenizer would make, and the library's model encodes each piece that is not remembered."""
     if not text:
         return np.empty(0, np.uint32)
     tokenizer, pieces, specials = _tokenizer(path)
@@ -87,7 +101,7 @@ def encode_text(text: str | None, path: str) -> np.ndarray:
     except UnicodeEncodeError:
         plain = False
     if plain:
-        return np.fromiter(chain.from_iterable(map(pieces.__getitem__, _PIECES.findall(text))), np.uint32)
+        return np.frombuffer(b"".join(map(pieces.__getitem__, _PIECES.findall(text))), pieces.kind).astype(np.uint32)
     return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
