@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 WIDE = T.DecimalType(38, 10)
+MOMENTS = (T.TimestampType, T.TimestampNTZType)
 _INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
@@ -162,8 +163,8 @@ def _plain(v: Value, other: Value) -> Value:
 
 def add(a: Value, b: Value) -> Value:
     ka, kb = a.kind, b.kind
-    if isinstance(ka, T.TimestampType) and isinstance(kb, T.DayTimeIntervalType) or isinstance(ka, T.DayTimeIntervalType) and isinstance(kb, (T.DayTimeIntervalType, T.TimestampType)):
-        return Value(a.col + b.col, ka if isinstance(ka, T.TimestampType) else kb)
+    if isinstance(ka, MOMENTS) and isinstance(kb, T.DayTimeIntervalType) or isinstance(ka, T.DayTimeIntervalType) and isinstance(kb, (T.DayTimeIntervalType, *MOMENTS)):
+        return Value(a.col + b.col, ka if isinstance(ka, MOMENTS) else kb)
     if a.string or b.string:
         return Value(F.concat(text(a), text(b)), T.StringType())
     if a.array and b.array:
@@ -176,7 +177,7 @@ def text(v: Value) -> Column:
 
 
 def subtract(a: Value, b: Value) -> Value:
-    if isinstance(a.kind, T.TimestampType) and isinstance(b.kind, (T.DayTimeIntervalType, T.TimestampType)):
+    if isinstance(a.kind, MOMENTS) and isinstance(b.kind, (T.DayTimeIntervalType, *MOMENTS)):
         return Value(a.col - b.col, a.kind if isinstance(b.kind, T.DayTimeIntervalType) else T.DayTimeIntervalType())
     return arithmetic("-", a, b)
 
@@ -193,7 +194,8 @@ def arithmetic(op: str, a: Value, b: Value) -> Value:
     elif op != "/" and all(isinstance(v.kind, _INTEGERS) for v in (a, b)):
         x, y, kind = x.cast("long"), y.cast("long"), T.LongType()
     else:
-        x, y, kind = x.cast(WIDE), y.cast(WIDE), WIDE
+        whole = all(isinstance(v.kind, _INTEGERS) for v in (a, b))
+        x, y, kind = (x.cast("decimal(19,0)"), y.cast("decimal(19,0)"), WIDE) if whole else (x.cast("decimal(28,10)"), y.cast("decimal(28,10)"), WIDE)
     out = {"+": lambda: x + y, "-": lambda: x - y, "*": lambda: x * y, "/": lambda: F.try_divide(x, y), "%": lambda: F.try_mod(x, y)}[op]()
     return Value(out.cast(kind) if kind == WIDE else out, kind)
 

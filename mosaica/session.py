@@ -388,7 +388,7 @@ class Session:
         """Rows to be written, against each other and the rest, for every unique index; NULL exempts."""
         t = self._own(name)
         for index in t.indexes.values():
-            columns = index["columns"]
+            columns = list(index["columns"])
             if index["kind"] != "unique" or not set(columns) <= set(df.columns):
                 continue
             some = df.dropna(subset=columns).select(ID, *columns)
