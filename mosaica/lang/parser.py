@@ -204,6 +204,8 @@ class Parser:
                 return self.branch()
             if w == "case":
                 return self.case()
+            if w in ("from", "where", "then", "else", "select", "join"):
+                self.fail("an expression")
             self.at += 1
             if self.is_op("(") and t.kind == "ident":
                 return n.Call(t.text.removeprefix("fn::"), self.arguments())
@@ -401,7 +403,11 @@ class Parser:
         return read() if read else n.Evaluate(self.expression())
 
     def _defines(self) -> bool:
-        return self.is_word("define", "alter") or self.is_word("table", "field", "index", "analyzer", "event", "user", "access", "database", "data", "ai", "jks", "namespace", k=1)
+        if self.is_word("define", "alter"):
+            return True
+        if self.is_op(":", k=2) or self.is_word("content", "set", "return", k=2):  # a record of a table so named
+            return False
+        return self.is_word("table", "field", "index", "analyzer", "event", "user", "access", "database", "data", "ai", "jks", "namespace", k=1)
 
     def _select(self):
         return self.select()

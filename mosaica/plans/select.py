@@ -57,7 +57,8 @@ class Planner:
             df = self.aggregate(s, rows)
             return Plan(self._window(s, df), s.value, s.only)
         rows = self.attach(rows, (s.fields, s.order))
-        order = s.order
+        named = {f.alias: f.expr for f in s.fields if f.alias}
+        order = tuple((named[e.name] if isinstance(e, n.Name) and e.name in named and rows.find(e.name) is None else e, down) for e, down in s.order)
         if not order and self._hybrid(s) and rows.score is not None:
             order = ((n.Call("search::score", ()), True),)
         keys = [k for e, down in order for k in sem.sort_key(lower(e, rows), down)]

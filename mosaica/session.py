@@ -220,6 +220,8 @@ class Session:
                 if self.evaluate(n.Unary("not", n.Unary("not", when)), params):
                     return self.evaluate(then, params)
             return self.evaluate(e.otherwise, params) if e.otherwise is not None else None
+        if isinstance(e, n.Call) and e.name.lower().startswith("kv::"):  # values keep their own types
+            return self.keys.call(e.name.lower(), [self.evaluate(a, params) for a in e.args])
         rows = Planner(self).attach(self.one_row(params), e)
         v = lower(e, rows)
         return _plain(rows.df.select(v.col.alias("v")).first()["v"]) if not v.null else None
