@@ -32,12 +32,14 @@ SHINGLE, PERCENT = 5, 80
 MOST_MATCHES = 4  # the largest l
 VERIFY_COST = 20.0  # of one verification, in postings read
 STARS = 2
+FEW = 32  # chunks of one text up to which its own shingles can be told from shared ones
+RARE = 16  # frequency up to which a shingle is rare
 PARTNERS = 2048  # that one task verifies against one node at a time
 
 COUNTS = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("raw", pa.binary()), ("n", pa.binary())])
 BACK = pa.schema([("chunk", pa.int32()), ("part", pa.int32()), ("raw", pa.binary()), ("n", pa.binary())])
-NODES = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("need", pa.int32()), ("lone", pa.int32()), ("tokens", pa.list_(pa.int64())), ("levels", pa.list_(pa.int32())), ("raw", pa.binary()), ("is_doc", pa.bool_())])
-NODES_SQL = "doc_id long, node long, n int, need int, lone int, tokens array<long>, levels array<int>, raw binary, is_doc boolean"
+NODES = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("need", pa.int32()), ("few", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int64())), ("levels", pa.list_(pa.int32())), ("rare", pa.list_(pa.bool_())), ("raw", pa.binary()), ("is_doc", pa.bool_())])
+NODES_SQL = "doc_id long, node long, n int, need int, few array<int>, tokens array<long>, levels array<int>, rare array<boolean>, raw binary, is_doc boolean"
 
 
 def lowered(text: str | None) -> list[bytes]:
@@ -85,7 +87,7 @@ def _sets(texts, k: int):
 
 
 def nodes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Rows of documents (is_doc: doc_id, node, n) and of nodes that may have links (tokens, levels, need, lone, raw), stored."""
+    """Rows of documents (is_doc: doc_id, node, n) and of nodes that may have links (tokens, levels, need, few, raw), stored."""
     narrow = common.only(docs, doc_id="long", text="string")
     chunks, parts = rolling.plan(narrow)
     text, deal = rolling.chunked(narrow, chunks), rolling.Deal.of(parts)
@@ -121,7 +123,7 @@ def nodes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFram
 
     def post(table: pa.Table, back: pa.Table) -> pa.Table:
         rows, held = _sets(table["text"], k)
-        out = [(doc_id, node, n, None, None, None, None, None, True) for doc_id, (n, node) in zip(table["doc_id"].to_pylist(), rows, strict=True)]
+        out = [(doc_id, node, n, None, None, None, None, None, None, True) for doc_id, (n, node) in zip(table["doc_id"].to_pylist(), rows, strict=True)]
         if back.num_rows:
             keys = np.concatenate([deal.unpack(p.as_py(), raw.as_py()) for p, raw in zip(back["part"], back["raw"], strict=True)])
             often = np.concatenate([np.frombuffer(x.as_py(), "<u2") for x in back["n"]]).astype(np.int64)
@@ -133,17 +135,18 @@ def nodes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFram
                 df = np.where(keys[at] == cut, often[at], 1)
                 need, places, levels = prefix(own, df, percent)
                 if len(levels) and levels[0] == 1:
-                    out.append((None, node, len(own), need, int((df == 1).sum()), own[places].astype(np.int64), levels, rolling.pack(own, 8), False))
-        return rolling.batch(NODES, *(zip(*out, strict=True) if out else [[]] * 9))
+                    out.append((None, node, len(own), need, np.bincount(df[df <= FEW], minlength=FEW + 1)[1:].astype(np.int32), own[places].astype(np.int64), levels, df[places] <= RARE, rolling.pack(own, 8), False))
+        return rolling.batch(NODES, *(zip(*out, strict=True) if out else [[]] * 10))
 
     by_chunk = lambda df: df.groupBy("chunk")
     known = by_chunk(text).applyInArrow(count, "part int, chunk int, raw binary, n binary").groupBy("part").applyInArrow(total, "chunk int, part int, raw binary, n binary")
     return common.stored(by_chunk(text).cogroup(by_chunk(known)).applyInArrow(post, NODES_SQL), "jaccard-nodes", free=True)
 
 
-def _alike(a: str, b: str, percent: int):
-    """Sizes that similar sets can have."""
-    return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
+def _alike(n1: str, own1: str, n2: str, own2: str, percent: int):
+    """Whether two sets can be similar: of n shingles, only ``own`` occur elsewhere, so they share the smaller of these at most."""
+    most = F.least(own1, own2)
+    return most * (100 + percent) >= (F.col(n1) + F.col(n2)) * percent
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -178,34 +181,42 @@ def links(found: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between nodes of ``nodes``: enough of them to join all nodes that any links join."""
     every = found.where("not is_doc")
     sets = every.groupBy("node").agg(F.first("raw").alias("raw"))
-    one = every.groupBy("node").agg(F.first(F.struct("n", "need", "lone", "tokens", "levels")).alias("s"))
-    postings = common.stored(
-        one.select("node", "s.n", "s.need", "s.lone", F.explode(F.arrays_zip("s.tokens", "s.levels")).alias("t")).select(F.col("t.tokens").alias("token"), "node", "n", "need", "lone", F.col("t.levels").alias("level")),
-        "jaccard-postings",
-    )
+    # A text that m chunks hold has counted m times for each of its shingles: those that count no more are its own alone.
+    one = every.groupBy("node").agg(F.count(F.lit(1)).cast("int").alias("m"), F.first(F.struct("n", "need", "few", "tokens", "levels", "rare")).alias("s"))
+    one = one.withColumn("lone", F.coalesce(F.get("s.few", F.col("m") - 1), F.lit(0))).where((F.col("s.n") - F.col("lone")) * 100 >= F.col("s.n") * percent)
+    # Two sets without a common rare shingle share at most what either has of others; two that have one meet in its list, as rare
+    # shingles come first in all prefixes. So lists of other shingles need only hold pairs up to that stricter bound ("own").
+    others = F.col("s.n") - F.aggregate(F.slice("s.few", 1, RARE), F.lit(0), lambda a, x: a + x)
+    posted = one.select("node", "s.n", "s.need", "lone", others.alias("others"), F.explode(F.arrays_zip("s.tokens", "s.levels", "s.rare")).alias("t"))
+    own = F.when(F.col("t.rare"), F.col("n") - F.col("lone")).otherwise(F.col("others"))
+    postings = common.stored(posted.select(F.col("t.tokens").alias("token"), "node", "n", "need", "lone", F.col("t.levels").alias("level"), F.col("t.rare").alias("rare"), own.alias("own")), "jaccard-postings")
     roots, parts = None, []
     for step in range(STARS + 1):
         # Postings of lists that still hold several components
         labelled = postings.withColumn("root", F.col("node")) if roots is None else postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         labelled = common.stored(labelled, "jaccard-labelled")
-        open_lists = labelled.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min(F.struct("lone", "node", "n", "root")).alias("c")).where("x <> y")
+        open_lists = labelled.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min(F.struct("lone", "node", "n", "root", "own")).alias("c")).where("x <> y")
         if step < STARS:
             joined = labelled.join(open_lists, "token")
-            pairs = joined.where((F.col("node") != F.col("c.node")) & (F.col("root") != F.col("c.root"))).select("token", "node", "n", F.col("c.node").alias("a"), F.col("c.n").alias("an"))
-            pairs = pairs.where(_alike("n", "an", percent)).select("a", F.col("node").alias("b")).distinct()
+            pairs = joined.where((F.col("node") != F.col("c.node")) & (F.col("root") != F.col("c.root"))).select("node", "n", "own", F.col("c.node").alias("a"), F.col("c.n").alias("an"), F.col("c.own").alias("aown"))
+            pairs = pairs.where(_alike("n", "own", "an", "aown", percent)).select("a", F.col("node").alias("b")).distinct()
             # A centre has now met its whole list: its posting goes
             postings = common.stored(joined.where(F.col("node") != F.col("c.node")).select(*postings.columns), "jaccard-postings")
         else:
             rest = common.stored(labelled.join(open_lists.select("token"), "token", "left_semi"), "jaccard-rest")
-            groups = rest.select("token", "root").distinct()
-            across = groups.alias("g").join(groups.alias("h"), (F.col("g.token") == F.col("h.token")) & (F.col("g.root") < F.col("h.root"))).select(F.col("g.token").alias("token"), F.col("g.root").alias("r1"), F.col("h.root").alias("r2"))
-            left = rest.select("token", F.col("root").alias("r1"), F.col("node").alias("a"), F.col("n").alias("an"), F.col("need").alias("aneed"), F.col("level").alias("alevel"))
-            right = rest.select("token", F.col("root").alias("r2"), F.col("node").alias("b"), F.col("n").alias("bn"), F.col("need").alias("bneed"), F.col("level").alias("blevel"))
-            met = across.join(left, ["token", "r1"]).join(right, ["token", "r2"]).where(_alike("an", "bn", percent))
+            # Pairs of components in a list, as far as their most similar members could be linked; then their members
+            group = lambda i: rest.groupBy("token", F.col("root").alias(f"r{i}")).agg(F.min("n").alias(f"n{i}"), F.max("own").alias(f"own{i}"), F.count(F.lit(1)).alias(f"m{i}"))
+            across = group(1).join(group(2), "token").where(F.struct("m1", "r1") > F.struct("m2", "r2")).where(_alike("n1", "own1", "n2", "own2", percent)).select("token", "r1", "r2")
+            # A pair is taken from the list of its first common shingle alone, and only if it matches often enough. That list still
+            # holds both: a closed one cannot, being of one component, and one that lost either to a star has had the pair tested.
+            arrays = common.stored(one.select("node", "s.tokens", "s.levels").join(rest.select("node").distinct(), "node", "left_semi"), "jaccard-prefixes")
+            whole = rest.join(arrays, "node")
+            side = lambda i, x: whole.select("token", F.col("root").alias(f"r{i}"), F.col("node").alias(x), *(F.col(c).alias(x + c) for c in ("n", "need", "own", "tokens", "levels")))
             need = F.least("aneed", "bneed")
-            # The count is whole: a closed list cannot hold both nodes, and one that lost either to a star has had the pair tested.
-            met = met.where((F.col("alevel") <= need) & (F.col("blevel") <= need))
-            pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.max(need).alias("need")).where(F.col("k") >= F.col("need")).select("a", "b")
+            within = lambda x: F.slice(f"{x}tokens", F.lit(1), F.size(F.filter(f"{x}levels", lambda level: level <= need)))
+            shared = F.array_intersect(within("a"), within("b"))
+            met = across.join(side(2, "b"), ["token", "r2"]).join(side(1, "a"), ["token", "r1"])  # the smaller one is spread first
+            pairs = met.where(_alike("an", "aown", "bn", "bown", percent) & (F.size(shared) >= need) & (F.get(shared, F.lit(0)) == F.col("token"))).select("a", "b")
         parts.append(verified(common.stored(pairs, "jaccard-pairs"), sets, percent))
         all_links = parts[0]
         for p in parts[1:]:
