@@ -7,7 +7,9 @@ import gc
 import tempfile
 import uuid
 import weakref
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +21,22 @@ _SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
 _written: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a context, so that their workers can import it wherever they start."""
+    context = spark.sparkContext
+    if getattr(context, "_mosaica_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    where = Path(tempfile.mkdtemp(prefix="mosaica-"))
+    with zipfile.ZipFile(where / "mosaica-package.zip", "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(where / "mosaica-package.zip"))
+    context._mosaica_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -78,6 +95,13 @@ def only(df: DataFrame, **kinds: str) -> DataFrame:
     return df.select(*(F.col(f"`{name}`").cast(kind).alias(name) for name, kind in kinds.items()))
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name that is not taken."""
+    while name in taken:
+        name += "_"
+    return name
+
+
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow for a function of one batch."""
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-REMEMBERED = 400_000  # words whose hash a worker remembers
+REMEMBERED = 120_000  # words whose hash a worker remembers
 
 
 class _Hashes(dict):

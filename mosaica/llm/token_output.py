@@ -65,6 +65,10 @@ class _Pieces(dict):
         self.model, self.letters, self.elder = tokenizer.model, _byte_letters(), {}
         self.kind = "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
 
+    def forget(self):
+        self.clear()
+        self.elder = {}
+
     def __missing__(self, piece):
         ids = self.elder.get(piece)
         if ids is None:
@@ -240,6 +244,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
                 n += len(ids)
         if held:
             yield shard()
+        _tokenizer(tokenizer)[1].forget()  # workers live on; what they remember would stay with them
 
     ordered.mapInArrow(run, SHARDS).write.option("compression", "none").parquet(path)
     return docs.sparkSession.read.schema(SHARDS).parquet(path)
