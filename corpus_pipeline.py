@@ -31,9 +31,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if again.isEmpty():
         return first
     rows = docs.join(again, docs["doc_id"].eqNullSafe(again["_again"]), "left_semi").select(*docs.columns)
-    rows = common.stored(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    apart = similarity.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).where("doc_id = component_id").select(F.col("doc_id").alias("_row"))
-    return first.union(rows.join(apart, "_row", "left_semi").select(*docs.columns))
+    number = common.fresh("row", docs.columns)
+    rows = common.stored(rows.withColumn(number, F.monotonically_increasing_id()), "rows")
+    apart = similarity.near_duplicates(rows.select(F.col(number).alias("doc_id"), "text")).where("doc_id = component_id").select(F.col("doc_id").alias(number))
+    return first.union(rows.join(apart, number, "left_semi").select(*docs.columns))
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

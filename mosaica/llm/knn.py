@@ -53,9 +53,9 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = K, max_pivots: int = MA
     rows without vec_id. Vectors of different lengths are no candidates of each other. Rows that repeat a vec_id are each a
     candidate (a query's own row is any row with its vec_id); a repeated query is answered once, for its smallest vector. Extra columns are ignored, an
     empty table gives no rows. To the driver go ``sample`` vectors at most and one summary a cell."""
-    valid = common.only(vectors, vec_id="long", embedding="array<double>").where("vec_id IS NOT NULL AND embedding IS NOT NULL").select("vec_id", quantised("embedding").alias("v"))
-    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    valid = valid.where(F.coalesce(finite, F.lit(False)))
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x * SCALE) < float("inf")))
+    named = common.only(vectors, vec_id="long", embedding="array<double>").where("vec_id IS NOT NULL AND embedding IS NOT NULL")
+    valid = named.where(F.coalesce(finite, F.lit(False))).select("vec_id", quantised("embedding").alias("v"))
     drawn = valid.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample).collect()
     total = valid.count()
     out = "query_id long, vec_id long, score long"

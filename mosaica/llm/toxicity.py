@@ -27,6 +27,7 @@ SLOTS = 1 << 19  # of the hashed weights
 CHARS = 1_500_000  # of texts that are worked on at once
 ITERATIONS, CALIBRATION = 45, 0.4
 THRESHOLD = 0.5
+LEAST = 0.05  # marginal from which a word counts for its document
 SURE = 2.3  # lower bound of the log odds of a feature that labels tokens
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -119,7 +120,9 @@ class Tagger:
         return (p, trans, np.array([1 - out[0].mean(), out[0].mean()]) * n) if pairs else p
 
     def pooled(self, p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Per document: 1, greatest marginal, log of the expected number of toxic words, their share, second greatest."""
+        """Per document: 1, greatest marginal, log of the expected number of toxic words, their share, second greatest.
+
+        Words below ``LEAST`` do not count: in a very long document they would add up."""
         out = np.zeros((len(lengths), 5))
         out[:, 0] = 1
         at = 0
@@ -127,7 +130,7 @@ class Tagger:
             if n:
                 own = p[at : at + n]
                 top = np.partition(own, n - 2)[-2:] if n > 1 else np.array([0.0, own[0]])
-                s = own.sum()
+                s = own[own >= LEAST].sum()
                 out[i, 1:] = top[1], np.log1p(s), min(1.0, 10 * s / n), top[0]
             at += n
         return out
@@ -206,7 +209,7 @@ def fit(texts: list[str | None], toxic: list[int], odds: float | None = None, se
         e = model.emissions(vocabulary)[ids]
         p, trans, begun = model.marginals(e, seq, pairs=True)
         miss = np.bincount(ids[used], p[used], len(vocabulary)) - total
-        grads = {"w": np.bincount(slots, miss[which], SLOTS) + 0.3 * model.w, "b": miss.sum(), "A": trans - real + 0.1 * model.A, "s": begun - starts + 0.1 * model.s}
+        grads = {"w": np.bincount(slots, miss[which], SLOTS) + 4.0 * model.w, "b": miss.sum(), "A": trans - real + 0.1 * model.A, "s": begun - starts + 0.1 * model.s}
         rates = {"w": 0.12, "b": 0.15, "A": 0.1, "s": 0.1}
         for k, grad in grads.items():
             m[k], v[k] = 0.85 * m[k] + 0.15 * grad, 0.95 * v[k] + 0.05 * grad**2
