@@ -51,13 +51,24 @@ def postings(df: DataFrame, key: str, terms: Column) -> DataFrame:
     return df.select(F.col(key), F.explode(terms).alias("term")).groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(df: DataFrame, terms: Column, query: list[str], name: str) -> DataFrame:
-    """df with a column of BM25 scores. Statistics are over all rows of df: one aggregate, whose single row joins as a broadcast."""
-    tagged = df.withColumn("__terms", terms)
+def holding(df: DataFrame, value: Column, terms: Column, query: list[str], lowercase: bool = True) -> DataFrame:
+    """Rows that hold all terms of the query. A term is part of the text it comes from, so plain substring tests go first and
+    spare most texts their analysis."""
+    if not query:
+        return df.where(F.lit(False))
+    for t in query:
+        df = df.where(F.contains(F.lower(value) if lowercase else value, F.lit(t)))
+    return df.where(F.forall(F.array(*map(F.lit, query)), lambda t: F.array_contains(terms, t)))
+
+
+def bm25(df: DataFrame, terms: Column, query: list[str], name: str, scored: DataFrame | None = None) -> DataFrame:
+    """``scored`` (rows of df, default all) with a column of BM25 scores. Statistics are over all rows of df: one aggregate, whose
+    single row joins as a broadcast."""
     n = F.size("__terms")
     stats = [F.sum(F.when(n > 0, 1).otherwise(0)).alias("__n"), F.avg(F.when(n > 0, n)).alias("__avg")]
     stats += [F.sum(F.when(F.array_contains("__terms", t), 1).otherwise(0)).alias(f"__df{i}") for i, t in enumerate(query)]
-    joined = tagged.crossJoin(F.broadcast(tagged.agg(*stats)))  # one row
+    whole = df.select(terms.alias("__terms")).agg(*stats)
+    joined = (df if scored is None else scored).withColumn("__terms", terms).crossJoin(F.broadcast(whole))  # one row
     score = F.lit(0.0)
     for i, t in enumerate(query):
         tf, d = frequency(F.col("__terms"), t).cast("double"), F.col(f"__df{i}")

@@ -210,13 +210,13 @@ class Planner:
         query = constants.text_of(lower(match.right, Rows(self.spark.range(1), self.session, params=rows.params)).col)
         terms = fulltext.analyze_query(query, **analyzer)
         columns = [rows.find(c) for c in index["columns"]]
-        value = fulltext.analyze(F.concat_ws(" ", *(sem.text(c) for c in columns if c is not None)), **analyzer)
+        body = F.concat_ws(" ", *(sem.text(c) for c in columns if c is not None))
+        value = fulltext.analyze(body, **analyzer)
         rows.terms = terms
         mine = hidden()
         wanted = any(isinstance(x, n.Call) and x.name.lower() == "search::score" for x in walk((s.fields, s.order))) or len(parts) == 2
-        if wanted:
-            rows.df = fulltext.bm25(rows.df, value, terms, mine)
-        rows.df = rows.df.where(F.forall(F.array(*map(F.lit, terms)), lambda t: F.array_contains(value, t)) if terms else F.lit(False))
+        found = fulltext.holding(rows.df, body, value, terms, analyzer["lowercase"])
+        rows.df = fulltext.bm25(rows.df, value, terms, mine, found) if wanted else found
         if not wanted:
             return None
         if len(parts) == 1:

@@ -57,8 +57,10 @@ class Session:
 
     def register(self, name: str, source: DataFrame | str, key: str | None = None) -> Session:
         """A DataFrame, or the Parquet files at a path, as a table. ``key``: the column that ``name:key`` compares with."""
-        df = self.spark.read.parquet(source) if isinstance(source, str) else source
-        self.tables[name] = Table(name, State(df), key)
+        if isinstance(source, str):
+            self.tables[name] = Table(name, key=key, source=lambda: self.spark.read.parquet(source))
+        else:
+            self.tables[name] = Table(name, State(source), key)
         return self
 
     def register_all(self, path: str, *names: str) -> Session:
@@ -92,7 +94,7 @@ class Session:
         return t if t.rows() is not None else Table(name, State(empty(self.spark, t.fields)), None, t.fields, t.indexes, t.permissions, t.schemafull, t.versions)
 
     def _own(self, name: str) -> Table:
-        return self.tables.setdefault(name, Table(name))
+        return self.tables.setdefault(name, Table(name)).opened()
 
     def _audit_rows(self, name: str) -> DataFrame:
         schema = "id string, time timestamp, user string, statement string, verdict string"
@@ -240,7 +242,7 @@ class Session:
             return None
         if s.op == "KILL":
             return self.feed.kill(str(self.evaluate(s.value, params)))
-        state = lambda: ({k: dict((x, t.state) for x, t in v.items()) for k, v in self.databases.items()}, self.edges, dict(self.keys.items))
+        state = lambda: ({k: dict((x, t.opened().state) for x, t in v.items()) for k, v in self.databases.items()}, self.edges, dict(self.keys.items))
         if s.op in ("BEGIN", "SAVEPOINT"):
             if s.op == "SAVEPOINT" and not self._stack:
                 raise Refused("no transaction")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -61,18 +62,25 @@ class Table:
     permissions: dict[str, object] = field(default_factory=dict)
     schemafull: bool = False
     versions: list[tuple[float, State]] = field(default_factory=list)
+    source: Callable[[], DataFrame] | None = None  # of the base, opened when first used
+
+    def opened(self) -> Table:
+        if self.source is not None:
+            self.state, self.source = State(self.source()), None
+        return self
 
     def rows(self) -> DataFrame | None:
-        return self.state.rows()
+        return self.opened().state.rows()
 
     def write(self, state: State) -> None:
-        if not self.versions:
+        if not self.opened().versions:
             self.versions.append((0.0, self.state))
         self.state = state
         self.versions.append((time.time(), state))
 
     def at(self, moment: float, before: bool) -> State:
         """As of a moment, or just before it; empty before the first version."""
+        self.opened()
         seen = [s for t, s in self.versions if t < moment or t == moment and not before]
         if not self.versions:
             return self.state
