@@ -170,6 +170,15 @@ class Session:
             raise TypeError("not a SELECT")
         return out
 
+    def sql(self, text: str, params: tuple = ()) -> DataFrame:
+        """Spark SQL over the session's tables, as they are now."""
+        for name, t in self.tables.items():
+            if name in text:
+                df = t.rows()
+                if df is not None:
+                    df.createOrReplaceTempView(name)
+        return self.spark.sql(text, args=list(params) or None)
+
     def rows(self, text: str, **params) -> object:
         """A SELECT's result as Python values: a list of dicts, of bare values for VALUE, one alone for ONLY or a record."""
         *before, last = parse(text)
