@@ -17,8 +17,10 @@ def _has(box: Value, item: Column, kind: T.DataType) -> Column:
 
 def _one(a: Value, v: Value) -> tuple[Value, Column]:
     """An array and an item, in one element type."""
-    a, b = same(a, Value(F.array(v.col), T.ArrayType(v.kind)) if not v.null else Value(F.array(F.lit(None)).cast(arr(a).kind), arr(a).kind))
-    return a, F.get(b.col, F.lit(0))
+    if v.null:
+        return arr(a), F.lit(None).cast(arr(a).kind.elementType)
+    a, b = same(a, Value(F.array(v.col), T.ArrayType(v.kind)))
+    return a, v.col.cast(b.kind.elementType)
 
 
 @function("array::add")
@@ -99,7 +101,7 @@ def first(a):
 @function("array::last")
 def last(a):
     a = arr(a)
-    return Value(F.try_element_at(a.col, F.lit(-1)), a.kind.elementType)
+    return Value(F.get(a.col, F.size(a.col) - 1), a.kind.elementType)
 
 
 @function("array::flatten")
