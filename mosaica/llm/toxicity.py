@@ -39,20 +39,25 @@ def tokens(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def features(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(word index, slot) of every feature of every word: identity, 3- to 5-grams of ^word$."""
-    if not vocabulary:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    raw = "".join(f"^{w}$" for w in vocabulary)
+WORDS = 40_000  # of a vocabulary whose features are made at once
+
+
+def features(vocabulary: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Slots of the features of every word (identity, 3- to 5-grams of ^word$), in blocks of words: (slots by word, features of each word)."""
+    return [_features(vocabulary[at : at + WORDS]) for at in range(0, len(vocabulary), WORDS)]
+
+
+def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    raw = "".join(f"^{w}$" for w in words)
     c = np.frombuffer(raw.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(7)
-    sizes = np.fromiter(map(len, vocabulary), np.int64, len(vocabulary)) + 2
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
     ends = np.cumsum(sizes)
     starts = ends - sizes
-    owner = np.repeat(np.arange(len(sizes)), sizes)
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     place = np.arange(len(c)) - starts[owner]
     powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(sizes.max()), _BASE)]), dtype=np.uint64)
-    slot = lambda h, salt: ((h + np.uint64(salt)) * _MIX >> np.uint64(45)).astype(np.int64) % SLOTS
-    which, slots = [np.arange(len(sizes))], [slot(np.add.reduceat(c * powers[place], starts), 11)]
+    slot = lambda h, salt: (((h + np.uint64(salt)) * _MIX >> np.uint64(45)) % np.uint64(SLOTS)).astype(np.int32)
+    which, slots = [np.arange(len(sizes), dtype=np.int32)], [slot(np.add.reduceat(c * powers[place], starts), 11)]
     h = c
     for n in range(2, 6):
         h = h[:-1] * _BASE + c[n - 1 :]
@@ -61,7 +66,13 @@ def features(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
         inside = owner[: len(h)] == owner[n - 1 :]
         which.append(owner[: len(h)][inside])
         slots.append(slot(h[inside], n))
-    return np.concatenate(which), np.concatenate(slots)
+    whose = np.concatenate(which)
+    return np.concatenate(slots)[np.argsort(whose, kind="stable")], np.bincount(whose, minlength=len(words))
+
+
+def summed(w: np.ndarray, blocks) -> np.ndarray:
+    """The sum of w over each word's features."""
+    return np.concatenate([np.add.reduceat(w[slots], np.cumsum(sizes) - sizes) for slots, sizes in blocks]) if blocks else np.empty(0)
 
 
 def chunks(lengths: np.ndarray) -> np.ndarray:
@@ -82,9 +93,9 @@ class Tagger:
         self.bias, self.A, self.s = -4.0, np.array([[1.0, -1.0], [0.0, 0.0]]), np.array([0.0, 0.0])
         self.pool = np.array([-3.0, 3.0, 0.0, 0.0, 0.0])
 
-    def emissions(self, vocabulary: list[str]) -> np.ndarray:
-        which, slots = features(vocabulary)
-        return self.bias + np.bincount(which, self.w[slots], len(vocabulary))
+    def emissions(self, blocks) -> np.ndarray:
+        """Of each word of a vocabulary, from its features."""
+        return self.bias + summed(self.w, blocks)
 
     def marginals(self, e: np.ndarray, seq: np.ndarray, pairs: bool = False):
         """Posterior of the toxic tag of each word; with pairs also summed transition and start posteriors."""
@@ -146,12 +157,10 @@ def _words(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
     return list(known), np.concatenate(parts) if parts else np.empty(0, np.int32), np.array([len(p) for p in parts], np.int64)
 
 
-def weak_labels(ids: np.ndarray, lengths: np.ndarray, toxic: np.ndarray, vocabulary: list[str]) -> np.ndarray:
+def weak_labels(ids: np.ndarray, lengths: np.ndarray, toxic: np.ndarray, blocks) -> np.ndarray:
     """Token labels from document labels: 1 in toxic documents where a feature of the word speaks for it."""
-    which, slots = features(vocabulary)
-    doc = np.repeat(np.arange(len(lengths)), lengths)
-    order = np.argsort(which, kind="stable")
-    slots, sizes = slots[order], np.bincount(which, minlength=len(vocabulary))
+    doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+    slots, sizes = (np.concatenate(x) for x in zip(*blocks, strict=True))
     first = np.cumsum(sizes) - sizes
     counts = np.zeros((2, SLOTS))
     at = 0
@@ -165,8 +174,7 @@ def weak_labels(ids: np.ndarray, lengths: np.ndarray, toxic: np.ndarray, vocabul
     odds = np.log((counts[1] + 0.5) / (n1 + 1)) - np.log((counts[0] + 0.5) / (n0 + 1))
     sure = odds - np.sqrt(1 / (counts[1] + 0.5) + 1 / (counts[0] + 0.5))
     good = (sure > SURE) & (counts[1] >= 3)
-    word = np.zeros(len(vocabulary), bool)
-    np.logical_or.at(word, which[order], good[slots])
+    word = summed(good.astype(np.int32), blocks) > 0
     return (word[ids] & (toxic[doc] == 1)).astype(np.float64)
 
 
@@ -184,7 +192,8 @@ def fit(texts: list[str | None], toxic: list[int], odds: float | None = None, se
     vocabulary, ids, lengths = _words([t for t, h in zip(texts, held, strict=True) if not h])
     if not len(ids):
         return model
-    gold = weak_labels(ids, lengths, y[~held], vocabulary)
+    blocks = features(vocabulary)
+    gold = weak_labels(ids, lengths, y[~held], blocks)
     seq = chunks(lengths)
     told = np.zeros(len(ids), bool)  # sequences of toxic documents that no token label explains say nothing
     doc = np.repeat(np.arange(len(lengths)), lengths)
@@ -196,7 +205,6 @@ def fit(texts: list[str | None], toxic: list[int], odds: float | None = None, se
     rest = np.flatnonzero(~pos)
     seq = np.concatenate([seq[pos], seq[rng.permutation(rest)[: max(2000, 4 * int(pos.sum()))]]])
     mask = seq >= 0
-    which, slots = features(vocabulary)
     real = np.zeros((2, 2))
     g = np.where(mask, gold[seq], 0).astype(int)
     np.add.at(real, (g[:, :-1][mask[:, 1:]], g[:, 1:][mask[:, 1:]]), 1)
@@ -206,10 +214,14 @@ def fit(texts: list[str | None], toxic: list[int], odds: float | None = None, se
     m = {k: 0.0 for k in "wbAs"}
     v = {k: 0.0 for k in "wbAs"}
     for step in range(1, ITERATIONS + 1):
-        e = model.emissions(vocabulary)[ids]
+        e = model.emissions(blocks)[ids]
         p, trans, begun = model.marginals(e, seq, pairs=True)
         miss = np.bincount(ids[used], p[used], len(vocabulary)) - total
-        grads = {"w": np.bincount(slots, miss[which], SLOTS) + 4.0 * model.w, "b": miss.sum(), "A": trans - real + 0.1 * model.A, "s": begun - starts + 0.1 * model.s}
+        slope, at = 4.0 * model.w.astype(np.float64), 0
+        for slots, sizes in blocks:
+            slope += np.bincount(slots, np.repeat(miss[at : at + len(sizes)], sizes), SLOTS)
+            at += len(sizes)
+        grads = {"w": slope, "b": miss.sum(), "A": trans - real + 0.1 * model.A, "s": begun - starts + 0.1 * model.s}
         rates = {"w": 0.12, "b": 0.15, "A": 0.1, "s": 0.1}
         for k, grad in grads.items():
             m[k], v[k] = 0.85 * m[k] + 0.15 * grad, 0.95 * v[k] + 0.05 * grad**2
@@ -222,9 +234,10 @@ def fit(texts: list[str | None], toxic: list[int], odds: float | None = None, se
                 model.A = model.A - move
             else:
                 model.s = model.s - move
+    del blocks, seq, gold, ids, told, used  # the calibration half takes their place
     rows = held if held.any() else ~held
     vocabulary, ids, lengths = _words([t for t, h in zip(texts, rows, strict=True) if h])
-    x = model.pooled(model.marginals(model.emissions(vocabulary)[ids], chunks(lengths)) if len(ids) else np.empty(0), lengths)
+    x = model.pooled(model.marginals(model.emissions(features(vocabulary))[ids], chunks(lengths)) if len(ids) else np.empty(0), lengths)
     beta, prior = np.array([-2.0, 2.0, 1.0, 0.0, 1.0]), np.diag([0.01, 0.3, 0.3, 0.3, 0.3])
     centre = beta.copy()
     for _ in range(25):
@@ -255,7 +268,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED
 def tag(texts: list[str | None], model: Tagger) -> tuple[np.ndarray, list[np.ndarray]]:
     """Scores of the texts, and the marginals of their words."""
     vocabulary, ids, lengths = _words(texts)
-    p = model.marginals(model.emissions(vocabulary)[ids], chunks(lengths)) if len(ids) else np.empty(0)
+    p = model.marginals(model.emissions(features(vocabulary))[ids], chunks(lengths)) if len(ids) else np.empty(0)
     return model.score(p, lengths), np.split(p, np.cumsum(lengths)[:-1]) if len(texts) else []
 
 

@@ -23,10 +23,13 @@ def test_marginals_against_all_paths():
     assert pairs[1, 0] == pytest.approx(sum(w * sum(a == 1 and b == 0 for a, b in itertools.pairwise(p)) for p, w in weight.items()) / z)
 
 
-def test_features_are_of_the_word():
-    which, slots = t.features(["abc", "héllo", "abc"])
-    assert sorted(slots[which == 0]) == sorted(slots[which == 2]) and len(slots[which == 0]) == 1 + 3 + 2 + 1
-    assert t.features([]) [0].size == 0
+def test_features_are_of_the_word(monkeypatch):
+    ((slots, sizes),) = t.features(["abc", "héllo", "abc"])
+    assert sizes.tolist() == [1 + 3 + 2 + 1, 1 + 5 + 4 + 3, 7] and sorted(slots[:7]) == sorted(slots[-7:])
+    monkeypatch.setattr(t, "WORDS", 2)
+    w = np.random.default_rng(1).normal(size=t.SLOTS)
+    assert t.summed(w, t.features(["abc", "héllo", "abc"])) == pytest.approx([w[slots[:7]].sum(), w[slots[7:20]].sum(), w[slots[:7]].sum()])
+    assert t.features([]) == [] and t.summed(w, []).size == 0
 
 
 def test_sequences_cover_each_word_once():
