@@ -129,12 +129,13 @@ class Automaton:
         return spans, items
 
 
-def _blocks(benchmark: DataFrame, window: int, block_words: int) -> list[list[tuple[str, str]]]:
-    """The items in blocks of so many words at most (one item at least); each block is fetched on its own."""
+def _blocks(benchmark: DataFrame, block_words: int):
+    """How many blocks of so many words at most (one item at least) the items make, and a function that fetches one of them."""
     items = common.only(benchmark, item_id="string", text="string").where("item_id IS NOT NULL AND text IS NOT NULL")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-chars // (block_words * 6)))
-    return [items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).orderBy("item_id", "text").collect() for k in range(n)] if n > 1 else [items.orderBy("item_id", "text").collect()]
+    part = lambda k: items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) if n > 1 else items
+    return n, lambda k: [(r[0], r[1]) for r in part(k).orderBy("item_id", "text").collect()]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -149,8 +150,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     schema = "doc_id long, n_words long, spans array<struct<start: int, stop: int>>, items array<string>"
     names = ["doc_id", "n_words", "spans", "items"]
 
-    def scan(source: DataFrame, block) -> DataFrame:
-        sent = spark.sparkContext.broadcast([(r[0], r[1]) for r in block])
+    def scan(source: DataFrame, block: list[tuple[str, str]]) -> DataFrame:
+        sent = spark.sparkContext.broadcast(block)
         held = {}
 
         def run(batch):
@@ -168,12 +169,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         return common.map_batches(source.select("doc_id", "text"), run, schema)
 
     narrow = common.only(docs, doc_id="long", text="string")
-    blocks = _blocks(benchmark, window, block_words)
-    if len(blocks) == 1:
-        out = scan(narrow, blocks[0])
+    n, fetch = _blocks(benchmark, block_words)
+    if n == 1:
+        out = scan(narrow, fetch(0))
     else:
         keyed = common.stored(narrow.withColumn("_row", F.monotonically_increasing_id()), "decontaminate")
-        parts = [scan(keyed.select(F.col("_row").alias("doc_id"), "text"), b) for b in blocks]
+        # one block at a time: its pass is written before the next one is fetched
+        parts = [common.stored(scan(keyed.select(F.col("_row").alias("doc_id"), "text"), fetch(k)), "decontaminate-block") for k in range(n)]
         every = parts[0]
         for p in parts[1:]:
             every = every.union(p)
@@ -209,8 +211,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     ``contamination``); of a benchmark beyond that bound each block makes its own pass over the documents."""
     fields, spark = docs.schema, docs.sparkSession
     out = docs
-    for block in _blocks(benchmark, window, BLOCK_WORDS):
-        sent = spark.sparkContext.broadcast([(r[0], r[1]) for r in block])
+    n, fetch = _blocks(benchmark, BLOCK_WORDS)
+    for k in range(n):
+        sent = spark.sparkContext.broadcast(fetch(k))
         held = {}
 
         def run(batch, sent=sent, held=held):
@@ -232,6 +235,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
             yield batch.filter(pa.array(keep, pa.bool_()))
 
         out = common.map_batches(out, run, fields)
+        if n > 1:
+            out = common.stored(out, "decontaminate-block")
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(fields["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
     return out
