@@ -27,6 +27,7 @@ from . import common
 MAGIC = b"WARC/1.1\r\n"
 MIN_BYTES = 1000
 FILE_BYTES = 16 << 20  # aimed at for one archive file
+MOST_BYTES = 1 << 30  # that no archive file exceeds (with one record at least), as readers take a file at a time
 RECORDS = "file string, at long, next long, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, sound boolean"
 
 
@@ -50,6 +51,7 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, file_byt
     are records of their own; among equal payloads with the same largest page_id each of those rows is a response. A null
     page_id is smaller than any other and its response refers to nothing.
 
+    Files hold as many records as their mean size allows, and no more than their largest size does.
     Only digests are grouped (with map-side partial aggregation); a payload that a third of all pages share makes one long
     run of the join on the digest, which adaptive execution splits, as that side is streamed."""
     base = common.only(pages, page_id="long", url="string", html="string").select(
@@ -68,8 +70,10 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, file_byt
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit("\r\n\r\n"),
         F.when(again, "").otherwise(F.col("html")),
     )
+    most, mean = base.agg(F.max("payload_bytes"), F.avg("payload_bytes")).first()
+    records_a_file = max(1, min(int(file_bytes // ((mean or 0) + 512)), MOST_BYTES // ((most or 0) + 4096)))
     records = kinds.withColumns({"record_type": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col("_first"))})
-    records.select(_record(block).alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", max(1, file_bytes // 4096)).text(path)
+    records.select(_record(block).alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", records_a_file).text(path)
 
 
 _ID = re.compile(rb"<urn:page:(-?\d+|null)>")
