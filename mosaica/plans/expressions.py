@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import semantics as sem
-from ..functions import call, constant
+from ..functions import FUNCTIONS, call, constant
 from ..functions.types import cast
 from ..lang import nodes as n
 from ..lang.render import render
@@ -309,7 +309,13 @@ def _call(e: n.Call, rows: Rows) -> Value:
         return rows.session.graph_call(name, e.args, rows)
     if name == "count" and len(e.args) == 1 and isinstance(e.args[0], n.Name) and e.args[0].name == "*":
         return literal(1)
-    return call(name, [lower(a, rows) for a in e.args])
+    args = [lower(a, rows) for a in e.args]
+    if name not in FUNCTIONS and args:  # value.method(...): the function of the value's kind
+        v = args[0]
+        family = "array" if v.array else "string" if v.string else "math" if v.number else "time" if isinstance(v.kind, sem.MOMENTS) else "object"
+        if f"{family}::{name}" in FUNCTIONS:
+            name = f"{family}::{name}"
+    return call(name, args)
 
 
 def _branch(e: n.Branch, rows: Rows) -> Value:

@@ -115,6 +115,8 @@ class Planner:
         rows = Rows(df, labels=labels, table=t.table, id_column="id" if "id" in df.columns else table.key, **base)
         if t.key is not None:
             key = lower(t.key, rows)
+            if not table.key and "id" not in df.columns:
+                raise Unsupported(f"{t.table} has neither an id column nor a key to read records by")
             if table.key:
                 rows.df = rows.df.where(sem.eq(Value(col(table.key), rows.kind(table.key)), key).col)
             else:

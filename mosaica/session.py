@@ -40,6 +40,7 @@ class Session:
         self.variables: dict[str, object] = {}
         self.definitions: dict[tuple[str, str], n.Define] = {}
         self.links: dict[str, Callable[[str], DataFrame]] = {}
+        self.link_keys: dict[str, str | None] = {}
         self.edges: DataFrame | None = None
         self.kinds: set[str] = set()
         self.auth_rules: list[str] = []
@@ -75,8 +76,11 @@ class Session:
         self.edges = some if self.edges is None else self.edges.union(some)
         return self
 
-    def link(self, name: str, reader: Callable[[str], DataFrame] | dict[str, str]) -> Session:
-        """A remote database: a reader of tables by name, or options of Spark's JDBC source. Filters are pushed to it by Spark."""
+    def link(self, name: str, reader: Callable[[str], DataFrame] | dict[str, str], key: str | None = None) -> Session:
+        """A remote database: a reader of tables by name, or options of Spark's JDBC source. Filters are pushed to it by Spark.
+
+        ``key``: the column that record keys (``name.table:key``) are compared with; default: ``id``."""
+        self.link_keys[name] = key
         if isinstance(reader, dict):
             options = dict(reader)
             self.links[name] = lambda table: self.spark.read.format("jdbc").options(**options).option("dbtable", table).load()
@@ -86,7 +90,7 @@ class Session:
 
     def table(self, name: str, db: str | None = None) -> Table:
         if db is not None and db in self.links:
-            return Table(name, State(self.links[db](name)))
+            return Table(name, State(self.links[db](name)), self.link_keys.get(db))
         if name in ("AUDIT_LOG", "AUDIT_CASES") and db is None:
             return Table(name, State(self._audit_rows(name)))
         tables = self.databases.setdefault((self.namespace, db), {}) if db is not None else self.tables
@@ -144,7 +148,9 @@ class Session:
         return any(re.fullmatch(re.escape(p.lower()).replace("%", ".*").replace("_", "."), column.lower()) for p in patterns)
 
     def as_of(self, table: Table, moment: str, what: str, before: bool) -> DataFrame:
-        """A table at a moment: ISO text, or milliseconds since 1970."""
+        """A table at a moment: ISO text, milliseconds since 1970, or the id that the audit log gives a statement."""
+        if what == "STATEMENT":
+            moment = next((r[1].replace(tzinfo=dt.UTC).isoformat() for r in self.audit if r[0] == moment), moment)
         at = float(moment) / 1000 if moment.replace(".", "", 1).isdigit() else dt.datetime.fromisoformat(moment.replace("Z", "+00:00")).replace(tzinfo=dt.UTC).timestamp()
         df = table.at(at, before).rows()
         return df if df is not None else empty(self.spark, table.fields)
@@ -157,9 +163,9 @@ class Session:
         for s in parse(text):
             try:
                 out = self.run(s)
-                self.audit.append((uuid.uuid4().hex, dt.datetime.now(), None, render(s), "SAFE"))
+                self.audit.append((uuid.uuid4().hex, dt.datetime.now(dt.UTC).replace(tzinfo=None), None, render(s), "SAFE"))
             except Refused:
-                self.audit.append((uuid.uuid4().hex, dt.datetime.now(), None, render(s), "WARNING"))
+                self.audit.append((uuid.uuid4().hex, dt.datetime.now(dt.UTC).replace(tzinfo=None), None, render(s), "WARNING"))
                 raise
         return out
 

@@ -207,3 +207,18 @@ def test_definitions(s):
     info = s.execute("INFO FOR TABLE t")
     assert "a" not in info["fields"] and "b" in info["fields"] and not info["indexes"]
     assert s.execute("DESCRIBE t")["fields"]["b"] == "string"
+
+
+def test_methods_and_statement_versions(s):
+    s.execute("CREATE t:1 SET name = 'ana', tags = [3, 1]")
+    assert s.rows("SELECT name.uppercase() AS a, tags.sort() AS b, tags.len() AS c FROM ONLY t:1") == {"a": "ANA", "b": [1, 3], "c": 2}
+    made = s.audit[-1][0]
+    s.execute("DELETE t:1")
+    assert s.rows(f"SELECT VALUE name FROM t AT (STATEMENT => '{made}')") == ["ana"]
+
+
+def test_remote_records(spark, sf):
+    s = Session(spark).link("far", lambda table: spark.read.parquet(f"{sf}/{table}.parquet"), key="n_nationkey")
+    assert s.rows("SELECT VALUE n_nationkey FROM far.nation:3") == 3
+    with pytest.raises(ValueError):
+        Session(spark).link("far", lambda table: spark.read.parquet(f"{sf}/{table}.parquet")).rows("SELECT * FROM far.nation:3")
