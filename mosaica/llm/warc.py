@@ -1,7 +1,7 @@
 """WARC archives: writing with revisit records, and reading by boundary-chain verification.
 
 Writing: one record a page. Payloads of ``min_bytes`` or more that are equal (SHA-1 and length) share one ``response`` record,
-that of the largest page_id; the others are ``revisit`` records that refer to it. Archives are plain WARC/1.1 files, written
+that of the largest page_id; the others are ``revisit`` records that refer to it. Archives are WARC/1.1 files under gzip, written
 by Spark's own text writer (records are UTF-8 throughout), so any Hadoop file system holds them and a retried task leaves
 nothing behind.
 
@@ -13,6 +13,7 @@ reaches, so magic inside payloads is rejected.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 
@@ -73,7 +74,7 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, file_byt
     most, mean = base.agg(F.max("payload_bytes"), F.avg("payload_bytes")).first()
     records_a_file = max(1, min(int(file_bytes // ((mean or 0) + 512)), MOST_BYTES // ((most or 0) + 4096)))
     records = kinds.withColumns({"record_type": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col("_first"))})
-    records.select(_record(block).alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", records_a_file).text(path)
+    records.select(_record(block).alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", records_a_file).option("compression", "gzip").text(path)
 
 
 _ID = re.compile(rb"<urn:page:(-?\d+|null)>")
@@ -123,6 +124,8 @@ def candidates(files: DataFrame) -> DataFrame:
     def run(batch):
         for path, content in zip(batch.column(0), batch.column(1), strict=True):
             data, rows = content.as_py(), []
+            if data[:2] == b"\x1f\x8b":
+                data = gzip.decompress(data)
             at = data.find(MAGIC)
             while at >= 0:
                 if (at == 0 or data[at - 4 : at] == b"\r\n\r\n") and (found := _parse(data, at)):
@@ -159,7 +162,7 @@ def reachable(at: np.ndarray, successor: np.ndarray) -> np.ndarray:
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Records of the archives under path, verified: page_id, record_type, refers_to, payload_bytes, payload_digest, sound.
 
-    ``sound`` tells whether a payload has the digest its header names. Offsets alone are brought together per file (some
+    Files may be plain or under gzip; offsets are those of the plain bytes. ``sound`` tells whether a payload has the digest its header names. Offsets alone are brought together per file (some
     16 bytes a record, bounded by the file's size); payloads stay where they are read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     found = common.stored(candidates(files), "warc-candidates")
