@@ -11,17 +11,17 @@ from . import common
 def components(links: DataFrame, rounds: int = 64) -> DataFrame:
     """(node, root) for every node of links (a, b): root is the smallest node that its links reach.
 
-    Every step is a partial aggregation (minimum per node) and a join against it, so a node of very many links is never brought
-    together in a task: its side of the join is a plain stream that adaptive execution can split. The number of steps grows
+    Every step is a partial aggregation (minimum per node), written, and a join against it, so a node of very many links is never
+    brought together in a task: its side of the join is a plain exchange that adaptive execution can split. The number of steps grows
     with the logarithm of the longest chain. Each step is written to the shared folder. Null ends and self links say nothing."""
     edges = common.stored(_clean(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "links")
     last = _print(edges)
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        least = common.stored(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "links")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = common.stored(_clean(large), "links")
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        least = common.stored(down.groupBy("u").agg(F.min("v").alias("m")), "links")
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         edges = common.stored(_clean(small), "links")
         now = _print(edges)

@@ -195,7 +195,10 @@ def links(found: DataFrame, percent: int = PERCENT) -> DataFrame:
         # Postings of lists that still hold several components
         labelled = postings.withColumn("root", F.col("node")) if roots is None else postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         labelled = common.stored(labelled, "jaccard-labelled")
+        # Written, so that the join below knows their size beforehand: few are broadcast without an exchange of the postings, many are
+        # met in a sort-merge join, whose skewed lists adaptive execution splits.
         open_lists = labelled.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min(F.struct("lone", "node", "n", "root", "own")).alias("c")).where("x <> y")
+        open_lists = common.stored(open_lists, "jaccard-lists")
         if step < STARS:
             joined = labelled.join(open_lists, "token")
             pairs = joined.where((F.col("node") != F.col("c.node")) & (F.col("root") != F.col("c.root"))).select("node", "n", "own", F.col("c.node").alias("a"), F.col("c.n").alias("an"), F.col("c.own").alias("aown"))
@@ -236,7 +239,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     roots = components(links(found, percent))
     rows = found.where("is_doc").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "node")
     some = rows.where("node IS NOT NULL").join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root"))
-    least = some.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    least = common.stored(some.groupBy("root").agg(F.min("doc_id").alias("component_id")), "jaccard-least")  # lets the join's skew be split
     return some.join(least, "root").select("doc_id", "n_shingles", "component_id").union(rows.where("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 

@@ -65,6 +65,7 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, file_byt
         .where("_n > 1")
         .drop("_n")
     )
+    groups = common.stored(groups, "warc-groups")  # a side of its own: only joins of plain exchanges have their skew split
     kinds = base.join(groups, (F.col("payload_digest") == F.col("_digest")) & (F.col("payload_bytes") == F.col("_bytes")), "left")
     again = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
     block = F.concat(
