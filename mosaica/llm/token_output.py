@@ -63,17 +63,17 @@ class _Pieces(dict):
     def __init__(self, tokenizer):
         super().__init__()
         self.model, self.letters, self.elder = tokenizer.model, _byte_letters(), {}
-        self.kind = "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-
-    def forget(self):
-        self.clear()
-        self.elder = {}
+        wide = 2 if tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.kind, self.spell = f"<u{wide}", [i.to_bytes(wide, "little") for i in range(tokenizer.get_vocab_size())]
 
     def __missing__(self, piece):
         ids = self.elder.get(piece)
         if ids is None:
-            spelled = piece.encode("utf-8").decode("latin-1").translate(self.letters)
-            ids = np.array([t.id for t in self.model.tokenize(spelled)], self.kind).tobytes()
+            if piece.isascii() and (piece[1:].isalnum() if piece[0] == " " else piece.isalnum()):  # most are; each letter is written as itself
+                spelled = self.letters[0x20] + piece[1:] if piece[0] == " " else piece
+            else:
+                spelled = piece.encode("utf-8").decode("latin-1").translate(self.letters)
+            ids = b"".join([self.spell[t.id] for t in self.model.tokenize(spelled)])
         if len(self) >= CACHE // 2:
             self.elder = dict(self)
             self.clear()
@@ -244,7 +244,6 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
                 n += len(ids)
         if held:
             yield shard()
-        _tokenizer(tokenizer)[1].forget()  # workers live on; what they remember would stay with them
 
     ordered.mapInArrow(run, SHARDS).write.option("compression", "none").parquet(path)
     return docs.sparkSession.read.schema(SHARDS).parquet(path)
