@@ -43,7 +43,7 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents beyond the end of the mix, all of them of sources above their weight, go."""
+    """All documents, in the order of the mix."""
     return mixing.mix(docs)
 
 

@@ -6,7 +6,9 @@ and due by slot ceil((b + 1) Q / q); earliest-deadline-first over the released b
 of slots each source is less than one block from its share. The schedule repeats after Q slots, so one period, made from the
 weights alone on the driver (Q entries, whatever the size of the data), places every block in closed form.
 
-The mix ends at the first slot whose source has run out; documents beyond it are not taken, so the weights hold to the end.
+A source that has run out leaves its later slots empty, and the mix goes on until every document is placed. Only where target
+weights are passed, or by ``whole=False``, does it end at the first slot whose source has run out; documents beyond it are then
+not taken, so the weights hold to the end.
 """
 
 from __future__ import annotations
@@ -50,7 +52,7 @@ def schedule(q: dict[str, int]) -> list[tuple[str, int]]:
     return out
 
 
-def _placed(docs: DataFrame, weights: dict[str, float] | None, block_chars: int, cap: float, period: int, extra: list[str]) -> DataFrame | None:
+def _placed(docs: DataFrame, weights: dict[str, float] | None, block_chars: int, cap: float, period: int, whole: bool | None, extra: list[str]) -> DataFrame | None:
     """docs' rows with source, size, block, release, deadline, slot, taken; None where there is no row."""
     base = docs.select(
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_source"),
@@ -73,6 +75,7 @@ def _placed(docs: DataFrame, weights: dict[str, float] | None, block_chars: int,
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources; mix by a coarser one")
     sizes = {r["_source"]: r.chars for r in totals}
+    whole = weights is None if whole is None else whole
     if weights is None:
         top = int(cap * sum(sizes.values()) / len(sizes))
         weights = {s: max(1, min(n, top)) for s, n in sizes.items()}
@@ -107,33 +110,39 @@ def _placed(docs: DataFrame, weights: dict[str, float] | None, block_chars: int,
         *extra, F.col("_source").alias("source_name"), F.col("_size").alias("size"), "block",
         F.expr(f"block * {Q} div _q").alias("release"), F.expr(f"((block + 1) * {Q} + _q - 1) div _q").alias("deadline"),
         F.expr(f"block div _q * {Q} + _slot").alias("slot"),
-    ).withColumn("taken", F.coalesce(F.col("slot") < end, F.lit(False)))
+    ).withColumn("taken", F.col("slot").isNotNull() if whole else F.coalesce(F.col("slot") < end, F.lit(False)))
 
 
-def plan_mix(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: int = BLOCK_CHARS, cap: float = CAP, period: int = PERIOD) -> DataFrame:
+def plan_mix(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: int = BLOCK_CHARS, cap: float = CAP, period: int = PERIOD, whole: bool | None = None) -> DataFrame:
     """Per document: doc_id, source, size, block, release, deadline, slot, taken. Order by (slot, block order) is the mix.
 
     ``weights`` by source; default: sizes in characters, cut at ``cap`` times the mean source. Sources without a weight are not
-    taken and have no slot. A null source counts as the source ``""``; null doc_ids come first in their source; null and empty
+    taken and have no slot. ``whole``: every document that has a slot is taken (default: where no weights are passed); else the
+    mix ends with the first source that runs out. A null source counts as the source ``""``; null doc_ids come first in their source; null and empty
     texts have size 0 and share the block at their place. Rows that repeat a doc_id are documents of their own, ordered by
     size. Extra columns are ignored; an empty table gives no rows."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    placed = _placed(narrow, weights, block_chars, cap, period, ["doc_id"])
+    placed = _placed(narrow, weights, block_chars, cap, period, whole, ["doc_id"])
     if placed is None:
         placed = narrow.select("doc_id", F.col("source").alias("source_name"), *(F.lit(0).cast("long").alias(n) for n in ("size", "block", "release", "deadline", "slot")), F.lit(False).alias("taken"))
     return placed.withColumnRenamed("source_name", "source")
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, **options) -> DataFrame:
-    """The rows of docs that the mix takes, all columns kept, in the mix's order within each file range.
+    """The rows of docs that the mix takes, all columns kept, in the mix's order from the first file to the last.
 
-    Which rows: those of ``plan_mix`` by doc_id; of rows that repeat a doc_id all are taken if the first of them is."""
-    taken = plan_mix(docs, weights, **options).where("taken").select(F.col("doc_id").alias("_taken")).distinct()
-    return docs.join(taken, docs["doc_id"].cast("long").eqNullSafe(taken["_taken"]), "left_semi").select(*docs.columns)
+    Which rows: those of ``plan_mix`` by doc_id; of rows that repeat a doc_id all are taken if the first of them is, at its
+    place."""
+    own, at = common.fresh("_taken", docs.columns), common.fresh("_at", docs.columns)
+    places = plan_mix(docs, weights, **options).where("taken").groupBy(F.col("doc_id").alias(own)).agg(F.min("slot").alias(at))
+    places = common.stored(places, "mix-places")  # a side of its own: only joins of plain exchanges have their skew split
+    placed = docs.join(places, docs["doc_id"].cast("long").eqNullSafe(places[own]))
+    order = (F.col(at), F.md5(F.col(own).cast("string")))
+    return placed.repartitionByRange(*order).sortWithinPartitions(*order).select(*(f"`{c}`" for c in docs.columns))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan_mix(common.table(spark, sf_dir, "documents"))
+    return plan_mix(common.table(spark, sf_dir, "documents"), whole=False)
 
 
 OP3_SQL = f"""

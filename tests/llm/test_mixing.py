@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline as p
 from mosaica.llm import mixing as m
 
 from ..oracle import compare, connect
@@ -71,6 +72,16 @@ def test_mix_takes_what_is_planned(spark, sf):
     assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == taken and 0 < len(taken) <= docs.count()
 
 
+def test_a_tiny_source_does_not_end_the_mix(spark):
+    rows = [(i, "x" * 100, "en", f"s{i % 3}", 100) for i in range(900)] + [(900, "x" * 100, "en", None, 100)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    plan = m.plan_mix(df, block_chars=100, period=20)
+    assert plan.where("taken").count() == 901
+    place = {r.doc_id: (r.slot, hashlib.md5(str(r.doc_id).encode()).hexdigest()) for r in plan.collect()}
+    assert [r.doc_id for r in m.mix(df, block_chars=100, period=20).collect()] == sorted(place, key=place.get)
+    assert p.mix_sources(spark, df, "").count() == 901
+
+
 def test_native(spark, sf):
     plan = m.op3_mixing(spark, sf)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "MapIn"))
