@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import common
 
 BLOCK_CHARS = 4096
-CAP = 4.0  # default weights: the source's size, at most so many times the mean source
+CAP = 4.0  # op3_mixing: a source weighs its size, at most so many times the mean source
 PERIOD = 10_000  # slots of a period, about
 MAX_SOURCES = 20_000
 BUCKET_ROWS = 2048
@@ -52,7 +52,7 @@ def schedule(q: dict[str, int]) -> list[tuple[str, int]]:
     return out
 
 
-def _placed(docs: DataFrame, weights: dict[str, float] | None, block_chars: int, cap: float, period: int, whole: bool | None, extra: list[str]) -> DataFrame | None:
+def _placed(docs: DataFrame, weights: dict[str, float] | None, block_chars: int, cap: float | None, period: int, whole: bool | None, extra: list[str]) -> DataFrame | None:
     """docs' rows with source, size, block, release, deadline, slot, taken; None where there is no row."""
     base = docs.select(
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_source"),
@@ -77,7 +77,7 @@ def _placed(docs: DataFrame, weights: dict[str, float] | None, block_chars: int,
     sizes = {r["_source"]: r.chars for r in totals}
     whole = weights is None if whole is None else whole
     if weights is None:
-        top = int(cap * sum(sizes.values()) / len(sizes))
+        top = max(sizes.values()) if cap is None else int(cap * sum(sizes.values()) / len(sizes))
         weights = {s: max(1, min(n, top)) for s, n in sizes.items()}
     weights = {s: w for s, w in weights.items() if s in sizes}
     q = shares(weights, period) if weights else {}
@@ -113,10 +113,10 @@ def _placed(docs: DataFrame, weights: dict[str, float] | None, block_chars: int,
     ).withColumn("taken", F.col("slot").isNotNull() if whole else F.coalesce(F.col("slot") < end, F.lit(False)))
 
 
-def plan_mix(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: int = BLOCK_CHARS, cap: float = CAP, period: int = PERIOD, whole: bool | None = None) -> DataFrame:
+def plan_mix(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: int = BLOCK_CHARS, cap: float | None = None, period: int = PERIOD, whole: bool | None = None) -> DataFrame:
     """Per document: doc_id, source, size, block, release, deadline, slot, taken. Order by (slot, block order) is the mix.
 
-    ``weights`` by source; default: sizes in characters, cut at ``cap`` times the mean source. Sources without a weight are not
+    ``weights`` by source; default: sizes in characters, cut at ``cap`` times the mean source if one is given. Sources without a weight are not
     taken and have no slot. ``whole``: every document that has a slot is taken (default: where no weights are passed); else the
     mix ends with the first source that runs out. A null source counts as the source ``""``; null doc_ids come first in their source; null and empty
     texts have size 0 and share the block at their place. Rows that repeat a doc_id are documents of their own, ordered by
@@ -142,7 +142,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, **options) ->
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan_mix(common.table(spark, sf_dir, "documents"), whole=False)
+    return plan_mix(common.table(spark, sf_dir, "documents"), cap=CAP, whole=False)
 
 
 OP3_SQL = f"""

@@ -82,6 +82,14 @@ def test_a_tiny_source_does_not_end_the_mix(spark):
     assert p.mix_sources(spark, df, "").count() == 901
 
 
+def test_a_hot_source_is_taken_whole_and_spread_to_the_end(spark):
+    rows = [(i, "x" * 100, "en", "hot" if i % 2 else f"s{i % 20}", 100) for i in range(2000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    plan = m.plan_mix(df, block_chars=100).where("taken").orderBy("slot").collect()
+    assert len(plan) == 2000
+    assert all(80 < sum(r.source == "hot" for r in plan[a : a + 200]) < 120 for a in range(0, 2000, 200))
+
+
 def test_native(spark, sf):
     plan = m.op3_mixing(spark, sf)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "MapIn"))
