@@ -138,6 +138,43 @@ def _blocks(benchmark: DataFrame, block_words: int):
     return n, lambda k: [(r[0], r[1]) for r in part(k).orderBy("item_id", "text").collect()]
 
 
+def _scan(source: DataFrame, block: list[tuple[str, str]], window: int) -> DataFrame:
+    """Per row of (doc_id, text): doc_id, n_words, and the spans and items that one automaton finds."""
+    sent = source.sparkSession.sparkContext.broadcast(block)
+    held = {}
+    names = ["doc_id", "n_words", "spans", "items"]
+
+    def run(batch):
+        if not held:
+            held[0] = Automaton([(name, normalised(text)) for name, text in sent.value], window)
+        automaton, out = held[0], []
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            own = normalised(text.as_py())
+            spans, items = automaton.scan(own)
+            out.append((doc_id, len(own), [{"start": a, "stop": b} for a, b in spans], sorted({automaton.names[k] for k in items})))
+        cols = list(zip(*out, strict=True))
+        types = (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])), pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+
+    schema = "doc_id long, n_words long, spans array<struct<start: int, stop: int>>, items array<string>"
+    return common.map_batches(source.select("doc_id", "text"), run, schema)
+
+
+def _merged(numbered: DataFrame, n: int, fetch, window: int) -> DataFrame:
+    """Per row of (doc_id, text), doc_id being unique: what the automata of all blocks find in the text, stretches merged."""
+    # one block at a time: its pass is written before the next one is fetched
+    parts = [common.stored(_scan(numbered, fetch(k), window), "decontaminate-block") for k in range(n)]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.union(p)
+    merged = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    joined = F.expr(
+        "aggregate(spans, cast(array() as array<struct<start: int, stop: int>>), (a, s) -> if(size(a) > 0 and s.start <= element_at(a, -1).stop,"
+        " concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'stop', greatest(s.stop, element_at(a, -1).stop)))), array_append(a, s)))"
+    )
+    return merged.select("doc_id", "n_words", joined.alias("spans"), "items")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, items (sorted item_ids), spans ([start, stop) of hit words).
 
@@ -146,46 +183,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     Null or empty texts have no words. Null item_ids or texts take no part; rows that repeat an item_id are one item with the
     windows of each. Rows that repeat a doc_id are documents of their own (with several passes, those with equal texts are
     one computation each). Extra columns are ignored."""
-    spark = docs.sparkSession
-    schema = "doc_id long, n_words long, spans array<struct<start: int, stop: int>>, items array<string>"
-    names = ["doc_id", "n_words", "spans", "items"]
-
-    def scan(source: DataFrame, block: list[tuple[str, str]]) -> DataFrame:
-        sent = spark.sparkContext.broadcast(block)
-        held = {}
-
-        def run(batch):
-            if not held:
-                held[0] = Automaton([(name, normalised(text)) for name, text in sent.value], window)
-            automaton, out = held[0], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = normalised(text.as_py())
-                spans, items = automaton.scan(own)
-                out.append((doc_id, len(own), [{"start": a, "stop": b} for a, b in spans], sorted({automaton.names[k] for k in items})))
-            cols = list(zip(*out, strict=True))
-            types = (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
-
-        return common.map_batches(source.select("doc_id", "text"), run, schema)
-
     narrow = common.only(docs, doc_id="long", text="string")
     n, fetch = _blocks(benchmark, block_words)
     if n == 1:
-        out = scan(narrow, fetch(0))
+        out = _scan(narrow, fetch(0), window)
     else:
         keyed = common.stored(narrow.withColumn("_row", F.monotonically_increasing_id()), "decontaminate")
-        # one block at a time: its pass is written before the next one is fetched
-        parts = [common.stored(scan(keyed.select(F.col("_row").alias("doc_id"), "text"), fetch(k)), "decontaminate-block") for k in range(n)]
-        every = parts[0]
-        for p in parts[1:]:
-            every = every.union(p)
-        merged = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        joined = F.expr(
-            "aggregate(spans, cast(array() as array<struct<start: int, stop: int>>), (a, s) -> if(size(a) > 0 and s.start <= element_at(a, -1).stop,"
-            " concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'stop', greatest(s.stop, element_at(a, -1).stop)))), array_append(a, s)))"
-        )
-        rows = merged.select(F.col("doc_id").alias("_row"), "n_words", joined.alias("spans"), "items")
-        out = keyed.select("_row", "doc_id").join(rows, "_row").select(*names)
+        rows = _merged(keyed.select(F.col("_row").alias("doc_id"), "text"), n, fetch, window).withColumnRenamed("doc_id", "_row")
+        out = keyed.select("_row", "doc_id").join(rows, "_row")
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + (s["stop"] - s["start"]).cast("long"))
     return out.select("doc_id", "n_words", hit.alias("n_hit"), "items", "spans")
 
@@ -204,39 +209,53 @@ def clean_text(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     return b"".join(parts).decode("utf-8", "surrogatepass")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Documents with contaminated stretches cut out; a document covered beyond ``max_coverage`` goes altogether.
 
     Keeps the columns of docs. Documents without a hit are kept as they are. The automaton is in one broadcast (see
-    ``contamination``); of a benchmark beyond that bound each block makes its own pass over the documents."""
-    fields, spark = docs.schema, docs.sparkSession
-    out = docs
-    n, fetch = _blocks(benchmark, BLOCK_WORDS)
-    for k in range(n):
-        sent = spark.sparkContext.broadcast(fetch(k))
+    ``contamination``), and documents stay where they are; of a benchmark beyond that bound each block makes its own pass over
+    the uncut documents, and the merged stretches of all blocks are judged and cut once."""
+    fields, columns, spark = docs.schema, docs.columns, docs.sparkSession
+
+    def cut(batch, spans_of):
+        """The batch without its covered documents, the others cut; spans_of: row number and text to (stretches, words)."""
+        k = batch.schema.get_field_index("text")
+        texts, keep, changed = batch.column(k).to_pylist(), [], False
+        for i, text in enumerate(texts):
+            spans, n_words = spans_of(i, text)
+            if spans:
+                if sum(b - a for a, b in spans) > max_coverage * n_words:
+                    keep.append(False)
+                    continue
+                texts[i], changed = clean_text(text, spans), True
+            keep.append(True)
+        if changed:
+            batch = batch.set_column(k, batch.schema.field(k), pa.array(texts, batch.schema.field(k).type))
+        return batch.filter(pa.array(keep, pa.bool_()))
+
+    n, fetch = _blocks(benchmark, block_words)
+    if n == 1:
+        sent = spark.sparkContext.broadcast(fetch(0))
         held = {}
 
-        def run(batch, sent=sent, held=held):
+        def run(batch):
             if not held:
                 held[0] = Automaton([(name, normalised(text)) for name, text in sent.value], window)
-            k = batch.schema.get_field_index("text")
-            texts, keep, changed = batch.column(k).to_pylist(), [], False
-            for i, text in enumerate(texts):
-                own = normalised(text)
-                spans, _ = held[0].scan(own)
-                if spans:
-                    if sum(b - a for a, b in spans) > max_coverage * len(own):
-                        keep.append(False)
-                        continue
-                    texts[i], changed = clean_text(text, spans), True
-                keep.append(True)
-            if changed:
-                batch = batch.set_column(k, batch.schema.field(k), pa.array(texts, batch.schema.field(k).type))
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-        out = common.map_batches(out, run, fields)
-        if n > 1:
-            out = common.stored(out, "decontaminate-block")
+            own = lambda i, text: (held[0].scan(words := normalised(text))[0], len(words))
+            yield cut(batch, own)
+
+        out = common.map_batches(docs, run, fields)
+    else:
+        row, where, words = (common.fresh(x, columns) for x in ("_row", "_spans", "_words"))
+        keyed = common.stored(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate")
+        found = _merged(keyed.select(F.col(row).alias("doc_id"), "text"), n, fetch, window).where(F.size("spans") > 0)
+        found = common.stored(found.select(F.col("doc_id").alias(row), F.col("spans").alias(where), F.col("n_words").alias(words)), "decontaminate-spans")
+
+        def run(batch):
+            spans, sizes = batch.column(batch.schema.get_field_index(where)).to_pylist(), batch.column(batch.schema.get_field_index(words)).to_pylist()
+            yield cut(batch.select(columns), lambda i, text: ([(s["start"], s["stop"]) for s in spans[i] or ()], sizes[i]))
+
+        out = common.map_batches(keyed.join(found, row, "left"), run, fields)
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(fields["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
     return out

@@ -1,5 +1,6 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from mosaica.llm import decontaminate as d
 
@@ -58,6 +59,20 @@ def test_removal(spark):
     assert got[1].n_chars == len(got[1].text) and got[3].text == "clean" and got[4].text is None
 
 
+def test_several_blocks_remove_what_one_does(spark):
+    passage = lambda k, n=12: " ".join(f"w{k}_{j}" for j in range(n))
+    overlap = [(f"o{k}", " ".join(f"v{j}" for j in range(k * 6, k * 6 + 12))) for k in range(6)]
+    bench = spark.createDataFrame([(f"i{k}", passage(k)) for k in range(40)] + overlap, "item_id string, text string")
+    free = lambda n: " ".join(f"f{j}" for j in range(n))
+    rows = [(k, f"{passage(k)} {free(16)} {passage(k + 1)}") for k in range(0, 40, 2)]  # 24 of 40 words
+    rows += [(50, f"{free(99)} {' '.join(f'v{j}' for j in range(42))} end"), (51, f"w0_0 w0_1 w0_2 {passage(1)} {' '.join(f'w0_{j}' for j in range(3, 12))} {free(60)}"), (52, free(20)), (53, None), (None, passage(3)), (None, free(5))]
+    df = docs(spark, rows).withColumns({"_row": F.lit("x"), "_spans": F.lit(1)})
+    one = sorted((tuple(r) for r in d.decontaminate(df, bench).collect()), key=key)
+    many = d.decontaminate(df, bench, block_words=30)
+    assert many.columns == df.columns and sorted((tuple(r) for r in many.collect()), key=key) == one
+    assert {r[0] for r in one} == {50, 51, 52, 53, None} and len(one) == 5
+
+
 def test_awkward(spark, sf):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     df = awkward(spark)
