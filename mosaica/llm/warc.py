@@ -7,7 +7,7 @@ nothing behind.
 
 Reading: a payload may itself hold text that looks like a record. Tasks parse every place where the magic line stands and
 emit record-to-successor offsets; pointer jumping from offset 0 of each file then keeps only the records that the chain
-reaches, so magic inside payloads is rejected.
+reaches, so magic inside payloads is rejected. A chain that does not end where its file does raises: no record is lost unseen.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ MAGIC = b"WARC/1.1\r\n"
 MIN_BYTES = 1000
 FILE_BYTES = 16 << 20  # aimed at for one archive file
 MOST_BYTES = 1 << 30  # that no archive file exceeds (with one record at least), as readers take a file at a time
-RECORDS = "file string, at long, next long, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, sound boolean"
+RECORDS = "file string, at long, next long, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, sound boolean, size long"
 
 
 def _record(block: Column) -> Column:
@@ -72,7 +72,9 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, file_byt
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit("\r\n\r\n"),
         F.when(again, "").otherwise(F.col("html")),
     )
-    most, mean = base.agg(F.max("payload_bytes"), F.avg("payload_bytes")).first()
+    sizes = F.col("payload_bytes") + F.coalesce(F.octet_length("url"), F.lit(0))
+    escaped = F.col("payload_bytes") + 3 * F.coalesce(F.octet_length("url"), F.lit(0)).cast("long")  # at most, with every character as %20
+    most, mean = base.agg(F.max(escaped), F.avg(sizes)).first()
     records_a_file = max(1, min(int(file_bytes // ((mean or 0) + 512)), MOST_BYTES // ((most or 0) + 4096)))
     records = kinds.withColumns({"record_type": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col("_first"))})
     records.select(_record(block).alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", records_a_file).option("compression", "gzip").text(path)
@@ -84,7 +86,7 @@ _ID = re.compile(rb"<urn:page:(-?\d+|null)>")
 def _parse(data: bytes, at: int) -> tuple | None:
     """(next, page_id, type, refers_to, payload bytes, digest, sound) of the record that would begin at this offset; None: no record."""
     split = data.find(b"\r\n\r\n", at)
-    if split < 0 or split - at > 1 << 16:
+    if split < 0:
         return None
     head = {}
     for line in data[at:split].split(b"\r\n")[1:]:
@@ -130,10 +132,12 @@ def candidates(files: DataFrame) -> DataFrame:
             at = data.find(MAGIC)
             while at >= 0:
                 if (at == 0 or data[at - 4 : at] == b"\r\n\r\n") and (found := _parse(data, at)):
-                    rows.append((path.as_py(), at, *found))
+                    rows.append((path.as_py(), at, *found, len(data)))
                 at = data.find(MAGIC, at + 1)
+            if data and (not rows or rows[0][1]):
+                raise ValueError(f"{path.as_py()}: no record at offset 0")
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True)], names=[x.split()[0] for x in RECORDS.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64()), strict=True)], names=[x.split()[0] for x in RECORDS.split(", ")])
 
     return common.map_batches(files.select("path", "content"), run, RECORDS)
 
@@ -169,9 +173,12 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     found = common.stored(candidates(files), "warc-candidates")
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.loc[reachable(pdf["at"].to_numpy(), pdf["next"].to_numpy()), ["file", "at"]]
+        kept = pdf[reachable(pdf["at"].to_numpy(), pdf["next"].to_numpy())]
+        if kept["next"].max() != pdf["size"].iloc[0]:
+            raise ValueError(f"{pdf['file'].iloc[0]}: the chain of records ends at offset {kept['next'].max()} of {pdf['size'].iloc[0]}")
+        return kept[["file", "at"]]
 
-    kept = found.select("file", "at", "next").groupBy("file").applyInPandas(chain, "file string, at long")
+    kept = found.select("file", "at", "next", "size").groupBy("file").applyInPandas(chain, "file string, at long")
     return found.join(kept, ["file", "at"], "left_semi").select("page_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "sound")
 
 

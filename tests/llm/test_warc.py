@@ -1,6 +1,8 @@
 import hashlib
+from pathlib import Path
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -39,6 +41,25 @@ def test_round_trip(spark):
     assert order(read(spark, pages)) == order(brute(pages))
 
 
+def test_long_urls(spark):
+    pages = [(i, "data:text/html," + "u" * (200_000 if i % 3 == 0 else 5), f"page {i}", 0) for i in range(20)]
+    assert order(read(spark, pages)) == order(brute(pages))
+
+
+def test_a_broken_chain_raises(spark):
+    path = common.new_path(spark, "warc")
+    record = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 1\r\n\r\nx\r\n\r\n"
+    where = Path(path.removeprefix("file://"))
+    where.mkdir(parents=True)
+    for data, whole in ((record * 3, True), (record + record.replace(b": 1", b": 9") + record, False), (b"x" + record, False), (record + b"rest", False)):
+        (where / "part-0").write_bytes(data)
+        if whole:
+            assert warc.read_warc(spark, path).count() == 3
+        else:
+            with pytest.raises(Exception, match="chain of records|no record at offset 0"):
+                warc.read_warc(spark, path).count()
+
+
 def test_empty(spark):
     assert read(spark, [(1, "u", "x", 0)]) == brute([(1, "u", "x", 0)])
     path = common.new_path(spark, "warc")
