@@ -176,6 +176,12 @@ def _geo_distance_join(spark, sf_dir):
     return geo.distance_join(a, b, ("alon", "alat"), ("blon", "blat"), 300_000.0).select("a", "b")
 
 
+@build("geo_distance_join_whole", None)
+def _geo_distance_join_whole(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", ((F.col("c_custkey") * 37 % 360) - 180).cast("double").alias("lon"), ((F.col("c_custkey") * 17 % 170) - 85).cast("double").alias("lat"))
+    return geo.distance_join(df.toDF("a", "alon", "alat"), df.toDF("b", "blon", "blat"), ("alon", "alat"), ("blon", "blat"), 300_000.0).select("a", "b")
+
+
 # ---------------------------------------------------------------- vectors
 _q = "[" + ", ".join(["0.1"] * 64) + "]"
 _ql = "[" + ", ".join(["0.1"] * 64) + "]::DOUBLE[]"
