@@ -85,6 +85,7 @@ ask("all_equal", "SELECT k FROM (SELECT c_custkey AS k, [c_custkey % 2, c_custke
 ask("any_equal", "SELECT k FROM (SELECT c_custkey AS k, [c_custkey % 2, c_custkey % 3] AS a FROM customer) WHERE a ?= 2", "SELECT c_custkey AS k FROM customer WHERE c_custkey % 3 = 2")
 ask("match_no_index", "SELECT doc_id FROM documents WHERE text @@ 'the er'", "SELECT doc_id FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), 'er')")
 ask("arith_mixed", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, l_linenumber ** 2 AS sq, l_linenumber % 3 AS m FROM lineitem WHERE l_linenumber <= 2", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, CAST(power(l_linenumber, 2) AS DOUBLE) AS sq, CAST(l_linenumber % 3 AS BIGINT) AS m FROM lineitem WHERE l_linenumber <= 2")
+ask("arith_mixed_whole", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, l_linenumber ** 2 AS sq, l_linenumber % 3 AS m FROM lineitem", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, CAST(power(l_linenumber, 2) AS DOUBLE) AS sq, CAST(l_linenumber % 3 AS BIGINT) AS m FROM lineitem")
 ask("arith_decimal", "SELECT n_nationkey, <string> (n_nationkey / 3) AS third FROM nation", "SELECT n_nationkey, CAST(CAST(round(n_nationkey * 10000000000::HUGEINT / 3.0, 0) / 10000000000 AS DECIMAL(38,10)) AS VARCHAR) AS third FROM nation")
 ask("arith_missing", f"SELECT k, x + 5 AS a, x * 5 AS b, x - 5 AS c FROM {_gaps}", f"SELECT k, coalesce(x, 5) + 5 AS a, coalesce(x, 5) * 5 AS b, coalesce(x, 5) - 5 AS c FROM {_gaps_sql}")
 ask("datetime_plus_duration", "SELECT event_id, ts + 1h30m AS later, ts - 1d AS before FROM events", "SELECT event_id, ts + INTERVAL '90 minutes' AS later, ts - INTERVAL '1 day' AS before FROM events")
@@ -93,6 +94,7 @@ ask("if_else", "SELECT o_orderkey, IF o_totalprice > 200000 THEN 'high' ELSE IF
 ask("block_expression", "SELECT n_nationkey, { LET $d = n_nationkey * 2; $d + 1 } AS v FROM nation", "SELECT n_nationkey, CAST(n_nationkey * 2 + 1 AS BIGINT) AS v FROM nation")
 ask("params", "LET $min = 20; SELECT n_name FROM nation WHERE n_nationkey >= $min", "SELECT n_name FROM nation WHERE n_nationkey >= 20")
 ask("array_where", "SELECT VALUE [n_nationkey, n_regionkey][WHERE value > 3] FROM nation WHERE n_nationkey < 10", "SELECT list_filter([n_nationkey, n_regionkey], lambda x: x > 3) AS value FROM nation WHERE n_nationkey < 10")
+ask("array_where_whole", "SELECT VALUE [n_nationkey, n_regionkey][WHERE value > 3] FROM nation", "SELECT list_filter([n_nationkey, n_regionkey], lambda x: x > 3) AS value FROM nation")
 
 # ---------------------------------------------------------------- order and limit
 ask("order_limit_start", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 START 5", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5")
@@ -232,6 +234,11 @@ def _highlight(spark, sf_dir):
     return searching(spark, sf_dir).query("SELECT doc_id, search::highlight(string::slice(text, 0, 40), '<b>', '</b>') AS h FROM documents WHERE text @@ 'the'")
 
 
+@build("highlight_whole", "SELECT doc_id, regexp_replace(text, '(the)', '<b>\\1</b>', 'gi') AS h FROM documents WHERE list_contains(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> ''), 'the')")
+def _highlight_whole(spark, sf_dir):
+    return searching(spark, sf_dir).query("SELECT doc_id, search::highlight(text, '<b>', '</b>') AS h FROM documents WHERE text @@ 'the'")
+
+
 @build("analyzer_terms", "SELECT p_partkey, list_transform(list_filter(regexp_split_to_array(lower(p_name), '[^\\p{L}\\p{N}_]+'), lambda x: x NOT IN ('', 'the')), lambda w: CASE WHEN suffix(w, 'ing') AND length(w) > 5 THEN left(w, -3) WHEN suffix(w, 'es') AND length(w) > 4 THEN left(w, -2) WHEN suffix(w, 'os') AND length(w) > 4 THEN left(w, -2) WHEN suffix(w, 'as') AND length(w) > 4 THEN left(w, -2) WHEN suffix(w, 's') AND length(w) > 3 THEN left(w, -1) ELSE w END) AS terms FROM part")
 def _analyzer_terms(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/part.parquet")

@@ -28,6 +28,11 @@ def test_distance_join_over_all_customers(spark, sf):
     assert len(want) > len(at) and sorted(tuple(r) for r in q.REGISTERED["geo_distance_join_whole"].run(spark, sf).collect()) == want
 
 
+def test_highlight_marks_the_whole_text(spark, sf):
+    out = q.REGISTERED["highlight_whole"].run(spark, sf).collect()
+    assert out and all("<b>" in r.h for r in out)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
