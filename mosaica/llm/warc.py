@@ -1,21 +1,22 @@
 """WARC archives: writing with revisit records, and reading by boundary-chain verification.
 
 Writing: one record a page. Payloads of ``min_bytes`` or more that are equal (SHA-1 and length) share one ``response`` record,
-that of the largest page_id; the others are ``revisit`` records that refer to it. Archives are WARC/1.1 files under gzip, written
-by Spark's own text writer (records are UTF-8 throughout), so any Hadoop file system holds them and a retried task leaves
-nothing behind.
-
-Reading: a payload may itself hold text that looks like a record. Tasks parse every place where the magic line stands and
-emit record-to-successor offsets; pointer jumping from offset 0 of each file then keeps only the records that the chain
-reaches, so magic inside payloads is rejected. A chain that does not end where its file does raises: no record is lost unseen.
+that of the largest page_id; the others are ``revisit`` records that refer to it. Archives are WARC/1.1 files, each record a gzip
+member of its own. Spark's text writer lays the members down, so any Hadoop file system holds them and a retried task leaves
+nothing behind; the line separator that this writer puts after each row is the zero byte that a member ends with.
+
+Reading: a payload may itself hold text that looks like a record. Tasks inflate archives piece by piece, parse every place
+where the magic line stands and emit record-to-successor offsets; pointer jumping from offset 0 of each file then keeps only the
+records that the chain reaches, so magic inside payloads is rejected. A chain that does not end where its file does raises: no
+record is lost unseen.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,9 @@ from . import common
 MAGIC = b"WARC/1.1\r\n"
 MIN_BYTES = 1000
 FILE_BYTES = 16 << 20  # aimed at for one archive file
-MOST_BYTES = 1 << 30  # that no archive file exceeds (with one record at least), as readers take a file at a time
+MOST_BYTES = 1 << 28  # that no archive file exceeds (with one record at least), as a reader task is given whole files
+LEVEL = 6  # of compression
+PIECE = 1 << 20  # bytes inflated at a time
 RECORDS = "file string, at long, next long, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, sound boolean, size long"
 
 
@@ -42,7 +45,23 @@ def _record(block: Column) -> Column:
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"),
         F.lit("\r\n\r\n"),
     )
-    return F.concat(head, block, F.lit("\r\n\r"))  # the writer ends each with the last \n
+    return F.concat(head, block, F.lit("\r\n\r\n"))
+
+
+def member(data: bytes, level: int = LEVEL) -> bytes:
+    """A gzip member of these bytes."""
+    z = zlib.compressobj(level, zlib.DEFLATED, 31)
+    return z.compress(data) + z.flush()
+
+
+_EMPTY = member(b"")
+
+
+def _cut_member(data: bytes) -> bytes:
+    """A gzip member short of its last byte, which is zero: the top byte of its length, where that is below 2^24. A larger one is
+    followed by an empty member, which ends so."""
+    whole = member(data)
+    return whole[:-1] if whole[-1] == 0 else whole + _EMPTY[:-1]
 
 
 def write_warc(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, file_bytes: int = FILE_BYTES) -> None:
@@ -77,19 +96,29 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, file_byt
     most, mean = base.agg(F.max(escaped), F.avg(sizes)).first()
     records_a_file = max(1, min(int(file_bytes // ((mean or 0) + 512)), MOST_BYTES // ((most or 0) + 4096)))
     records = kinds.withColumns({"record_type": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col("_first"))})
-    records.select(_record(block).alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", records_a_file).option("compression", "gzip").text(path)
+
+    def pack(batch):
+        yield pa.RecordBatch.from_arrays([pa.array([_cut_member(x.as_py().encode()) for x in batch.column(0)], pa.binary())], names=["value"])
+
+    members = common.map_batches(records.select(_record(block).alias("value")), pack, "value binary")
+    members.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", records_a_file).text(path)
 
 
 _ID = re.compile(rb"<urn:page:(-?\d+|null)>")
 
 
-def _parse(data: bytes, at: int) -> tuple | None:
-    """(next, page_id, type, refers_to, payload bytes, digest, sound) of the record that would begin at this offset; None: no record."""
+MORE = ()  # what _parse gives where the record goes beyond the bytes at hand
+
+
+def _parse(data: bytes | bytearray, at: int, last: bool = True) -> tuple | None:
+    """(length, page_id, type, refers_to, payload bytes, digest, sound) of the record that would begin at this offset; None: no record.
+
+    last: no bytes follow data; else MORE where some are wanted."""
     split = data.find(b"\r\n\r\n", at)
     if split < 0:
-        return None
+        return None if last else MORE
     head = {}
-    for line in data[at:split].split(b"\r\n")[1:]:
+    for line in bytes(data[at:split]).split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
             return None
@@ -100,6 +129,8 @@ def _parse(data: bytes, at: int) -> tuple | None:
     except (KeyError, ValueError):
         return None
     start, stop = split + 4, split + 4 + length
+    if length >= 0 and stop + 4 > len(data) and not last:
+        return MORE
     if length < 0 or data[stop : stop + 4] != b"\r\n\r\n":
         return None
     own, ref = _ID.fullmatch(head.get(b"warc-record-id", b"")), _ID.fullmatch(head.get(b"warc-refers-to", b""))
@@ -118,7 +149,67 @@ def _parse(data: bytes, at: int) -> tuple | None:
     if kind != "revisit":
         sound = not digest or hashlib.sha1(payload).hexdigest() == digest
         digest, size = digest or hashlib.sha1(payload).hexdigest(), len(payload)
-    return stop + 4, number(own), kind, number(ref), size, digest, sound
+    return stop + 4 - at, number(own), kind, number(ref), size, digest, sound
+
+
+def pieces(content: bytes):
+    """The plain bytes of an archive, some PIECE at a time: those of its gzip members in turn, or its own where it is plain."""
+    view = memoryview(content)
+    if content[:2] != b"\x1f\x8b":
+        for at in range(0, len(view), PIECE):
+            yield bytes(view[at : at + PIECE])
+        return
+    at = 0
+    while at < len(view):
+        z = zlib.decompressobj(31)
+        while not z.eof:
+            some = view[at : at + (PIECE >> 2)]
+            if not some:
+                raise ValueError("an archive ends within a gzip member")
+            at += len(some)
+            out = z.decompress(some, PIECE)
+            while out:
+                yield out
+                out = z.decompress(z.unconsumed_tail, PIECE) if z.unconsumed_tail else b""
+        at -= len(z.unused_data)
+        while at < len(view) and view[at] == 0:  # padding between members
+            at += 1
+
+
+def records(stream) -> tuple[list[tuple], int]:
+    """(offset, next, ...) of every place in a stream of plain bytes where a record may begin, and the stream's length.
+
+    At hand are the bytes from the first place that is still undecided: a record's length, as a rule."""
+    data, base, rows, waiting, sought, before = bytearray(), 0, [], [], 0, len(MAGIC) + 3
+
+    def settle(last: bool) -> None:
+        nonlocal data, base, waiting, sought
+        at = data.find(MAGIC, sought)
+        while at >= 0:
+            if base + at == 0 or data[max(0, at - 4) : at] == b"\r\n\r\n":
+                waiting.append((base + at, 0))
+            at = data.find(MAGIC, at + 1)
+        sought = max(0, len(data) - len(MAGIC) + 1)
+        left = []
+        for place, need in waiting:
+            found = _parse(data, place - base, last) if last or len(data) >= need else MORE
+            if found == MORE and found is not None:
+                left.append((place, need if len(data) < need else len(data) + min(len(data) - (place - base), PIECE)))
+            elif found:
+                rows.append((place, place + found[0], *found[1:]))
+        waiting = left
+        keep = min([place - base for place, _ in waiting] + [max(0, len(data) - before)])
+        if keep:
+            waiting = [(place, need - keep) for place, need in waiting]
+            del data[:keep]
+            base, sought = base + keep, max(0, sought - keep)
+
+    for piece in stream:
+        data += piece
+        settle(False)
+    size = base + len(data)
+    settle(True)
+    return sorted(rows), size
 
 
 def candidates(files: DataFrame) -> DataFrame:
@@ -126,17 +217,11 @@ def candidates(files: DataFrame) -> DataFrame:
 
     def run(batch):
         for path, content in zip(batch.column(0), batch.column(1), strict=True):
-            data, rows = content.as_py(), []
-            if data[:2] == b"\x1f\x8b":
-                data = gzip.decompress(data)
-            at = data.find(MAGIC)
-            while at >= 0:
-                if (at == 0 or data[at - 4 : at] == b"\r\n\r\n") and (found := _parse(data, at)):
-                    rows.append((path.as_py(), at, *found, len(data)))
-                at = data.find(MAGIC, at + 1)
-            if data and (not rows or rows[0][1]):
+            rows, size = records(pieces(content.as_py()))
+            if size and (not rows or rows[0][0]):
                 raise ValueError(f"{path.as_py()}: no record at offset 0")
             if rows:
+                rows = [(path.as_py(), *r, size) for r in rows]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64()), strict=True)], names=[x.split()[0] for x in RECORDS.split(", ")])
 
     return common.map_batches(files.select("path", "content"), run, RECORDS)
@@ -167,8 +252,10 @@ def reachable(at: np.ndarray, successor: np.ndarray) -> np.ndarray:
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Records of the archives under path, verified: page_id, record_type, refers_to, payload_bytes, payload_digest, sound.
 
-    Files may be plain or under gzip; offsets are those of the plain bytes. ``sound`` tells whether a payload has the digest its header names. Offsets alone are brought together per file (some
-    16 bytes a record, bounded by the file's size); payloads stay where they are read."""
+    Files may be plain or under gzip, in one member or many; offsets are those of the plain bytes. ``sound`` tells whether a
+    payload has the digest its header names. Offsets alone are brought together per file (some 16 bytes a record, bounded by the
+    file's size); payloads stay where they are read, and go when their record is parsed. A file whose chain breaks before its end
+    raises, with its name and the offset; empty files have no records, and no file at all gives no rows."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     found = common.stored(candidates(files), "warc-candidates")
 
@@ -183,6 +270,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages as archives, read back: one row a page. Null html is an empty payload, a null page_id stays null, repeated rows stay
+    rows of their own, extra columns go, an empty table gives no rows."""
     path = common.new_path(spark, "warc")
     write_warc(common.table(spark, sf_dir, "pages"), path)
     return read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

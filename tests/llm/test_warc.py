@@ -1,4 +1,6 @@
+import gzip
 import hashlib
+import zlib
 from pathlib import Path
 
 import numpy as np
@@ -60,6 +62,39 @@ def test_a_broken_chain_raises(spark):
                 warc.read_warc(spark, path).count()
 
 
+def test_a_member_holds_a_record(spark):
+    pages = [(i, f"u{i}", "<p>" + "x" * (i * 400), 0) for i in range(9)]
+    path = common.new_path(spark, "warc")
+    warc.write_warc(spark.createDataFrame(pages, SCHEMA).repartition(3), path)
+    n = 0
+    for f in Path(path.removeprefix("file://")).glob("part-*"):
+        left = f.read_bytes()
+        while left:
+            z = zlib.decompressobj(31)
+            data = z.decompress(left)
+            assert z.eof and data.startswith(warc.MAGIC) and data.endswith(b"\r\n\r\n")
+            assert warc._parse(data, 0)[0] == len(data)
+            left, n = z.unused_data, n + 1
+    assert n == len(pages)
+
+
+def test_a_large_record_ends_with_the_zero_byte_too(monkeypatch):
+    small, large = warc._cut_member(b"x" * 100), warc._cut_member(bytes(1 << 24))
+    assert gzip.decompress(small + b"\0" + large + b"\0" + small + b"\0") == b"x" * 100 + bytes(1 << 24) + b"x" * 100
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from([b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n", b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 900\r\n\r\n", b"WARC/1.1\r\n", b"\r\n\r\n", b"rest"]), max_size=12), st.integers(1, 60))
+def test_pieces_of_any_size_give_the_same_candidates(parts, size):
+    data = b"".join(parts)
+    whole = warc.records([data])
+    assert warc.records([data[i : i + size] for i in range(0, len(data), size)]) == whole
+    want = [a for a in range(len(data)) if data.startswith(warc.MAGIC, a) and (a == 0 or data[max(0, a - 4) : a] == b"\r\n\r\n") and warc._parse(data, a)]
+    assert [r[0] for r in whole[0]] == want and whole[1] == len(data)
+    packed = b"".join(warc.member(p) for p in parts)
+    assert b"".join(warc.pieces(packed)) == data and b"".join(warc.pieces(warc.member(data))) == data
+
+
 def test_empty(spark):
     assert read(spark, [(1, "u", "x", 0)]) == brute([(1, "u", "x", 0)])
     path = common.new_path(spark, "warc")
