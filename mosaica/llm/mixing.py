@@ -1,19 +1,21 @@
 """Mixing sources to target weights by Pfair scheduling, in DataFrame operations only.
 
 Each source's documents, in a fixed shuffled order (MD5 of doc_id), are laid end to end and cut into blocks of ``block_chars``
-characters. Of a period of Q slots source s gets q(s), in proportion to its weight. Block b of s is released at slot floor(b Q / q)
-and due by slot ceil((b + 1) Q / q); earliest-deadline-first over the released blocks meets every deadline, so after any number
-of slots each source is less than one block from its share. The schedule repeats after Q slots, so one period, made from the
-weights alone on the driver (Q entries, whatever the size of the data), places every block in closed form.
-
-A source that has run out leaves its later slots empty, and the mix goes on until every document is placed. Only where target
-weights are passed, or by ``whole=False``, does it end at the first slot whose source has run out; documents beyond it are then
-not taken, so the weights hold to the end.
+characters. Target weights are whole numbers w(s) of sum P (fractions are brought to a common denominator, never rounded). Block
+b of s is released at slot floor(b P / w) and due by slot ceil((b + 1) P / w); earliest-deadline-first over the released blocks
+meets every deadline, so after any number of slots each source is less than one block from its share. The schedule repeats
+after P slots exactly, so one period, made from the weights alone on the driver (P entries, whatever the size of the data),
+places every block in closed form, and the deviation never adds up.
+
+A source that has run out leaves its later slots empty, and the mix goes on until every document is placed; ``held`` tells
+which documents stand before that, where all sources still hold their weights. ``whole=False`` takes those alone.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,18 +23,42 @@ from pyspark.sql import functions as F
 from . import common
 
 BLOCK_CHARS = 4096
-CAP = 4.0  # op3_mixing: a source weighs its size, at most so many times the mean source
-PERIOD = 10_000  # slots of a period, about
+MAX_PERIOD = 1 << 20  # slots of a period: the sum of the weights in lowest terms
 MAX_SOURCES = 20_000
+NATURAL, TEMPERED = 1 << 16, 1000  # sums, about, of the weights that are made from sizes
 BUCKET_ROWS = 2048
+HOT = 16  # buckets of so many times as many rows hold a repeated doc_id and are split further
 
 
-def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Slots of a period by source, one at least for a positive weight."""
-    total = sum(weights.values())
-    if isinstance(total, int):
-        return {s: max(1, (2 * w * period + total) // (2 * total)) for s, w in sorted(weights.items()) if w > 0}
-    return {s: max(1, int(w * period / total + 0.5)) for s, w in sorted(weights.items()) if w > 0}
+def exact(weights: dict[str, float | int | Fraction]) -> dict[str, int]:
+    """Weights as whole numbers in lowest terms. A float stands for the decimal it is written as; weights of 0 go."""
+    known = {s: w if isinstance(w, (int, Fraction)) else Fraction(str(w)) for s, w in sorted(weights.items())}
+    if any(w < 0 for w in known.values()):
+        raise ValueError("a weight is negative")
+    known = {s: Fraction(w) for s, w in known.items() if w}
+    if not known:
+        return {}
+    scale = math.lcm(*(w.denominator for w in known.values()))
+    whole = {s: int(w * scale) for s, w in known.items()}
+    common_factor = math.gcd(*whole.values())
+    return {s: w // common_factor for s, w in whole.items()}
+
+
+def _parts(sizes: dict[str, int], of: int) -> dict[str, int]:
+    """Whole numbers that divide ``of`` in the ratio of the sizes, each 1 at least, to the nearest."""
+    total = max(1, sum(sizes.values()))
+    return {s: max(1, (2 * n * of + total) // (2 * total)) for s, n in sizes.items()}
+
+
+def natural(sizes: dict[str, int]) -> dict[str, int]:
+    """Target weights that are the sources' shares of all characters, in 65,536ths."""
+    return _parts(sizes, NATURAL)
+
+
+def tempered(sizes: dict[str, int]) -> dict[str, int]:
+    """Target weights in the ratio of the square roots of the sources' characters, in thousandths: large sources count for less
+    than they hold, small ones for more."""
+    return _parts({s: math.isqrt(n) for s, n in sizes.items()}, TEMPERED)
 
 
 def schedule(q: dict[str, int]) -> list[tuple[str, int]]:
@@ -52,83 +78,91 @@ def schedule(q: dict[str, int]) -> list[tuple[str, int]]:
     return out
 
 
-def _placed(docs: DataFrame, weights: dict[str, float] | None, block_chars: int, cap: float | None, period: int, whole: bool | None, extra: list[str]) -> DataFrame | None:
-    """docs' rows with source, size, block, release, deadline, slot, taken; None where there is no row."""
-    base = docs.select(
-        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_source"),
-        F.coalesce(F.md5(F.col("doc_id").cast("long").cast("string")), F.lit("")).alias("_key"),
-        F.coalesce(F.char_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("_size"),
-        *extra,
-    )
-    counts = docs.groupBy(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_source")).count()
-    most = counts.agg(F.max("count")).first()[0]
+def _placed(docs: DataFrame, weights, block_chars: int, whole: bool) -> DataFrame | None:
+    """docs' rows as doc_id, source_name, size, block, release, deadline, slot, taken, held; None where there is no row."""
+    # Narrow rows, written once: the text is read for its length alone. _key orders a source: MD5 of the doc_id, then size, then a
+    # number that tells rows apart which repeat both, so that any of them can be split.
+    salt = F.lpad(F.hex(F.xxhash64(F.monotonically_increasing_id())), 16, "0")
+    size = F.coalesce(F.char_length(F.col("text").cast("string")), F.lit(0)).cast("long")
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_source"), size.alias("_size"),
+        F.concat(F.coalesce(F.md5(F.col("doc_id").cast("long").cast("string")), F.lit("-" * 32)), F.lpad(F.hex(size), 16, "0"), salt).alias("_key"),
+    )
+    rows = common.stored(rows, "mix-rows")
+    most = rows.groupBy("_source").count().agg(F.max("count")).first()[0]
     if not most:
         return None
     digits = 0
     while most > BUCKET_ROWS * 16**digits:
         digits += 1
-    keyed = base.withColumn("_bucket", F.substring("_key", 1, digits) if digits else F.lit(""))
-
-    # Prefix sums in two levels, so that no task needs a whole source: over the buckets of a source, then within each bucket.
-    buckets = common.stored(keyed.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_chars")), "mix-buckets")
+    # Prefix sums in three levels, so that no task needs a whole source: over groups of buckets, over the buckets of a group, then
+    # within each bucket. A bucket is a prefix of the key; one that a repeated doc_id fills is split by longer prefixes.
+    prefix = F.substring("_key", 1, digits) if digits else F.lit("")
+    keyed = rows.withColumn("_bucket", prefix)
+    summed = lambda df: df.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_chars"), F.count(F.lit(1)).alias("_n"))
+    buckets = common.stored(summed(keyed), "mix-buckets")
+    hot = buckets.where(F.col("_n") > HOT * BUCKET_ROWS).select("_source", "_bucket", F.lit(True).alias("_hot"))
+    if hot.take(1):
+        longer = 48 + digits
+        keyed = keyed.join(hot, ["_source", "_bucket"], "left").withColumn("_bucket", F.when(F.col("_hot"), F.substring("_key", 1, longer)).otherwise(F.col("_bucket"))).drop("_hot")
+        buckets = common.stored(summed(keyed), "mix-buckets")
     totals = buckets.groupBy("_source").agg(F.sum("_chars").alias("chars")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources; mix by a coarser one")
     sizes = {r["_source"]: r.chars for r in totals}
-    whole = weights is None if whole is None else whole
-    if weights is None:
-        top = max(sizes.values()) if cap is None else int(cap * sum(sizes.values()) / len(sizes))
-        weights = {s: max(1, min(n, top)) for s, n in sizes.items()}
-    weights = {s: w for s, w in weights.items() if s in sizes}
-    q = shares(weights, period) if weights else {}
-    Q, plan, ends = sum(q.values()), schedule(q), []
+    made = natural(sizes) if weights is None else weights(sizes) if callable(weights) else weights
+    q = exact({s: w for s, w in made.items() if s in sizes})
+    period = sum(q.values())
+    if period > MAX_PERIOD:
+        raise ValueError(f"these weights repeat after {period} slots; give whole numbers of a sum up to {MAX_PERIOD}")
+    plan = schedule(q)
     slots = {sb: t for t, sb in enumerate(plan)}
-    for s in q:
-        blocks = max(1, -(-sizes[s] // block_chars))
-        ends.append(blocks // q[s] * Q + slots[s, blocks % q[s]])
-    end = min(ends, default=0)
-
-    names = sorted(q)
-    number = {s: i for i, s in enumerate(names)}
-    spark = docs.sparkSession
-    period_rows = (  # Q rows at most: MAX_SOURCES or about PERIOD
-        spark.range(1).select(F.explode(F.split(F.lit(" ".join(f"{number[s]}:{b}:{t}" for t, (s, b) in enumerate(plan)) or "-1:0:0"), " ")).alias("x"))
-        .select(*(F.split("x", ":")[i].cast("int").alias(n) for i, n in enumerate(("_n", "_i", "_slot"))))
-    )
-    source_rows = spark.range(1).select(F.explode(F.arrays_zip(*(F.array(*map(F.lit, x)).alias(n) for n, x in (("_source", names or [""]), ("_q", [q[s] for s in names] or [0]))))).alias("x")).select("x._source", "x._q", *([F.lit(0).alias("_n")] if not names else []))
-    if names:
-        source_rows = source_rows.withColumn("_n", F.array_position(F.array(*map(F.lit, names)), F.col("_source")).cast("int") - 1)
-
-    before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = buckets.select("_source", "_bucket", (F.sum("_chars").over(before) - F.col("_chars")).alias("_offset"))
-    inside = Window.partitionBy("_source", "_bucket").orderBy("_key", "_size", *extra[:1]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = min((blocks // q[s] * period + slots[s, blocks % q[s]] for s in q if (blocks := max(1, -(-sizes[s] // block_chars)))), default=0)
+
+    spark, names = docs.sparkSession, sorted(q)
+    letter = {s: chr(0x100 + i) for i, s in enumerate(names)}  # a source by one letter, so that a period is one text
+    one = spark.range(1)
+    source_rows = one.select(F.explode(F.array(*(F.struct(F.lit(s).alias("_source"), F.lit(letter[s]).alias("_letter"), F.lit(q[s]).alias("_q")) for s in names) or [F.struct(F.lit(None).cast("string").alias("_source"), F.lit("").alias("_letter"), F.lit(0).alias("_q"))])).alias("x")).select("x.*")
+    turns = one.select(F.posexplode(F.split(F.lit("".join(letter[s] for s, _ in plan)), "")).alias("_slot", "_letter")).where("_letter <> ''")
+    period_rows = turns.withColumn("_i", F.row_number().over(Window.partitionBy("_letter").orderBy("_slot")) - 1)  # MAX_PERIOD rows at most
+
+    coarse = F.substring("_bucket", 1, max(0, digits - 3))
+    groups = buckets.groupBy("_source", coarse.alias("_group")).agg(F.sum("_chars").alias("_chars"))
+    running = lambda *by: F.sum("_chars").over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_chars")
+    before = groups.select("_source", "_group", running("_source", "_group").alias("_before"))
+    offsets = buckets.withColumn("_group", coarse).withColumn("_within", running("_source", "_group", "_bucket")).join(before, ["_source", "_group"])
+    offsets = common.stored(offsets.select("_source", "_bucket", (F.col("_before") + F.col("_within")).alias("_offset")), "mix-offsets")
+    inside = Window.partitionBy("_source", "_bucket").orderBy("_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     started = keyed.withColumn("_local", F.sum("_size").over(inside) - F.col("_size")).join(offsets, ["_source", "_bucket"])
     blocked = started.withColumn("block", F.expr(f"(_offset + _local) div {block_chars}"))
     known = blocked.join(F.broadcast(source_rows), "_source", "left")
-    slotted = known.withColumn("_i", (F.col("block") % F.col("_q")).cast("int")).join(F.broadcast(period_rows), ["_n", "_i"], "left")
-    return slotted.select(
-        *extra, F.col("_source").alias("source_name"), F.col("_size").alias("size"), "block",
-        F.expr(f"block * {Q} div _q").alias("release"), F.expr(f"((block + 1) * {Q} + _q - 1) div _q").alias("deadline"),
-        F.expr(f"block div _q * {Q} + _slot").alias("slot"),
-    ).withColumn("taken", F.col("slot").isNotNull() if whole else F.coalesce(F.col("slot") < end, F.lit(False)))
-
-
-def plan_mix(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: int = BLOCK_CHARS, cap: float | None = None, period: int = PERIOD, whole: bool | None = None) -> DataFrame:
-    """Per document: doc_id, source, size, block, release, deadline, slot, taken. Order by (slot, block order) is the mix.
-
-    ``weights`` by source; default: sizes in characters, cut at ``cap`` times the mean source if one is given. Sources without a weight are not
-    taken and have no slot. ``whole``: every document that has a slot is taken (default: where no weights are passed); else the
-    mix ends with the first source that runs out. A null source counts as the source ``""``; null doc_ids come first in their source; null and empty
-    texts have size 0 and share the block at their place. Rows that repeat a doc_id are documents of their own, ordered by
-    size. Extra columns are ignored; an empty table gives no rows."""
+    slotted = known.withColumn("_i", (F.col("block") % F.col("_q")).cast("int")).join(F.broadcast(period_rows), ["_letter", "_i"], "left")
+    placed = slotted.select(
+        "doc_id", F.col("_source").alias("source_name"), F.col("_size").alias("size"), "block",
+        F.expr(f"block * {period} div _q").alias("release"), F.expr(f"((block + 1) * {period} + _q - 1) div _q").alias("deadline"),
+        F.expr(f"block div _q * {period} + _slot").alias("slot"),
+    )
+    held = F.coalesce(F.col("slot") < end, F.lit(False))
+    return placed.withColumn("taken", F.col("slot").isNotNull() if whole else held).withColumn("held", held)
+
+
+def plan_mix(docs: DataFrame, weights=None, block_chars: int = BLOCK_CHARS, whole: bool = True) -> DataFrame:
+    """Per document: doc_id, source, size, block, release, deadline, slot, taken, held. Order by (slot, block order) is the mix.
+
+    ``weights``: by source, or a function of the sources' sizes in characters that gives them (default ``natural``). They are
+    taken exactly; in lowest terms their sum may be ``MAX_PERIOD`` at most, else it raises. Sources without a weight are not taken and
+    have no slot. ``held``: before the first source runs out. ``taken``: all that have a slot, or with ``whole=False`` those held.
+    A null source counts as the source ``""``; null doc_ids come first in their source; null and empty texts have size 0 and share
+    the block at their place. Rows that repeat a doc_id are documents of their own, ordered by size; any number of them, null ids
+    included, is dealt to many tasks. Extra columns are ignored; an empty table gives no rows."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    placed = _placed(narrow, weights, block_chars, cap, period, whole, ["doc_id"])
+    placed = _placed(narrow, weights, block_chars, whole)
     if placed is None:
-        placed = narrow.select("doc_id", F.col("source").alias("source_name"), *(F.lit(0).cast("long").alias(n) for n in ("size", "block", "release", "deadline", "slot")), F.lit(False).alias("taken"))
+        placed = narrow.select("doc_id", F.col("source").alias("source_name"), *(F.lit(0).cast("long").alias(n) for n in ("size", "block", "release", "deadline", "slot")), F.lit(False).alias("taken"), F.lit(False).alias("held"))
     return placed.withColumnRenamed("source_name", "source")
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, **options) -> DataFrame:
+def mix(docs: DataFrame, weights=None, **options) -> DataFrame:
     """The rows of docs that the mix takes, all columns kept, in the mix's order from the first file to the last.
 
     Which rows: those of ``plan_mix`` by doc_id; of rows that repeat a doc_id all are taken if the first of them is, at its
@@ -142,16 +176,16 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, **options) ->
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan_mix(common.table(spark, sf_dir, "documents"), cap=CAP, whole=False)
+    """documents, every one placed, mixed to ``tempered`` weights. Nulls, repeats and empty tables as in ``plan_mix``."""
+    return plan_mix(common.table(spark, sf_dir, "documents"), tempered)
 
 
 OP3_SQL = f"""
 WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS source, CAST(coalesce(length(text), 0) AS BIGINT) AS size, coalesce(md5(CAST(doc_id AS VARCHAR)), '') AS k FROM documents),
-tot AS (SELECT source, CAST(sum(size) AS BIGINT) AS chars FROM d GROUP BY source),
-w AS (SELECT source, chars, greatest(1, least(chars, CAST(floor({CAP} * (SELECT sum(chars) FROM tot) / (SELECT count(*) FROM tot)) AS BIGINT))) AS weight FROM tot),
-qs AS (SELECT source, chars, row_number() OVER (ORDER BY source) AS n, CAST(greatest(1, (2 * weight * {PERIOD} + (SELECT sum(weight) FROM w)) // (2 * (SELECT sum(weight) FROM w))) AS BIGINT) AS q FROM w),
+tot AS (SELECT source, CAST(sum(size) AS BIGINT) AS chars, CAST(floor(sqrt(sum(size))) AS BIGINT) AS root FROM d GROUP BY source),
+w AS (SELECT source, chars, CAST(greatest(1, (2 * root * {TEMPERED} + (SELECT sum(root) FROM tot)) // (2 * (SELECT sum(root) FROM tot))) AS BIGINT) AS weight FROM tot),
+qs AS (SELECT source, chars, row_number() OVER (ORDER BY source) AS n, CAST(weight // (SELECT list_reduce(list(weight), lambda x, y: gcd(x, y)) FROM w) AS BIGINT) AS q FROM w),
 lists AS (SELECT list(q ORDER BY n) AS ql, CAST(sum(q) AS BIGINT) AS period FROM qs),
-jobs AS (SELECT n, b, b * (SELECT period FROM lists) // q AS release, ((b + 1) * (SELECT period FROM lists) + q - 1) // q AS deadline FROM (SELECT n, q, unnest(range(q)) AS b FROM qs)),
 edf AS (
   SELECT CAST(-1 AS BIGINT) AS t, CAST(NULL AS BIGINT) AS n, CAST(NULL AS BIGINT) AS b, list_transform(ql, lambda x: CAST(0 AS BIGINT)) AS done FROM lists
   UNION ALL
@@ -162,6 +196,6 @@ edf AS (
 starts AS (SELECT doc_id, source, size, CAST(sum(size) OVER (PARTITION BY source ORDER BY k, size, doc_id ROWS UNBOUNDED PRECEDING) - size AS BIGINT) // {BLOCK_CHARS} AS block FROM d),
 ends AS (SELECT min(blocks // q * period + t) AS last FROM (SELECT n, q, period, greatest(1, (chars + {BLOCK_CHARS - 1}) // {BLOCK_CHARS}) AS blocks FROM qs, lists) e JOIN edf ON edf.n = e.n AND edf.b = blocks % q)
 SELECT doc_id, source, size, block, CAST(block * period // q AS BIGINT) AS release, CAST(((block + 1) * period + q - 1) // q AS BIGINT) AS deadline,
-  CAST(block // q * period + t AS BIGINT) AS slot, block // q * period + t < last AS taken
+  CAST(block // q * period + t AS BIGINT) AS slot, true AS taken, block // q * period + t < last AS held
 FROM starts JOIN qs USING (source) CROSS JOIN lists CROSS JOIN ends JOIN edf ON edf.n = qs.n AND edf.b = block % q
 """
