@@ -1,9 +1,11 @@
 """Secret scans: pattern candidates, and encoded candidates confirmed by their structure.
 
-Assignments, access keys and long hex runs are base findings. Beyond them every base64, base64url or hex run that is long
-enough is decoded, and reported only if the bytes parse: private keys in DER (nested lengths must add up to the whole, and the
-fields must be those of PKCS#1, PKCS#8 or SEC 1), OpenSSH private keys (magic, then nested length-prefixed strings), and signed
-tokens (three base64url parts, the first a JSON header that names its algorithm). PEM armour is joined before it is decoded.
+Assignments, access keys and long hex runs are base findings. Beyond them candidates are decoded, and reported only if the
+bytes parse: private keys in DER (nested lengths must add up to the whole, and the fields must be those of PKCS#1, PKCS#8 or
+SEC 1), OpenSSH private keys (magic, then nested length-prefixed strings), and signed tokens (three base64url parts, the first a
+JSON header that names its algorithm). Candidates are base64, base64url and hex runs, whole, from each place within where such
+a structure could begin, or wrapped over lines of one width; and PEM armour of any length, with headers or without, whose line ends
+may be written out as backslash and n. Encrypted PEM has no structure to parse: its headers and whole base64 confirm it.
 """
 
 from __future__ import annotations
@@ -28,10 +30,17 @@ _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x2
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # a greedy run of 24 or more is just a maximal run that is not too short
 
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]{0,65536}?)-----END \1-----")
-_ENCODED = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+_BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----")
+_LINE_END = re.compile(r"\\r\\n|\\n|\\r|\r\n|\n|\r")
+_ENCRYPTED = re.compile(r"Proc-Type:\s*4,\s*ENCRYPTED")
+_RUN = r"[A-Za-z0-9+/_-]"
+_ENCODED = re.compile(rf"(?<!{_RUN}){_RUN}{{40,}}+={{0,2}}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}+(?:(?:\\r)?\\n|\r?\n)[A-Za-z0-9+/\\\r\n]++={0,2}")
+_STARTS = re.compile(r"M[B-I]|b3BlbnNzaC1rZXktdjEA")  # how base64 of a DER sequence of 16 bytes or more, and of the OpenSSH magic, begins
 _HEX_ANY = re.compile(r"[0-9A-Fa-f]{48,}")
-_JWT = re.compile(r"eyJ[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
+_HEX_STARTS = re.compile(r"30|6f70656e7373682d6b65792d763100", re.IGNORECASE)
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])(?=([A-Za-z0-9_-]{8,}+)(\.[A-Za-z0-9_-]{2,}+\.[A-Za-z0-9_-]*+))")
+_OBJECT = re.compile(r"e(?:y[A-DI-L]|w[k-r0-3])|^[CDI]")  # how base64 of { and a quote or white space, or of white space, begins
 
 
 def base_spans(text: str) -> list[Span]:
@@ -42,11 +51,19 @@ def base_spans(text: str) -> list[Span]:
 
 
 # ---------------------------------------------------------------- structure
-def der(data: bytes, at: int = 0, stop: int | None = None, depth: int = 0) -> list[tuple[int, bytes, list]] | None:
-    """Tag-length-value items that fill data[at:stop] exactly: (tag, value, items of a constructed one). None: they do not."""
-    stop, out = len(data) if stop is None else stop, []
-    while at < stop:
-        if at + 2 > stop or depth > 8:
+def der(data: bytes) -> list[tuple[int, bytes, list]] | None:
+    """Tag-length-value items that fill data exactly: (tag, value, items of a constructed one). None: they do not.
+
+    All nesting is checked, however deep; items are told down to the third level."""
+    top: list = []
+    stack = [(len(data), top)]  # where an open item must end, its items; innermost last
+    at = 0
+    while stack:
+        stop, out = stack[-1]
+        if at == stop:
+            stack.pop()
+            continue
+        if at + 2 > stop:
             return None
         tag, size = data[at], data[at + 1]
         at += 2
@@ -61,12 +78,24 @@ def der(data: bytes, at: int = 0, stop: int | None = None, depth: int = 0) -> li
                 return None
         if at + size > stop:
             return None
-        inner = der(data, at, at + size, depth + 1) if tag & 0x20 else []
-        if inner is None:
-            return None
-        out.append((tag, data[at : at + size], inner))
-        at += size
-    return out
+        items: list | None = [] if len(stack) < 3 else None
+        if out is not None:
+            out.append((tag, data[at : at + size], [] if items is None else items))
+        if tag & 0x20:
+            stack.append((at + size, items))
+        else:
+            at += size
+    return top
+
+
+def _first_der(data: bytes) -> int:
+    """How many bytes the DER sequence takes that data begins with, by its own length; 0: it begins with none."""
+    if len(data) < 6 or data[0] != 0x30:
+        return 0
+    n = data[1] & 0x7F if data[1] & 0x80 else 0
+    if n > 4 or data[1] == 0x80:
+        return 0
+    return 2 + n + (int.from_bytes(data[2 : 2 + n], "big") if n else data[1])
 
 
 def private_der(data: bytes) -> bool:
@@ -137,27 +166,74 @@ def _key_kind(data: bytes | None) -> str | None:
     return None if not data else "der" if private_der(data) else "ssh" if private_ssh(data) else None
 
 
+def _within(run: str) -> tuple[str, int, int] | None:
+    """(kind, start, stop) of the first key that begins somewhere within a base64 run, its own length telling where it ends."""
+    for m in _STARTS.finditer(run):
+        head = decoded(run[m.start() : m.start() + 16]) or b""
+        size = _first_der(head) if head[:1] == b"0" else len(head)
+        if not size:
+            continue
+        stop = m.start() + (-(-size * 4 // 3) if head[:1] == b"0" else len(run))
+        if stop > len(run.rstrip("=")):
+            if head[:1] == b"0":
+                continue
+            stop = len(run)
+        while stop < len(run) and run[stop] == "=" and (stop - m.start()) % 4:
+            stop += 1
+        if kind := _key_kind(decoded(run[m.start() : stop])):
+            return kind, m.start(), stop
+    return None
+
+
 def structural_spans(text: str) -> list[Span]:
+    """Findings that are confirmed by their structure; those within a longer one are left out."""
     found: list[Span] = []
     if "-----BEGIN" in text:
-        for m in _PEM.finditer(text):
-            lines = [x for x in m[2].splitlines() if ":" not in x]  # RFC 1421 headers
-            body = "".join("".join(lines).split())
-            data = decoded(body)
-            if _key_kind(data) or data and "Proc-Type: 4,ENCRYPTED" in m[2]:
-                found.append(("pem", m.start(), m.end()))
-    inside = [(a, b) for _, a, b in found]
-    free = lambda m: not any(a <= m.start() < b for a, b in inside)
-    if "eyJ" in text:
-        found += [("jwt", m.start(), m.end()) for m in _JWT.finditer(text) if free(m) and signed_token(m[0])]
+        at = 0
+        while m := _BEGIN.search(text, at):
+            at, end = m.end(), f"-----END {m[1]}-----"
+            stop = text.find(end, at)
+            if stop < 0 or text.find("-----BEGIN", at, stop) >= 0:
+                continue
+            lines = _LINE_END.split(text[at:stop])
+            data = decoded("".join("".join(x for x in lines if ":" not in x).split()))  # RFC 1421 headers hold a colon
+            if _key_kind(data) or data and _ENCRYPTED.search(text, at, stop):
+                at = stop + len(end)
+                found.append(("pem", m.start(), at))
+    free = lambda a: not any(x <= a < b for _, x, b in found)
+    if "." in text:
+        for m in _JWT.finditer(text):
+            for o in _OBJECT.finditer(m[1]):
+                if signed_token(m[1][o.start() :] + m[2]) and free(m.start() + o.start()):
+                    found.append(("jwt", m.start() + o.start(), m.end(2)))
+                    break
+    for m in _WRAPPED.finditer(text):
+        if m[0][0] not in "Mb" or not free(m.start()):
+            continue
+        lines = _LINE_END.split(m[0])
+        n = next((i for i, x in enumerate(lines) if len(x) != len(lines[0])), len(lines) - 1) + 1  # the last line is the first of another width
+        if kind := _key_kind(decoded("".join(lines[:n]))):
+            stop = m.start()
+            for i, e in zip(range(n), [*_LINE_END.finditer(m[0]), None], strict=False):
+                stop = m.start() + (e.start() if e else len(m[0])) if i == n - 1 else stop
+            found.append((kind, m.start(), stop))
     for m in _ENCODED.finditer(text):
-        # a DER sequence encodes as M..., the OpenSSH magic as b3Bl
-        at = 0 if m[0][0] in "Mb" else -1
-        if at == 0 and free(m) and (kind := _key_kind(decoded(m[0]))):
+        if not free(m.start()):
+            continue
+        if m[0][0] in "Mb" and (kind := _key_kind(decoded(m[0]))):
             found.append((kind, m.start(), m.end()))
+        elif hit := _within(m[0]):
+            found.append((hit[0], m.start() + hit[1], m.start() + hit[2]))
     for m in _HEX_ANY.finditer(text):
-        if len(m[0]) % 2 == 0 and free(m) and (kind := _key_kind(bytes.fromhex(m[0]))):
-            found.append((kind, m.start(), m.end()))
+        for s in _HEX_STARTS.finditer(m[0]):
+            a = m.start() + s.start()
+            if not free(a):
+                continue
+            raw = bytes.fromhex(m[0][s.start() : s.start() + (len(m[0]) - s.start()) // 2 * 2])
+            size = _first_der(raw[:8]) if raw[0] == 0x30 else len(raw)
+            if size <= len(raw) and (kind := _key_kind(raw[:size])):
+                found.append((kind, a, a + 2 * size))
+                break
     return found
 
 
@@ -184,4 +260,5 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents, one row each; nulls, repeats, extra columns and empty tables as in ``find_secrets``."""
     return find_secrets(common.table(spark, sf_dir, "documents"))

@@ -159,6 +159,71 @@ def test_structural_spans():
         assert secrets.structural_spans(clean) == [], clean
 
 
+def armoured(b64, name="RSA PRIVATE KEY", end="\n", headers=""):
+    return f"-----BEGIN {name}-----{end}{headers}" + end.join(b64[i : i + 64] for i in range(0, len(b64), 64)) + f"{end}-----END {name}-----"
+
+
+def test_pem_of_any_length_and_with_headers():
+    b64 = base64.b64encode(RSA).decode()
+    large = tlv(0x30, tlv(2, b"\0") + b"".join(tlv(2, b"\1" * 20_000) for _ in range(8)))
+    sealed = base64.b64encode(b"any bytes at all, encrypted").decode()
+    for pem in (
+        armoured(base64.b64encode(large).decode()), armoured(b64, end="\r\n"), armoured(b64, end="\\n"), armoured(b64, end="\\r\\n"),
+        armoured(sealed, headers="Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00-11\n\n"), armoured(base64.b64encode(PKCS8).decode(), "PRIVATE KEY"),
+    ):
+        assert secrets.structural_spans(f"-----BEGIN RSA PRIVATE KEY----- no {pem} b") == [("pem", 35, 35 + len(pem))], pem[:80]
+    assert secrets.structural_spans(armoured(sealed)) == [] and secrets.structural_spans("-----BEGIN PRIVATE KEY-----" * 3) == []
+
+
+def test_wrapped_and_embedded_keys():
+    b64 = base64.b64encode(RSA).decode().rstrip("=")
+    lines = "\n".join(b64[i : i + 64] for i in range(0, len(b64), 64))
+    assert secrets.structural_spans(f"key:\n{lines}\nthen words") == [("der", 5, 5 + len(lines))]
+    for before in ("n", "xyz/", "Mxx", "key="):
+        assert secrets.structural_spans(f"{before}{b64}") == [("der", len(before), len(before) + len(b64))], before
+    hexed = "ab" + RSA.hex() + "00"
+    assert secrets.structural_spans(hexed) == [("der", 2, 2 + 2 * len(RSA))]
+    deep = b""
+    for _ in range(300):
+        deep = tlv(0x30, deep)
+    key = tlv(0x30, tlv(2, b"\0") + b"".join(tlv(2, bytes([1 + i]) * 20) for i in range(8)) + deep)
+    assert secrets.private_der(key) and secrets.der(b"\x30\x80" * 1000) is None
+
+
+@pytest.mark.parametrize("head", ['{"alg":"HS256"}', '{ "alg": "none" }', '{\n"alg":"ES256"}', ' {"alg":"HS256"}', '\n{"typ":"JWT","alg":"RS256"}'])
+def test_any_header_that_is_json(head):
+    token = f"{part(head.encode())}.{part({'sub': 'x'})}.{part(b's' * 32)}"
+    text = f"see a.longer_word.of.dots {token} ok"
+    at = text.index(token)
+    assert secrets.structural_spans(text) == [("jwt", at, at + len(token))]
+
+
+def brute_structure(text):
+    """Every decodable stretch between two places where a run may be cut, longest first: slow, for short texts."""
+    out = set()
+    for m in re.finditer(r"[A-Za-z0-9+/_-]{40,}={0,2}", text):
+        spans = [(a, b) for a in range(len(m[0])) for b in range(len(m[0]), a + 32, -1) if secrets.private_der(secrets.decoded(m[0][a:b]) or b"") or secrets.private_ssh(secrets.decoded(m[0][a:b]) or b"")]
+        out |= {(m.start() + a, m.start() + b) for a, b in spans[:1]}
+    return out
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from([base64.b64encode(EC).decode().rstrip("="), base64.b64encode(PKCS8).decode().rstrip("="), " ", "-", "M", "MI", "MHcC", "AQ", "word", "."]), max_size=5).map("".join))
+def test_keys_are_found_as_brute_force_finds_them(text):
+    got = {(a, b) for k, a, b in secrets.structural_spans(text) if k in ("der", "ssh")}
+    want = brute_structure(text)
+    assert {a for a, _ in got} == {a for a, _ in want}
+
+
+def test_no_quadratic_time():
+    import time
+
+    t = time.perf_counter()
+    for text in ("A" * 2_000_000, "MI" * 200_000, "-----BEGIN PRIVATE KEY-----" * 5000, "a." * 500_000, "ab" * 500_000, "x" * 50 + "\n" + "y" * 1_000_000):
+        secrets.structural_spans(text)
+    assert time.perf_counter() - t < 20
+
+
 def test_find_secrets(spark):
     rows = {r.doc_id: r for r in secrets.find_secrets(docs(spark, [(1, 'token = "0123456789abcdef01234567"'), (2, None), (3, "nothing here")])).collect()}
     assert (rows[1].n_assign, rows[1].n_hex, rows[1].n_access) == (1, 1, 0) and rows[1].spans == "assign:0:33,hex:9:33"
