@@ -1,12 +1,14 @@
 """Personal data: a character-level bidirectional LSTM with CRF transitions, beside exact patterns.
 
-The patterns of the contract find the canonical forms; the model adds what they miss (telephone numbers without a leading +,
-addresses spelled with "at" and "dot" or with blanks). It is trained here, in numpy, from labelled spans that a seeded
-generator makes, and decoded over overlapping windows; readings that touch a cut edge of their window give way to the
-neighbouring window's, and the rest are reconciled over the whole text by weighted interval scheduling.
-
-Every span that the model may report holds a digit or an at sign (or the word "at" between words for spelled addresses), so
-only windows round such a trigger are decoded. Windows start from a zero state, so leaving out the others changes nothing.
+The patterns of the contract find the canonical forms; the model adds what they miss: telephone numbers without a leading +,
+addresses whose at sign or dots are spelled, bracketed or spaced, defanged IP addresses, and cards and numbers whose neighbours
+spoil the pattern. It is trained here, in numpy, from labelled spans that a seeded generator makes, and decoded over overlapping
+windows; readings that touch a cut edge of their window give way to the neighbouring window's, and the rest are reconciled over
+the whole text by weighted interval scheduling.
+
+Windows overlap by LONGEST characters, so a span of up to LONGEST characters lies whole in one; longer ones may be cut and are
+then not reported. A span that may be reported holds a digit, an at sign, or a spelled "at" with its dot (``_sound``), and a window
+is read by itself, so windows without any of these need no decoding: leaving them out changes nothing.
 """
 
 from __future__ import annotations
@@ -74,11 +76,14 @@ def _emails(text: str) -> list[Span]:
 
 # ---------------------------------------------------------------- model
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-_ALPHABET = "0123456789@.+-() :_%[]/,;\n"
+_ALPHABET = "0123456789@.+-() :_%[]/,;\natdo{}<>"
 CLASSES = len(_ALPHABET) + 5  # and: lower, upper, other letter, other, padding
-HIDDEN, WINDOW, STRIDE, MARGIN = 20, 96, 48, 48
-SEED, STEPS, BATCH = 7, 260, 64
-LEAST = 0.9  # mean posterior of a reading that is reported
+LONGEST = 64  # characters of a span that lies whole in some window, wherever it stands
+HIDDEN, WINDOW = 32, 2 * LONGEST
+STRIDE = WINDOW - LONGEST
+SEED, STEPS, BATCH, EXAMPLES = 7, 360, 64, 6000
+DECODED = 1024  # windows that are read at a time: some 60 MB
+LEAST = 0.7  # mean posterior of a reading that is reported
 
 
 @functools.lru_cache(maxsize=1)
@@ -117,8 +122,8 @@ class Tagger:
                         self.block[i, j] = -1e4
         self.start_block = np.array([-1e4 if t[0] == "I" else 0 for t in TAGS], np.float32)
 
-    def _run(self, x: np.ndarray, d: str):
-        """States over x (n, T), backwards for d = "b"; what backpropagation needs."""
+    def _run(self, x: np.ndarray, d: str, keep: bool):
+        """States over x (n, T), backwards for d = "b"; with keep, what backpropagation needs."""
         n, T = x.shape
         h = self.h
         c, s = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
@@ -131,12 +136,13 @@ class Tagger:
             tc = np.tanh(c)
             s = gates[:, 2 * h :] * tc
             out[:, t] = s
-            kept.append((t, came, before, gates, g, tc))
+            if keep:
+                kept.append((t, came, before, gates, g, tc))
         return out, kept
 
     def scores(self, x: np.ndarray, keep: bool = False):
-        f, kf = self._run(x, "f")
-        b, kb = self._run(x, "b")
+        f, kf = self._run(x, "f", keep)
+        b, kb = self._run(x, "b", keep)
         both = np.concatenate([f, b], axis=2)
         y = both @ self.p["o"] + self.p["e"]
         return (y, both, kf, kb) if keep else y
@@ -242,39 +248,48 @@ class Tagger:
 
 # ---------------------------------------------------------------- labelled spans
 def generate(n: int, seed: int, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[str, list[Span]]]]:
-    """Labelled windows: filler of many looks, with personal data of each kind, and numbers that are none."""
+    """Labelled windows: filler of many looks, with personal data of each kind, and numbers and words that look alike but are none."""
     r = np.random.default_rng(seed)
     pick = lambda s: s[int(r.integers(len(s)))]
     digits = lambda k: "".join(str(d) for d in r.integers(0, 10, k))
+    between = lambda a, b: int(r.integers(a, b + 1))
 
     def word() -> str:
-        w = "".join(pick("abcdefghijklmnopqrstuvwxyzaeiouéüñß") for _ in range(int(r.integers(1, 11))))
-        return pick((w, w, w, w.capitalize(), w.upper() if r.random() < 0.2 else w)) + pick(("", "", "", "", ".", ",", "%%%", "\n", " |"))
+        w = pick(("at", "dot", "to", "do", "add", "today")) if r.random() < 0.06 else "".join(pick("abcdefghijklmnopqrstuvwxyzaeiouéüñß") for _ in range(between(1, 10)))
+        return pick((w, w, w, w.capitalize(), w.upper() if r.random() < 0.2 else w)) + pick(("", "", "", "", "", "", ".", ",", "%%%", "\n", " |", ":", ";"))
 
-    def name() -> str:
-        return "".join(pick("abcdefghijklmnopqrstuvwxyz") for _ in range(int(r.integers(2, 9))))
+    def name(least: int = 2) -> str:
+        return "".join(pick("abcdefghijklmnopqrstuvwxyz") for _ in range(between(least, 9)))
 
     def email() -> str:
-        local = name() + pick(("", ".", "_", "")) + pick(("", name(), digits(2)))
-        host = name() + pick(("", digits(1))) + "." + pick(("example.com", "com", "org", "net", "co.uk", "de"))
-        return pick((f"{local}@{host}",) * 3 + (f"{local} @ {host}", f"{local} at {host.replace('.', ' dot ')}", f"{local}[at]{host}", f"{local} (at) {host}"))
+        local = pick((name(), name().capitalize())) + pick(("", ".", "_", "-", "+", "")) + pick(("", name(), digits(2)))
+        labels = [name() + pick(("", "", digits(1), "-" + name())), *pick((("example", "com"), ("com",), ("org",), ("net",), ("co", "uk"), ("de",), ("mail", "io")))]
+        sign = pick(("@", " @ ", " at ", " at ", "[at]", " [at] ", "(at)", " (at) ", "{at}", "<at>", " AT ", " (AT) "))
+        dot = pick((".", ".", " dot ", " dot ", "[dot]", " [dot] ", "(dot)", " (dot) ", "[.]", " . ", " DOT "))
+        return local + sign + dot.join(labels) if r.random() < 0.8 else f"{local}@{'.'.join(labels)}"
 
     def ip() -> str:
-        return ".".join(str(int(x)) for x in r.integers(0, 256, 4))
+        return pick((".", ".", "[.]", "[.]", "(.)", " . ", "[dot]", " dot ")).join(str(int(x)) for x in r.integers(0, 256, 4))
 
     def card() -> str:
-        body = digits(15)
-        last = next(str(d) for d in range(10) if luhn(body + str(d)))
-        s = body + last
-        return pick((s, s, " ".join(s[i : i + 4] for i in range(0, 16, 4)), "-".join(s[i : i + 4] for i in range(0, 16, 4))))
+        size = pick((16, 16, 16, 15, 13))
+        body = digits(size - 1)
+        s = body + next(str(d) for d in range(10) if luhn(body + str(d)))
+        parts = [s[i : i + 4] for i in range(0, size, 4)] if size != 15 else [s[:4], s[4:10], s[10:]]
+        return pick((s, " ".join(parts), "-".join(parts), ".".join(parts), "  ".join(parts), " - ".join(parts)))
 
     def phone() -> str:
         a, b, c = digits(3), digits(3), digits(4)
-        return pick((f"+{pick('123456789')} ({a}) {b}-{c}", f"+{digits(2)} {a} {b} {c}", f"({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+1{a}{b}{c}"))
+        return pick((f"+{pick('123456789')} ({a}) {b}-{c}", f"+{digits(2)} {a} {b} {c}", f"({a}) {b}-{c}", f"({a}) {b} {c}", f"({a}){b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"1-{a}-{b}-{c}", f"00{digits(2)} {a} {b} {c}", f"0{digits(2)} {c} {digits(4)}", f"0{digits(3)}/{digits(6)}", f"0{digits(3)}-{digits(7)}", f"+1{a}{b}{c}"))
 
     def other() -> str:
-        code = "".join(pick("0123456789abcdef") for _ in range(int(r.integers(12, 40))))
-        return pick((digits(int(r.integers(1, 9))), code, f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(2)}:{digits(2)}", f"{digits(1)}.{digits(2)}", f"{digits(2)}.{digits(1)}.{digits(1)}", f"({digits(int(r.integers(1, 5)))})", f"{digits(3)}-{digits(2)}", f"{digits(2)}/{digits(2)}/{digits(4)}", f"meet at {name()}", f"x @ {digits(2)}", f"dot {name()} at", f"token = \"{code}\""))
+        code = "".join(pick("0123456789abcdef") for _ in range(between(12, 40)))
+        return pick((
+            digits(between(1, 9)), digits(between(9, 22)), code, f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(2)}:{digits(2)}", f"{digits(1)}.{digits(2)}", f"{digits(2)}.{digits(1)}.{digits(1)}",
+            f"({digits(between(1, 5))})", f"{digits(3)}-{digits(2)}", f"{digits(2)}/{digits(2)}/{digits(4)}", f"meet at {name()}", f"meet at {name()}. {name().capitalize()}", f"x @ {digits(2)}", f"@{name()}",
+            f"dot {name()} at", f'token = "{code}"', f"{digits(2)}.{digits(2)}.{digits(4)}", f"v{digits(1)}.{digits(1)}.{digits(2)}", f"{digits(1)},{digits(3)},{digits(3)}", f"https://{name()}.{pick(('com', 'org'))}/{name()}/{digits(4)}",
+            f"{name()}.{name()}", f"{digits(3)}.{digits(2)} {pick(('kg', 'eur', '%'))}", f"{name()} dot {name()}", f"{pick(('look', 'stay', 'arrive'))} at {name()} at {digits(2)}:{digits(2)}", f"[{digits(between(1, 3))}]", f"{digits(2)} {digits(2)}", f"No. {digits(between(4, 8))}",
+        ))
 
     make = {"email": email, "ip": ip, "card": card, "phone": phone}
     X, Y, M, texts = np.full((n, width), CLASSES - 1, np.int64), np.zeros((n, width), np.int64), np.zeros((n, width), bool), []
@@ -283,16 +298,17 @@ def generate(n: int, seed: int, width: int = WINDOW) -> tuple[np.ndarray, np.nda
         while len(text) < width:
             what = r.random()
             text += " " * bool(text and text[-1] != "\n")
-            if what < 0.1:
+            if what < 0.16:
                 kind = pick(KINDS)
                 s = make[kind]()
-                if len(text) + len(s) <= width:
-                    spans.append((kind, len(text), len(text) + len(s)))
-                    text += s
-                else:
+                opened = pick(("", "", "", "", "(", '"', "<", "tel:", "mail: "))
+                if len(text) + len(opened) + len(s) > width:
                     break
+                text += opened
+                spans.append((kind, len(text), len(text) + len(s)))
+                text += s + pick(("", "", "", ".", ",", ";", ")", '"', "\n"))
             else:
-                text += other() if what < 0.2 else word()
+                text += other() if what < 0.3 else word()
         text = text[:width]
         X[row, : len(text)], M[row, : len(text)] = classes(text), True
         for kind, a, b in spans:
@@ -303,42 +319,50 @@ def generate(n: int, seed: int, width: int = WINDOW) -> tuple[np.ndarray, np.nda
 
 @functools.lru_cache(maxsize=1)
 def trained() -> Tagger:
-    x, tags, mask, _ = generate(3000, SEED)
+    x, tags, mask, _ = generate(EXAMPLES, SEED)
     model = Tagger()
     model.fit(x, tags, mask)
     return model
 
 
 # ---------------------------------------------------------------- decoding
-_TRIGGER = re.compile(r"[0-9@]|[\[( ]at[\]) ]")
+_AT = r"(?: ?@ ?| ?[\[({<] ?at ?[\])}>] ?| at )"
+_DOT = r"(?: ?\. ?| ?[\[({<] ?(?:dot|\.) ?[\])}>] ?| dot )"
+_SPELLED = re.compile(rf"(?i)(?=({_AT}[A-Z0-9-]+{_DOT}[A-Z0-9-]))")
 _SOUND = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|\[at\]|\(at\)| at ) ?[A-Za-z0-9-]+(?:(?:\.| dot )[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"),
-    "card": re.compile(r"[0-9](?:[\x20-]?[0-9]){11,18}"),
-    "phone": re.compile(r"\(?\+?[0-9][\x20().0-9-]{5,22}[0-9]"),
+    "email": re.compile(rf"(?i)[A-Z0-9._%+-]+{_AT}[A-Z0-9-]+(?:{_DOT}[A-Z0-9-]+)+"),
+    "ip": re.compile(rf"(?i)[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}"),
+    "card": re.compile(r"[0-9](?:[ .-]{0,3}[0-9]){11,18}"),
+    "phone": re.compile(r"[+(]{0,2}[0-9][ ()./-]{0,3}(?:[0-9][ ()./-]{0,3}){7,13}[0-9]"),
 }
 
 
 def _sound(kind: str, s: str) -> bool:
-    """What a reading must look like to be reported, whatever its score."""
+    """What a reading must be, whatever its score: an address has one at and dots between names, an IP four bytes, a card 12 to
+    19 digits passing Luhn, a telephone number 9 to 15 digits with some separator or sign among them."""
     if not _SOUND[kind].fullmatch(s):
         return False
     digits = "".join(_DIGITS.findall(s))
     if kind == "ip":
-        return all(int(p) <= 255 for p in s.split("."))
+        return all(int(p) <= 255 for p in _DIGITS.findall(s))
     if kind == "card":
         return luhn(digits)
-    return kind == "email" or 9 <= len(digits) <= 15 and not s.replace(".", "").isdigit()
+    return kind == "email" or 9 <= len(digits) <= 15 and digits != s
 
 
 def windows(text: str) -> list[tuple[int, int]]:
-    """Overlapping windows over the stretches within MARGIN of a trigger; all starts are multiples of STRIDE."""
-    starts: dict[int, None] = {}
-    for m in _TRIGGER.finditer(text):
-        for k in range(max(0, m.start() - MARGIN) // STRIDE - 1, (m.end() + MARGIN) // STRIDE + 1):
-            if k >= 0 and k * STRIDE < len(text):
-                starts[k * STRIDE] = None
-    return [(a, min(a + WINDOW, len(text))) for a in starts]
+    """Those of the overlapping windows (starts are multiples of STRIDE) that hold what every reported span holds."""
+    starts: set[int] = set()
+    for a, b in [*((m.start(), m.end()) for m in _MARK.finditer(text)), *(m.span(1) for m in _SPELLED.finditer(text))]:
+        starts.update(range(max(0, b - WINDOW + STRIDE - 1) // STRIDE, a // STRIDE + 1))
+    return [(k * STRIDE, min(k * STRIDE + WINDOW, len(text))) for k in sorted(starts)]
+
+
+def all_windows(text: str) -> list[tuple[int, int]]:
+    return [(a, min(a + WINDOW, len(text))) for a in range(0, len(text), STRIDE)]
+
+
+_MARK = re.compile(r"[0-9@]")
 
 
 def reconcile(readings: list[tuple[float, Span]]) -> list[Span]:
@@ -363,13 +387,13 @@ def reconcile(readings: list[tuple[float, Span]]) -> list[Span]:
     return out[::-1]
 
 
-def model_spans(texts: list[str], model: Tagger) -> list[list[Span]]:
+def model_spans(texts: list[str], model: Tagger, choose=windows) -> list[list[Span]]:
     """Spans that the model reads in each text."""
-    where = [(k, a, b) for k, text in enumerate(texts) for a, b in windows(text)]
+    where = [(k, a, b) for k, text in enumerate(texts) for a, b in choose(text)]
     readings: list[list] = [[] for _ in texts]
     codes: dict[int, np.ndarray] = {}
-    for at in range(0, len(where), 4096):
-        some = where[at : at + 4096]
+    for at in range(0, len(where), DECODED):
+        some = where[at : at + DECODED]
         x, mask = np.full((len(some), WINDOW), CLASSES - 1, np.int64), np.zeros((len(some), WINDOW), bool)
         for row, (k, a, b) in enumerate(some):
             if k not in codes:
@@ -427,4 +451,5 @@ def find_pii(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents, one row each; nulls, repeats, extra columns and empty tables as in ``find_pii``."""
     return find_pii(common.table(spark, sf_dir, "documents"))
