@@ -1,4 +1,8 @@
-"""Benchmark decontamination by a generalised suffix automaton over normalised words."""
+"""Benchmark decontamination by a generalised suffix automaton over normalised words.
+
+The driver builds the automaton of a block of items once and broadcasts it as flat arrays. Tasks walk many stretches of text
+through it in step, each with its state and the length of its longest match, in array operations.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +19,9 @@ from . import common
 
 WINDOW = 10
 MAX_COVERAGE = 0.5
-BLOCK_WORDS = 2_000_000  # of items that one automaton holds; more items make more automata, one pass each
+BLOCK_WORDS = 500_000  # of items that one automaton holds (some 0.5 GB to build, 30 MB to send); more items make more automata, one pass each
+STRETCH = 512  # words that are walked in a row
+PORTION = 200_000  # words that are worked on at once, but for a longer document
 
 # Words of the contract. UTF-8 bytes of 0x80 and above belong to characters that are word characters.
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -27,44 +33,57 @@ def normalised(text: str | None) -> list[bytes]:
 
 
 class Automaton:
-    """Suffix automaton of several word sequences: all their factors, each with the set of items it occurs in.
+    """Suffix automaton of several word sequences: all their factors, each with the items it occurs in.
 
-    ``windows`` of an item are its factors of ``window`` words, or the whole item where it is shorter (but not empty)."""
+    ``windows`` of an item are its factors of ``window`` words, or the whole item where it is shorter (but not empty).
+    States are numbers; edges are (state * words + word) in ascending order, with their targets."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW):
         self.window, self.vocabulary, self.names = window, {}, [name for name, _ in items]
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        owners: list[set[int]] = [set()]  # items that end a factor in this state; spread over the links below
-        short: dict[int, list[int]] = {}  # state of a whole short item: the items
+        nxt: list[dict[int, int]] = [{}]
+        link, length = [-1], [0]
+        full, short = [], []  # (state, item): of each factor that a whole window ends, and of each short item
         for k, (_, words) in enumerate(items):
             last = 0
-            for w in words:
-                last = self._extend(last, self.vocabulary.setdefault(w, len(self.vocabulary)), owners)
-                if len(words) >= window:
-                    owners[last].add(k)
+            for i, w in enumerate(words, 1):
+                last = self._extend(nxt, link, length, last, self.vocabulary.setdefault(w, len(self.vocabulary)))
+                if i >= window:
+                    full.append((last, k))
             if 0 < len(words) < window:
-                short.setdefault(last, []).append(k)
+                short.append((last, k))
         self.least = min([window, *(len(w) for _, w in items if w)])
-        for s in sorted(range(1, len(self.link)), key=self.length.__getitem__, reverse=True):
-            if self.link[s] > 0:
-                owners[self.link[s]] |= owners[s]
-        #: By state: items of the window-word suffix, and (length, items) of short items among its suffixes.
-        self.full = [owners[s] if self.length[s] >= window else set() for s in range(len(self.link))]
-        self.short: list[tuple] = [()] * len(self.link)
-        for s in sorted(range(1, len(self.link)), key=self.length.__getitem__):
-            up = self.short[self.link[s]]
-            self.short[s] = (*up, (self.length[s], tuple(short[s]))) if s in short else up
-
-    def _extend(self, last: int, c: int, owners: list) -> int:
-        nxt, link, length = self.next, self.link, self.length
-
+        self.link, self.length = np.array(link, np.int32), np.array(length, np.int32)
+        self.link[0] = 0
+        n, v = len(link), max(1, len(self.vocabulary))
+        edges = sum(map(len, nxt))
+        keys = np.fromiter((s * v + c for s, e in enumerate(nxt) for c in e), np.int64, edges)
+        goals = np.fromiter((t for e in nxt for t in e.values()), np.int32, edges)
+        del nxt
+        order = np.argsort(keys)
+        self.edges, self.goals = keys[order], goals[order]
+        self.root = np.zeros(v, np.int32)
+        for c, t in zip(keys[keys < v].tolist(), goals[keys < v].tolist(), strict=True):
+            self.root[c] = t
+        # By state: the state of its suffix of just ``window`` words (-1: shorter), and the nearest suffix that is a short item (-1: none)
+        self.whole, self.brief = np.full(n, -1, np.int32), np.full(n, -1, np.int32)
+        ends = np.zeros(n, bool)
+        ends[[s for s, _ in short]] = True
+        for s in np.argsort(self.length, kind="stable")[1:].tolist():
+            up = link[s]
+            if length[s] >= window:
+                self.whole[s] = s if length[up] < window else self.whole[up]
+            self.brief[s] = s if ends[s] else self.brief[up] if up > 0 else -1
+        pairs = lambda some: np.unique(np.array(some, np.int64).reshape(-1, 2), axis=0)
+        self.full = pairs([(self.whole[s], k) for s, k in full])
+        self.short = pairs(short)
+
+    @staticmethod
+    def _extend(nxt: list, link: list, length: list, last: int, c: int) -> int:
         def clone(p: int, q: int) -> int:
             r = len(nxt)
             nxt.append(dict(nxt[q]))
             link.append(link[q])
             length.append(length[p] + 1)
-            owners.append(set())
             link[q] = r
             while p >= 0 and nxt[p].get(c) == q:
                 nxt[p][c] = r
@@ -78,7 +97,6 @@ class Automaton:
         nxt.append({})
         link.append(0)
         length.append(length[last] + 1)
-        owners.append(set())
         while p >= 0 and c not in nxt[p]:
             nxt[p][c] = cur
             p = link[p]
@@ -87,72 +105,123 @@ class Automaton:
             link[cur] = q if length[q] == length[p] + 1 else clone(p, q)
         return cur
 
-    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
-        """Stretches [start, stop) of words inside occurring windows, merged and ascending, and the items whose windows occur.
+    def _step(self, state: np.ndarray, n: np.ndarray, c: np.ndarray) -> None:
+        """Moves each walk on by a word: to the longest suffix of what it has matched that the word continues."""
+        v, left = len(self.root), np.arange(len(state))
+        while len(left):
+            at_root = state[left] == 0
+            some = left[at_root]
+            to = self.root[c[some]]
+            state[some], n[some] = to, to > 0
+            left = left[~at_root]
+            keys = state[left].astype(np.int64) * v + c[left]
+            at = np.minimum(np.searchsorted(self.edges, keys), len(self.edges) - 1)
+            there = self.edges[at] == keys
+            some = left[there]
+            state[some] = self.goals[at[there]]
+            n[some] += 1
+            left = left[~there]
+            state[left] = self.link[state[left]]
+            n[left] = self.length[state[left]]
+
+    def scan_all(self, texts: list[list[bytes]]) -> list[tuple[list[tuple[int, int]], list]]:
+        """Per text: stretches [start, stop) of words inside occurring windows, merged and ascending, and the names of the items
+        whose windows occur, sorted, without repeats (None, the name of items without one, last).
 
         The automaton is back at its root after any word outside its vocabulary, so only runs of known words that are as long
-        as the shortest window are walked."""
-        ids = np.fromiter(map(self.vocabulary.get, words, itertools.repeat(-1)), np.int32, len(words))
+        as the shortest window are walked. Whether a window ends at a word depends on that many words alone, so long runs are cut
+        into stretches that overlap by so many."""
+        sizes = np.array([len(w) for w in texts], np.int64)
+        starts = np.concatenate([[0], np.cumsum(sizes + 1)])  # a place without a word after each text
+        ids = np.full(int(starts[-1]) + 1, -1, np.int64)
+        for a, own in zip(starts.tolist(), texts, strict=False):
+            ids[a : a + len(own)] = np.fromiter(map(self.vocabulary.get, own, itertools.repeat(-1)), np.int64, len(own))
         edges = np.flatnonzero(np.diff(np.concatenate([[0], (ids >= 0).astype(np.int8), [0]])))
-        starts, stops = edges[::2], edges[1::2]
-        long = stops - starts >= self.least
-        spans: list[tuple[int, int]] = []
-        items: set[int] = set()
-        nxt, link, length, window = self.next, self.link, self.length, self.window
-
-        def hit(a: int, b: int) -> None:
-            while spans and a <= spans[-1][1]:
-                a, b = min(a, spans[-1][0]), max(b, spans[-1][1])
-                spans.pop()
-            spans.append((a, b))
-
-        for a, b in zip(starts[long].tolist(), stops[long].tolist(), strict=True):
-            state = n = 0
-            for i, c in enumerate(ids[a:b].tolist(), a):
-                while state and c not in nxt[state]:
-                    state = link[state]
-                    n = length[state]
-                if c in nxt[state]:
-                    state, n = nxt[state][c], n + 1
-                if n >= window:
-                    s = state
-                    while length[link[s]] >= window:
-                        s = link[s]
-                    if self.full[s]:
-                        items |= self.full[s]
-                        hit(i + 1 - window, i + 1)
-                if self.short[state]:
-                    for size, names in self.short[state]:
-                        if size <= n:
-                            items.update(names)
-                            hit(i + 1 - size, i + 1)
-        return spans, items
+        begun, ended = edges[::2], edges[1::2]
+        long = ended - begun >= self.least
+        begun, ended = begun[long], ended[long]
+        cuts = -(-(ended - begun) // STRETCH)
+        which = np.repeat(np.arange(len(cuts)), cuts)
+        nth = np.arange(len(which)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        first = begun[which] + nth * STRETCH
+        last = np.minimum(first + STRETCH, ended[which])
+        first = np.maximum(begun[which], first - self.window + 1)
+        order = np.argsort(first - last, kind="stable")  # longest first: those still walking stand in front
+        first, length = first[order], (last - first)[order]
+        state, n = np.zeros(len(first), np.int32), np.zeros(len(first), np.int32)
+        places, widths, owners = [], [], []
+        for t in range(int(length[0]) if len(length) else 0):
+            walking = int(np.searchsorted(-length, -t, "left"))
+            here, s, m = first[:walking] + t, state[:walking], n[:walking]
+            self._step(s, m, ids[here])
+            hit = np.flatnonzero(m >= self.window)
+            places.append(here[hit])
+            widths.append(np.full(len(hit), self.window))
+            owners.append(self.whole[s[hit]])
+            if len(self.short):
+                live, at = np.flatnonzero(self.brief[s] >= 0), self.brief[s[self.brief[s] >= 0]]
+                while len(live):
+                    fits = self.length[at] <= m[live]
+                    places.append(here[live[fits]])
+                    widths.append(self.length[at[fits]])
+                    owners.append(~at[fits])  # below 0: a short item's state
+                    at = self.brief[self.link[at]]
+                    live, at = live[at >= 0], at[at >= 0]
+        places, widths, owners = (np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64) for x in (places, widths, owners))
+        depth = np.zeros(len(ids) + 1, np.int32)
+        np.add.at(depth, places + 1 - widths, 1)
+        np.add.at(depth, places + 1, -1)
+        covered = np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(depth) > 0).astype(np.int8), [0]])))
+        out: list[tuple[list, list]] = [([], []) for _ in texts]
+        for a, b in zip(covered[::2].tolist(), covered[1::2].tolist(), strict=True):
+            k = int(np.searchsorted(starts, a, "right")) - 1
+            out[k][0].append((a - int(starts[k]), b - int(starts[k])))
+        whose = np.unique(np.stack([np.searchsorted(starts, places, "right") - 1, owners], axis=1), axis=0) if len(places) else np.empty((0, 2), np.int64)
+        named: dict[int, set] = {}
+        for k, owner in whose.tolist():
+            table, key = (self.full, owner) if owner >= 0 else (self.short, ~owner)
+            a, b = np.searchsorted(table[:, 0], [key, key + 1])
+            named.setdefault(k, set()).update(self.names[i] for i in table[a:b, 1].tolist())
+        for k, names in named.items():
+            out[k][1].extend(sorted(names, key=lambda x: (x is None, x or "")))
+        return out
+
+    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], list]:
+        return self.scan_all([words])[0]
+
+
+def _scanned(automaton: Automaton, texts):
+    """(words, stretches, items) of each text, some PORTION of words at a time."""
+    held: list[list[bytes]] = []
+    n = 0
+    for text in texts:
+        own = normalised(text)
+        if held and n + len(own) > PORTION:
+            yield from ((len(w), *r) for w, r in zip(held, automaton.scan_all(held), strict=True))
+            held, n = [], 0
+        held.append(own)
+        n += len(own)
+    if held:
+        yield from ((len(w), *r) for w, r in zip(held, automaton.scan_all(held), strict=True))
 
 
 def _blocks(benchmark: DataFrame, block_words: int):
     """How many blocks of so many words at most (one item at least) the items make, and a function that fetches one of them."""
-    items = common.only(benchmark, item_id="string", text="string").where("item_id IS NOT NULL AND text IS NOT NULL")
+    items = common.only(benchmark, item_id="string", text="string").where("text IS NOT NULL")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-chars // (block_words * 6)))
     part = lambda k: items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) if n > 1 else items
     return n, lambda k: [(r[0], r[1]) for r in part(k).orderBy("item_id", "text").collect()]
 
 
-def _scan(source: DataFrame, block: list[tuple[str, str]], window: int) -> DataFrame:
+def _scan(source: DataFrame, block: list[tuple[str | None, str]], window: int) -> DataFrame:
     """Per row of (doc_id, text): doc_id, n_words, and the spans and items that one automaton finds."""
-    sent = source.sparkSession.sparkContext.broadcast(block)
-    held = {}
+    sent = source.sparkSession.sparkContext.broadcast(Automaton([(name, normalised(text)) for name, text in block], window))
     names = ["doc_id", "n_words", "spans", "items"]
 
     def run(batch):
-        if not held:
-            held[0] = Automaton([(name, normalised(text)) for name, text in sent.value], window)
-        automaton, out = held[0], []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            own = normalised(text.as_py())
-            spans, items = automaton.scan(own)
-            out.append((doc_id, len(own), [{"start": a, "stop": b} for a, b in spans], sorted({automaton.names[k] for k in items})))
-        cols = list(zip(*out, strict=True))
+        found = list(_scanned(sent.value, (t.as_py() for t in batch.column(1))))
+        cols = [batch.column(0).to_pylist(), [f[0] for f in found], [[{"start": a, "stop": b} for a, b in f[1]] for f in found], [f[2] for f in found]]
         types = (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])), pa.list_(pa.string()))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
@@ -178,10 +247,10 @@ def _merged(numbered: DataFrame, n: int, fetch, window: int) -> DataFrame:
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, items (sorted item_ids), spans ([start, stop) of hit words).
 
-    A broadcast holds one automaton's items, ``block_words`` words at most; a larger benchmark takes several passes, whose
+    A broadcast holds one automaton, of items of ``block_words`` words at most; a larger benchmark takes several passes, whose
     stretches are merged per document. Documents are never exchanged in a single pass.
-    Null or empty texts have no words. Null item_ids or texts take no part; rows that repeat an item_id are one item with the
-    windows of each. Rows that repeat a doc_id are documents of their own (with several passes, those with equal texts are
+    Null or empty texts have no words. Items with a null text take no part; rows that repeat an item_id are one item with the
+    windows of each, and those without an item_id are one item whose name is null. Rows that repeat a doc_id are documents of their own (with several passes, those with equal texts are
     one computation each). Extra columns are ignored."""
     narrow = common.only(docs, doc_id="long", text="string")
     n, fetch = _blocks(benchmark, block_words)
@@ -214,20 +283,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
 
     Keeps the columns of docs. Documents without a hit are kept as they are. The automaton is in one broadcast (see
     ``contamination``), and documents stay where they are; of a benchmark beyond that bound each block makes its own pass over
-    the uncut documents, and the merged stretches of all blocks are judged and cut once."""
+    the uncut documents, and the merged stretches of all blocks are judged and cut once. Null and empty texts are kept; rows that
+    repeat are each cut alike; null doc_ids and columns of any other name stay; an empty table gives no rows."""
     fields, columns, spark = docs.schema, docs.columns, docs.sparkSession
 
-    def cut(batch, spans_of):
-        """The batch without its covered documents, the others cut; spans_of: row number and text to (stretches, words)."""
+    def cut(batch, texts, found):
+        """The batch without its covered documents, the others cut; found: (words, stretches) by row."""
         k = batch.schema.get_field_index("text")
-        texts, keep, changed = batch.column(k).to_pylist(), [], False
-        for i, text in enumerate(texts):
-            spans, n_words = spans_of(i, text)
+        keep, changed = [], False
+        for i, (n_words, spans) in enumerate(found):
             if spans:
                 if sum(b - a for a, b in spans) > max_coverage * n_words:
                     keep.append(False)
                     continue
-                texts[i], changed = clean_text(text, spans), True
+                texts[i], changed = clean_text(texts[i], spans), True
             keep.append(True)
         if changed:
             batch = batch.set_column(k, batch.schema.field(k), pa.array(texts, batch.schema.field(k).type))
@@ -235,14 +304,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
 
     n, fetch = _blocks(benchmark, block_words)
     if n == 1:
-        sent = spark.sparkContext.broadcast(fetch(0))
-        held = {}
+        sent = spark.sparkContext.broadcast(Automaton([(name, normalised(text)) for name, text in fetch(0)], window))
 
         def run(batch):
-            if not held:
-                held[0] = Automaton([(name, normalised(text)) for name, text in sent.value], window)
-            own = lambda i, text: (held[0].scan(words := normalised(text))[0], len(words))
-            yield cut(batch, own)
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            yield cut(batch, texts, [(f[0], f[1]) for f in _scanned(sent.value, texts)])
 
         out = common.map_batches(docs, run, fields)
     else:
@@ -252,8 +318,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
         found = common.stored(found.select(F.col("doc_id").alias(row), F.col("spans").alias(where), F.col("n_words").alias(words)), "decontaminate-spans")
 
         def run(batch):
-            spans, sizes = batch.column(batch.schema.get_field_index(where)).to_pylist(), batch.column(batch.schema.get_field_index(words)).to_pylist()
-            yield cut(batch.select(columns), lambda i, text: ([(s["start"], s["stop"]) for s in spans[i] or ()], sizes[i]))
+            told = (batch.column(batch.schema.get_field_index(x)).to_pylist() for x in (words, where))
+            own = batch.select(columns)
+            yield cut(own, own.column(own.schema.get_field_index("text")).to_pylist(), [(m, [(s["start"], s["stop"]) for s in spans or ()]) for m, spans in zip(*told, strict=True)])
 
         out = common.map_batches(keyed.join(found, row, "left"), run, fields)
     if "n_chars" in out.columns:
@@ -262,6 +329,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents against benchmark; nulls, repeats, extra columns and empty tables as in ``contamination``. An item_id that is null
+    counts as an item and adds nothing to items_sha256."""
     found = contamination(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),

@@ -1,3 +1,7 @@
+import pickle
+import random
+import time
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -24,15 +28,35 @@ words = st.lists(st.sampled_from([b"a", b"b", b"c", b"z"]), max_size=14)
 
 
 @settings(max_examples=400, deadline=None)
-@given(words, st.lists(words, max_size=5), st.integers(1, 5))
-def test_automaton(text, items, window):
-    named = [(f"i{k}", w) for k, w in enumerate(items)]
-    automaton = d.Automaton(named, window)
-    spans, found = automaton.scan(text)
-    hit, names = brute(text, named, window)
-    assert {p for a, b in spans for p in range(a, b)} == hit
-    assert {automaton.names[k] for k in found} == names
-    assert all(x[1] < y[0] for x, y in zip(spans, spans[1:], strict=False))
+@given(st.lists(words, max_size=4), st.lists(words, max_size=5), st.integers(1, 5), st.integers(1, 9))
+def test_automaton(texts, items, window, stretch):
+    named = [(f"i{k}" if k else None, w) for k, w in enumerate(items)]
+    automaton, d.STRETCH = pickle.loads(pickle.dumps(d.Automaton(named, window))), stretch
+    try:
+        got = automaton.scan_all(texts)
+    finally:
+        d.STRETCH = 512
+    for text, (spans, found) in zip(texts, got, strict=True):
+        hit, names = brute(text, named, window)
+        assert {p for a, b in spans for p in range(a, b)} == hit
+        assert found == sorted(names, key=lambda x: (x is None, x or ""))
+        assert all(x[1] < y[0] for x, y in zip(spans, spans[1:], strict=False))
+
+
+def test_automaton_is_small_and_quick():
+    r = random.Random(1)
+    vocabulary = [f"w{i}".encode() for i in range(20_000)]
+    text = [r.choice(vocabulary) for _ in range(50_000)]
+    began = time.perf_counter()
+    automaton = d.Automaton([("x", text)])
+    assert time.perf_counter() - began < 10 and len(pickle.dumps(automaton)) < 100 * len(text)
+    assert automaton.scan(text[40_000:40_500] + [b"other"])[0] == [(0, 500)]
+
+
+def test_items_without_an_id(spark):
+    bench = spark.createDataFrame([(None, "a b"), (None, "c d"), ("x", "a b")], "item_id string, text string")
+    got = {r.doc_id: r for r in d.contamination(docs(spark, [(1, "a b c d"), (2, "c d"), (3, "b c")]), bench).collect()}
+    assert (got[1].n_hit, got[1]["items"]) == (4, ["x", None]) and (got[2].n_hit, got[2]["items"]) == (2, [None]) and (got[3].n_hit, got[3]["items"]) == (0, [])
 
 
 def test_words():
