@@ -13,7 +13,10 @@ from mosaica.llm import common, decontaminate, mixing, similarity, token_output,
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score as toxic go. The model is fitted on labelled documents of this stage's input."""
+    """Documents that score as toxic go. The model is fitted on labelled documents of this stage's input.
+
+    Null and empty texts hold no toxic word and stay; repeated rows are judged alike; all columns stay, whatever their names; without
+    labels nothing goes."""
     model = toxicity.fit(*toxicity.labelled_sample(docs, common.table(spark, sf_dir, "labels")))
     return toxicity.drop_toxic(docs, model)
 
@@ -38,18 +41,23 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark passages are cut out; documents that consist of them for the most part go."""
+    """Benchmark passages are cut out; documents that consist of them for the most part go.
+
+    Null and empty texts stay; repeated rows are cut alike; all columns stay; without items nothing is cut."""
     return decontaminate.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mix."""
+    """All documents, in the order of the mix, at the sources' natural weights.
+
+    Null sources are a source; null and empty texts have no length; rows that repeat a doc_id stand together; all columns stay."""
     return mixing.mix(docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of all documents; returns doc_id, start, n_tokens, ids_crc32 as read back from them."""
-    shards = token_output.write_tokens(docs, common.new_path(spark, "tokens"))
+    """Token files of all documents in the order of docs' files, which is the mix's; returns doc_id, start, n_tokens, ids_crc32 as
+    read back from them. Null and empty texts have the end id alone; repeated rows stay; extra columns go; no rows give no files."""
+    shards = token_output.write_tokens(docs, common.new_path(spark, "tokens"), as_stored=True)
     return token_output.read_tokens(shards).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

@@ -19,6 +19,7 @@ protocol then makes them whole however often a task is retried, and any Hadoop f
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import struct
@@ -27,6 +28,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -88,20 +90,31 @@ def _tokenizer(path: str):
 
     tokenizer = Tokenizer.from_file(path)
     specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    return tokenizer, _Pieces(tokenizer), specials
+    return tokenizer, _Pieces(tokenizer) if _by_pieces(json.loads(tokenizer.to_str())) else None, specials
+
+
+def _by_pieces(made: dict) -> bool:
+    """Whether a tokenizer cuts text as _PIECES does and encodes each piece by itself: byte-level BPE, and nothing else."""
+    cut, model = made["pre_tokenizer"] or {}, made["model"]
+    return (
+        made["normalizer"] is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+        and model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        and made["truncation"] is None and made["padding"] is None
+    )
 
 
 def encode_text(text: str | None, path: str) -> np.ndarray:
     """Ids of one text, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them. Null: none.
 
-    Text beyond U+00FF, and text that spells a special token, goes to the library whole; other text is cut into the pieces
-    that its pre-tokenizer would make, and the library's model encodes each piece that is not remembered."""
+    Text beyond U+00FF, text that spells a special token, and any text where the tokenizer is not plain byte-level BPE, goes to the
+    library whole; other text is cut into the pieces that its pre-tokenizer would make, and the library's model encodes each piece
+    that is not remembered."""
     if not text:
         return np.empty(0, np.uint32)
     tokenizer, pieces, specials = _tokenizer(path)
     try:
         text.encode("latin-1")
-        plain = not any(s in text for s in specials)
+        plain = pieces is not None and not any(s in text for s in specials)
     except UnicodeEncodeError:
         plain = False
     if plain:
@@ -207,20 +220,24 @@ def shard_lengths(image: bytes) -> np.ndarray:
 SHARDS = "part int, seq int, n_ids long, doc_ids array<long>, image binary"
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, block: int = BLOCK, percentile: float = PERCENTILE, shard_ids: int = SHARD_IDS) -> DataFrame:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, block: int = BLOCK, percentile: float = PERCENTILE, shard_ids: int = SHARD_IDS, as_stored: bool = False) -> DataFrame:
     """Writes documents (doc_id, text) as PFOR shards in ascending doc_id order; returns the shard table as read back.
 
-    Text, not ids, is exchanged (it is the smaller of the two): one range exchange on doc_id, then each task sorts its
+    ``as_stored``: in the order instead that docs' rows have in the files they are read from (a mix, for example); docs that are
+    not read from files go by doc_id.
+
+    Text, not ids, is exchanged (it is the smaller of the two): one range exchange on the order, then each task sorts its
     range, encodes it and cuts shards, so no task holds more than one shard. Ties on doc_id are ordered by text, and the
     exchange may cut inside them. A null text has the end id alone; a null doc_id sorts first. Extra columns are ignored.
     An empty table gives no shard."""
     tokenizer = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
-    ordered = (
-        common.only(docs, doc_id="long", text="string")
-        .repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
-        .select("doc_id", "text")
-    )
+    narrow = common.only(docs, doc_id="long", text="string")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    if as_stored and _from_files(docs):
+        number = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).try_cast("long")
+        narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), number.alias("_part"), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        order = [F.col("_part").asc_nulls_first(), F.col("_file"), F.col("_row")]
+    ordered = narrow.repartitionByRange(*order).sortWithinPartitions(*order, *(["text"] if len(order) == 2 else [])).select("doc_id", "text")
 
     def run(batches):
         from pyspark import TaskContext
@@ -249,6 +266,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     return docs.sparkSession.read.schema(SHARDS).parquet(path)
 
 
+def _from_files(docs: DataFrame) -> bool:
+    try:
+        return bool(docs.select("_metadata.file_name", "_metadata.row_index").schema)
+    except AnalysisException:
+        return False
+
+
 def read_tokens(shards: DataFrame) -> DataFrame:
     """Per document, from the shard images: doc_id, start, n_tokens, ids_crc32 (and part, seq).
 
@@ -280,5 +304,6 @@ def read_tokens(shards: DataFrame) -> DataFrame:
 
 
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents in token files, and what these say of each. Nulls, repeats, extra columns and empty tables as in ``write_tokens``."""
     shards = write_tokens(common.table(spark, sf_dir, "documents"), common.new_path(spark, "tokens"))
     return read_tokens(shards).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -6,8 +6,9 @@ bound of the log odds decides); words of clean documents are clean. The CRF has
 (word identity, character 3- to 5-grams with word ends), its transitions are learned, and sequences are 128 consecutive words. A
 logistic layer, fitted on labelled documents that the CRF did not see, turns pooled marginals into the score.
 
-Fitting uses at most ``MAX_LABELLED`` labelled documents (those with the smallest hash of doc_id, drawn alike from both
-labels); scoring is a map over all documents without exchange.
+Fitting uses a bounded sample: at most ``MAX_LABELLED`` labelled documents (those with the smallest hash of doc_id, drawn alike
+from both labels) of ``MAX_LABELLED_CHARS`` characters in all, whole texts each; and of their sequences without a toxic word at
+most ``CLEAN_SEQUENCES``, or ``CLEAN_RATIO`` times those with one. Scoring is a map over all documents without exchange.
 """
 
 from __future__ import annotations
@@ -16,19 +17,22 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 MAX_LABELLED = 4000
+MAX_LABELLED_CHARS = 16_000_000  # of the sample; a text of more than a sixteenth of that is not drawn
+CLEAN_SEQUENCES, CLEAN_RATIO = 2000, 4
 SEQUENCE = 128
 SLOTS = 1 << 19  # of the hashed weights
 CHARS = 1_500_000  # of texts that are worked on at once
-ITERATIONS, CALIBRATION = 45, 0.4
+ITERATIONS, CALIBRATION = 45, 0.25
 THRESHOLD = 0.5
 LEAST = 0.05  # marginal from which a word counts for its document
-SURE = 2.3  # lower bound of the log odds of a feature that labels tokens
+SURE = 1.5  # lower bound of the log odds of a feature that labels tokens
+REGULAR = 4.0  # of the weights: the curvature of their prior
 
 _WORD = re.compile(r"[^\W\d_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -203,7 +207,7 @@ def fit(texts: list[str | None], toxic: list[int], odds: float | None = None, se
     rng = np.random.default_rng(seed)
     pos = np.array([gold[r[r >= 0]].any() for r in seq], bool)
     rest = np.flatnonzero(~pos)
-    seq = np.concatenate([seq[pos], seq[rng.permutation(rest)[: max(2000, 4 * int(pos.sum()))]]])
+    seq = np.concatenate([seq[pos], seq[rng.permutation(rest)[: max(CLEAN_SEQUENCES, CLEAN_RATIO * int(pos.sum()))]]])
     mask = seq >= 0
     real = np.zeros((2, 2))
     g = np.where(mask, gold[seq], 0).astype(int)
@@ -217,7 +221,7 @@ def fit(texts: list[str | None], toxic: list[int], odds: float | None = None, se
         e = model.emissions(blocks)[ids]
         p, trans, begun = model.marginals(e, seq, pairs=True)
         miss = np.bincount(ids[used], p[used], len(vocabulary)) - total
-        slope, at = 4.0 * model.w.astype(np.float64), 0
+        slope, at = REGULAR * model.w.astype(np.float64), 0
         for slots, sizes in blocks:
             slope += np.bincount(slots, np.repeat(miss[at : at + len(sizes)], sizes), SLOTS)
             at += len(sizes)
@@ -250,17 +254,23 @@ def fit(texts: list[str | None], toxic: list[int], odds: float | None = None, se
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> tuple[list, list, float]:
-    """At most ``most`` labelled documents outside the held-out fold, half of each label where there are so many.
+def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, chars: int = MAX_LABELLED_CHARS) -> tuple[list, list, float]:
+    """At most ``most`` labelled documents outside the held-out fold, half of each label where there are so many, of ``chars``
+    characters at most in all.
 
-    Which rows: those with the smallest hash of doc_id. Top-k per label runs partially in each task, so no task sorts a whole
-    label, and the driver gets ``most`` texts at most. With them, the odds of the toxic label among all labelled rows."""
+    Which rows: those with the smallest hash of doc_id, as long as their texts add up to half of ``chars`` a label; texts of more
+    than a sixteenth of it are passed over. A doc_id with several labels is toxic if one of them says so; one with several texts
+    stands for the smallest. Null ids and other labels take no part. Top-k per label runs partially in each task, so no task
+    sorts a whole label. With the sample, the odds of the toxic label among all labelled rows."""
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
-    narrow = common.only(labels, doc_id="long", toxic="int").where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(fold != 0)
-    ids = [narrow.where(F.col("toxic") == k).select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 2) for k in (0, 1)]
-    chosen = ids[0].union(ids[1]).dropDuplicates(["doc_id"])
-    rows = common.only(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    got = sorted(rows.collect(), key=lambda r: r.doc_id)
+    narrow = common.only(labels, doc_id="long", toxic="int").where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(fold != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    chosen = [narrow.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 2) for k in (0, 1)]
+    rows = common.only(docs, doc_id="long", text="string").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = common.stored(rows, "toxicity-sample")  # ``most`` rows at most
+    sizes = rows.select("doc_id", "toxic", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("size")).where(F.col("size") <= chars // 16)
+    so_far = F.sum("size").over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    drawn = sizes.withColumn("so_far", so_far).where(F.col("so_far") <= chars // 2).select("doc_id")
+    got = sorted(rows.join(F.broadcast(drawn), "doc_id", "left_semi").collect(), key=lambda r: r.doc_id)
     n = {r.toxic: r["count"] for r in narrow.groupBy("toxic").count().collect()}
     return [r.text for r in got], [r.toxic for r in got], (n.get(1, 0) + 0.5) / (n.get(0, 0) + 0.5)
 
@@ -308,7 +318,10 @@ def score_documents(docs: DataFrame, model: Tagger, least: float = 0.5) -> DataF
 
 
 def drop_toxic(docs: DataFrame, model: Tagger, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with all their columns, whose text scores below the threshold."""
+    """The rows of docs, with all their columns, whose text scores below the threshold.
+
+    Null and empty texts score as one without toxic words; repeated rows are judged alike; other columns may have any name; an empty
+    table stays empty."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch):
@@ -324,6 +337,8 @@ def trained(spark: SparkSession, sf_dir: str, most: int = MAX_LABELLED) -> Tagge
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents, one row each, scored by a model of the labels outside the held-out fold; a null doc_id has a null held_out.
+    Nulls, repeats, extra columns and empty tables as in ``score_documents`` and ``labelled_sample``."""
     found = score_documents(common.table(spark, sf_dir, "documents"), trained(spark, sf_dir))
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

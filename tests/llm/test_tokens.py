@@ -28,6 +28,23 @@ def test_ids_are_the_library_s(text):
 Tokenizer_ = Tokenizer.from_file(PATH)
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_other_tokenizers(spark, sf, name):
+    path = public_tokenizers.path(name)
+    own = Tokenizer.from_file(path)
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").limit(60).collect()] + ["It's  1234 ÄÖ\n", "x <|endoftext|> y", ""]
+    assert all(t.encode_text(x, path).tolist() == own.encode(x, add_special_tokens=False).ids for x in texts)
+
+
+def test_the_stored_order_is_kept(spark, library):
+    df = spark.createDataFrame([(i * 7 % 50, f"text {i}") for i in range(50)], "doc_id long, text string").repartitionByRange(4, "text").sortWithinPartitions("text")
+    df = common.stored(df, "t")
+    got = t.read_tokens(t.write_tokens(df, common.new_path(spark, "t"), as_stored=True)).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [i * 7 % 50 for i in sorted(range(50), key=lambda i: f"text {i}")]
+    plain = spark.createDataFrame([(2, "b"), (1, "a")], "doc_id long, text string")
+    assert [r.doc_id for r in t.read_tokens(t.write_tokens(plain, common.new_path(spark, "t"), as_stored=True)).orderBy("start").collect()] == [1, 2]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 500), max_size=1500), st.integers(1, 100))
 def test_round_trip(ids, percentile):
@@ -52,9 +69,9 @@ def test_cut_images_are_refused():
         t.read_ids(b"JUNK" + image[4:])
 
 
-def brute(rows, library):
+def brute(rows, library, ordered=False):
     out, at = [], 0
-    for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+    for doc_id, text in rows if ordered else sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = np.array([*(library.encode(text, add_special_tokens=False).ids if text else []), 0], "<u4")
         out.append((doc_id, at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)

@@ -1,4 +1,5 @@
 import itertools
+import os
 import zlib
 
 import numpy as np
@@ -88,3 +89,36 @@ def test_held_out_labels_are_not_seen(spark, sf):
     got = t.op7_toxicity(spark, sf).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
     assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+def test_the_sample_is_bounded_and_the_same_however_rows_come(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)] + [(1, 0), (2, 1), (None, 1), (3, 7)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(i, "x" * (i + 1)) for i in range(100)] + [(4, "a"), (4, None), (6, "y" * 500), (None, "none")], "doc_id long, text string")
+    one = t.labelled_sample(docs, labels)
+    assert t.labelled_sample(docs.orderBy("text").repartition(7), labels.repartition(5)) == one
+    by = dict(zip(one[0], one[1], strict=True))
+    assert by["xx"] == 1 and by["xxx"] == 1 and by["a"] == 0 and "none" not in by  # contradictory labels: toxic; several texts: the smallest
+    few = t.labelled_sample(docs, labels, chars=1600)
+    assert 0 < sum(map(len, few[0])) <= 1600 and max(map(len, few[0])) <= 100 and set(few[0]) < set(one[0])
+
+
+def test_the_whole_query(spark, sf):
+    """Against the model applied to each text by itself."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    m = t.trained(spark, sf)
+    want = {r.doc_id: t.tag([r.text], m)[0][0] for r in docs}
+    got = {r.doc_id: r for r in t.op7_toxicity(spark, sf).collect()}
+    assert set(got) == set(want) and all(got[i].score == pytest.approx(want[i], abs=1e-9) for i in want)
+
+
+LARGE = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.isdir(LARGE), reason="no larger table")
+def test_recall_on_held_out_rows(spark):
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{LARGE}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0}
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{LARGE}/documents.parquet").select("doc_id", "text").collect() if r.doc_id in labels}
+    scores = t.tag(list(docs.values()), t.trained(spark, LARGE))[0]
+    toxic, said = np.array([labels[i] for i in docs]) == 1, scores >= 0.5
+    assert (said & toxic).sum() / toxic.sum() >= 0.9 and (said & ~toxic).sum() / (~toxic).sum() <= 0.01
+    print("held out:", int((said & toxic).sum()), "of", int(toxic.sum()), "; clean:", int((said & ~toxic).sum()), "of", int((~toxic).sum()))
