@@ -90,6 +90,14 @@ def stored(df: DataFrame, what: str, free: bool = False) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def from_files(df: DataFrame) -> bool:
+    """Whether df's rows are read from files, row by row, so that they come alike and in order each time."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() in ("Project", "Filter"):
+        node = node.children().head()
+    return node.nodeName() == "LogicalRelation"
+
+
 def only(df: DataFrame, **kinds: str) -> DataFrame:
     """The named columns, cast; extra columns go, whatever their names."""
     return df.select(*(F.col(f"`{name}`").cast(kind).alias(name) for name, kind in kinds.items()))

@@ -8,6 +8,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 REMEMBERED = 120_000  # words whose hash a worker remembers
 
@@ -76,49 +78,71 @@ def unpack(raw: bytes, width: int) -> np.ndarray:
 
 
 class Deal:
-    """How hashes, cut to their top ``bits`` bits, are dealt to parts: contiguous ranges, so sorted lists are cut by slicing."""
-
-    def __init__(self, parts: int, bits: int, width: int):
-        self.parts, self.bits, self.width = parts, bits, width
-        self.edges = np.array([-(-(p << bits) // parts) for p in range(parts)], np.uint64)
+    """How hashes, cut to their top ``bits`` bits, are dealt to a power of two of parts: by their topmost bits, so sorted lists are
+    cut by slicing, and there is nothing to send with a task."""
 
-    @classmethod
-    def of(cls, parts: int, width: int = 4) -> Deal:
+    def __init__(self, parts: int, width: int = 4):
         """Parts whose range, and so each value within its part, fits ``width`` bytes (8: whole hashes)."""
-        return cls(parts, min(64, 8 * width + parts.bit_length() - 1), width)
+        self.parts, self.width = parts, width
+        self.top = parts.bit_length() - 1
+        if parts != 1 << self.top:
+            raise ValueError("the number of parts is no power of two")
+        self.bits = min(64, 8 * width + self.top)
+        self.shift = np.uint64(self.bits - self.top)
 
     def cut(self, h: np.ndarray) -> np.ndarray:
         return h >> np.uint64(64 - self.bits)
 
+    def part(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> self.shift if self.top else np.zeros(len(keys), np.uint64)).astype(np.int64)
+
     def split(self, keys: np.ndarray):
         """(part, slice) of ascending keys, for the parts that have some."""
-        at = np.append(np.searchsorted(keys, self.edges), len(keys))
-        for p in np.flatnonzero(np.diff(at)).tolist():
-            yield p, slice(at[p], at[p + 1])
+        if not len(keys):
+            return
+        own = self.part(keys)
+        at = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1, [len(keys)]]).tolist()
+        for p, a, b in zip(own[at[:-1]].tolist(), at, at[1:], strict=False):
+            yield p, slice(a, b)
+
+    def _base(self, part: int) -> np.uint64:
+        return np.uint64(part << int(self.shift)) if self.top else np.uint64(0)
 
     def pack(self, part: int, keys: np.ndarray) -> bytes:
-        return pack(keys - self.edges[part], self.width)
+        return pack(keys - self._base(part), self.width)
 
     def unpack(self, part: int, raw: bytes) -> np.ndarray:
-        return unpack(raw, self.width) + self.edges[part]
+        return unpack(raw, self.width) + self._base(part)
 
 
 # ---------------------------------------------------------------- chunks
-CHUNK_CHARS = 2_000_000
+LEAST_CHUNK, MOST_CHUNK, MOST_PART = 1 << 17, 32_000_000, 64_000_000  # characters
+
+
+def sizes(chars: int) -> tuple[int, int]:
+    """(chunks, parts) for so many characters.
+
+    A chunk sends a row to each part, so rows grow with chunks times parts. Both sizes grow with the root of the text, so that
+    a row keeps carrying as many hashes, up to what a task can hold: 32 million characters a chunk (some 5 million words), 64
+    million a part. From there rows carry fewer: some 300 hashes at 1 TB, 30 at 10 TB, 3 at 100 TB."""
+    root = max(1.0, float(chars)) ** 0.5
+    chunk = min(MOST_CHUNK, max(LEAST_CHUNK, int(90 * root)))
+    part = min(MOST_PART, max(1, int(360 * root)))
+    return max(1, -(-chars // chunk)), 1 << (max(64, -(-chars // part)) - 1).bit_length()
 
 
 def plan(docs: DataFrame) -> tuple[int, int]:
-    """(chunks, parts) for all of docs' text: chunks of about CHUNK_CHARS characters, parts of about 1.5 million words."""
-    chars = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    size = min(CHUNK_CHARS, max(1 << 17, chars // 64))
-    return max(1, -(-chars // size)), max(64, chars // 8_000_000)
+    """(chunks, parts) for all of docs' text."""
+    return sizes(docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0)
 
 
 def chunked(docs: DataFrame, chunks: int) -> DataFrame:
-    """(chunk, doc_id, text), exchanged by chunk. Rows go by a hash of id and text, so no key gathers rows; all steps that
-    start from here share the one exchange."""
+    """(chunk, doc_id, text), exchanged by chunk. Rows are dealt by their number, not by what they hold, so rows that repeat, ids
+    and texts alike, go to all chunks. All steps that start from here share the one exchange; the numbers are the same whenever a
+    scan is repeated, and docs that are not just read from files are written first."""
     n = max(1, min(chunks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * max(1, chunks // 4096)))
-    keyed = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"), "doc_id", "text")
+    fixed = docs if common.from_files(docs) else common.stored(docs, "rolling-text")
+    keyed = fixed.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)).cast("int").alias("chunk"), "doc_id", "text")
     return keyed.repartition(n, "chunk")
 
 

@@ -90,7 +90,7 @@ def nodes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFram
     """Rows of documents (is_doc: doc_id, node, n) and of nodes that may have links (tokens, levels, need, few, raw), stored."""
     narrow = common.only(docs, doc_id="long", text="string")
     chunks, parts = rolling.plan(narrow)
-    text, deal = rolling.chunked(narrow, chunks), rolling.Deal.of(parts)
+    text, deal = rolling.chunked(narrow, chunks), rolling.Deal(parts)
 
     def count(table: pa.Table) -> pa.Table:
         _, held = _sets(table["text"], k)
@@ -244,6 +244,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents, one row each; nulls, repeats, extra columns and empty tables as in ``near_duplicates``."""
     return near_duplicates(common.table(spark, sf_dir, "documents"))
 
 

@@ -30,10 +30,10 @@ BACK = pa.schema([("chunk", pa.int32()), ("part", pa.int32()), ("raw", pa.binary
 BACK_SQL = "chunk int, part int, raw binary"
 
 
-def _words(texts) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    words = [common.words(t.as_py()) for t in texts]
-    lengths = np.array([len(w) for w in words], np.int64)
-    return words, (np.concatenate([rolling.word_hashes(w) for w in words]) if len(words) else np.empty(0, np.uint64)), lengths
+def _hashed(texts) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts end to end, and the words of each; one text's words are held at a time."""
+    parts = [rolling.word_hashes(common.words(t.as_py())) for t in texts]
+    return (np.concatenate(parts) if parts else np.empty(0, np.uint64)), np.array([len(p) for p in parts], np.int64)
 
 
 def _send(chunk: int, keys: np.ndarray, blocks: np.ndarray | None, deal: rolling.Deal) -> pa.Table:
@@ -98,15 +98,15 @@ def repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -> D
 
     Words are cut at white space. Every occurrence of a repeated window goes, the first too. Null and empty texts have no
     words; texts shorter than a window lose none. Rows that repeat a doc_id are documents of their own, so equal rows repeat
-    each other. A null doc_id stays null, extra columns are ignored, an empty table gives no rows."""
+    each other, and any number of equal rows is spread over all chunks. A null doc_id stays null, extra columns are ignored, an empty table gives no rows."""
     block = (window + 1) // 2
     narrow = common.only(docs, doc_id="long", text="string")
     chunks, parts = rolling.plan(narrow)
     text = rolling.chunked(narrow, chunks)
-    short, whole = rolling.Deal.of(parts), rolling.Deal.of(parts, 8)
+    short, whole = rolling.Deal(parts), rolling.Deal(parts, 8)
 
     def probe(table: pa.Table) -> pa.Table:
-        _, h, lengths = _words(table["text"])
+        h, lengths = _hashed(table["text"])
         ok = rolling.inside(lengths, block)
         place = np.arange(len(ok)) - np.repeat(np.cumsum(lengths) - lengths, lengths)[: len(ok)]
         return _send(table["chunk"][0].as_py(), short.cut(rolling.windows(h, block)[ok]), (place % block == 0)[ok], short)
@@ -114,7 +114,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -> D
     def extend(table: pa.Table, back: pa.Table) -> pa.Table:
         if not table.num_rows or not back.num_rows:
             return SENT.empty_table()
-        _, h, lengths = _words(table["text"])
+        h, lengths = _hashed(table["text"])
         hits = _among(short.cut(rolling.windows(h, block)), _received(back, short)) & rolling.inside(lengths, block)
         at = np.flatnonzero(hits)
         near = _spread(np.maximum(at - block + 1, 0), block, max(0, len(h) - window + 1))
@@ -125,13 +125,14 @@ def repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -> D
     schema = pa.schema(names)
 
     def cut(table: pa.Table, back: pa.Table) -> pa.Table:
-        words, h, lengths = _words(table["text"])
+        h, lengths = _hashed(table["text"])
         gone = np.zeros(len(h), bool)
         if back.num_rows and len(h) >= window:
             hits = _among(rolling.windows(h, window), _received(back, whole)) & rolling.inside(lengths, window)
             gone = _spread(np.flatnonzero(hits), window, len(h))
         rows, at = [], 0
-        for doc_id, own in zip(table["doc_id"].to_pylist(), words, strict=True):
+        for doc_id, text in zip(table["doc_id"].to_pylist(), table["text"], strict=True):
+            own = common.words(text.as_py())
             bad = gone[at : at + len(own)]
             n = int(bad.sum())
             kept = b" ".join([w for w, g in zip(own, bad.tolist(), strict=True) if not g] if n else own)
@@ -147,6 +148,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -> D
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents, one row each; nulls, repeats, extra columns and empty tables as in ``repeats``."""
     return repeats(common.table(spark, sf_dir, "documents"))
 
 

@@ -28,7 +28,6 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -233,7 +232,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     tokenizer = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
     narrow = common.only(docs, doc_id="long", text="string")
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    if as_stored and _from_files(docs):
+    if as_stored and common.from_files(docs):
         number = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).try_cast("long")
         narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), number.alias("_part"), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
         order = [F.col("_part").asc_nulls_first(), F.col("_file"), F.col("_row")]
@@ -266,13 +265,6 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     return docs.sparkSession.read.schema(SHARDS).parquet(path)
 
 
-def _from_files(docs: DataFrame) -> bool:
-    try:
-        return bool(docs.select("_metadata.file_name", "_metadata.row_index").schema)
-    except AnalysisException:
-        return False
-
-
 def read_tokens(shards: DataFrame) -> DataFrame:
     """Per document, from the shard images: doc_id, start, n_tokens, ids_crc32 (and part, seq).
 

@@ -1,4 +1,5 @@
 import hashlib
+import pickle
 import random
 from collections import Counter, defaultdict
 
@@ -7,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from mosaica.llm import rolling, similarity, substrings
+from mosaica.llm import common, rolling, similarity, substrings
 from mosaica.llm.components import components
 
 from ..oracle import compare, connect
@@ -26,12 +27,34 @@ def test_windows_hash_alike_where_words_are_alike(words, width):
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.sets(st.integers(0, 2**64 - 1), max_size=200), st.integers(1, 300), st.sampled_from([4, 8]))
-def test_dealt_lists_come_back(values, parts, width):
-    deal = rolling.Deal.of(parts, width)
+@given(st.sets(st.integers(0, 2**64 - 1), max_size=200), st.integers(0, 24), st.sampled_from([4, 8]))
+def test_dealt_lists_come_back(values, top, width):
+    deal = rolling.Deal(1 << top, width)
     keys = np.unique(deal.cut(np.array(sorted(values), np.uint64)))
-    got = [deal.unpack(p, deal.pack(p, keys[s])) for p, s in deal.split(keys)]
+    parts = list(deal.split(keys))
+    got = [deal.unpack(p, deal.pack(p, keys[s])) for p, s in parts]
     assert (np.concatenate(got) if got else keys).tolist() == keys.tolist()
+    assert [p for p, _ in parts] == sorted({p for p, _ in parts}) and all(p < 1 << top for p, _ in parts)
+    assert len(pickle.dumps(deal)) < 500
+
+
+def test_rows_exchanged_grow_in_proportion():
+    """Chunks times parts is what a pass exchanges in rows: for 16 times the text, 16 times as many (parts are powers of two), and
+    at a terabyte still some hundreds of hashes a row."""
+    for chars in (5 * 10**8, 10**9, 2 * 10**9):
+        (c1, p1), (c2, p2) = rolling.sizes(chars), rolling.sizes(16 * chars)
+        assert 8 <= c2 * p2 / (c1 * p1) <= 40
+    chunks, parts = rolling.sizes(10**12)
+    assert 10**12 / 6 / (chunks * parts) > 200
+    assert all(rolling.sizes(n)[0] >= 1 and rolling.sizes(n)[1] >= 64 for n in (0, 1, 10**6, 10**14))
+
+
+def test_equal_rows_are_spread_over_chunks(spark, tmp_path):
+    spark.range(0, 200_000, 1, 4).selectExpr("if(id % 2 = 0, null, id) AS doc_id", "if(id % 2 = 0, 'one and the same', 'text ' || id) AS text").write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d")).select("doc_id", "text")
+    assert common.from_files(df) and not common.from_files(df.distinct()) and not common.from_files(df.join(df.limit(3), "doc_id", "left_semi"))
+    sizes = sorted(r["count"] for r in rolling.chunked(df, 40).groupBy("chunk").count().collect())
+    assert len(sizes) == 40 and sizes[-1] < 3 * sizes[20]
 
 
 def test_inside():
