@@ -1,9 +1,14 @@
 """Exact top-k by inner product: a Voronoi kNN join.
 
-Vectors are grouped by their nearest pivot (cell). A cell's summary is its size and radius; from it q.x <= q.p + |q| r bounds the
-score of every member for a query q. Each query's k-th best score within a bounded sample of the data is a threshold that its
-answer cannot fall below, so the query is sent only to cells whose bound reaches it. Cells are cut into blocks of bounded
-size, which are solved locally: a block's vectors are held, its queries stream past in batches.
+Vectors are grouped by their nearest pivot (cell), and within a cell by how far they reach along the pivot (shell). A shell's summary
+is its size, the range of its members' components along the pivot and the greatest length across it; from it max(a lo, a hi) + b r
+bounds the score of every member for a query with components a along and b across. Each query's k-th best score so far is a
+threshold that its answer cannot fall below, so it is sent only to shells whose bound reaches it: first, against a bounded
+sample's scores, to those of its own cell, then, against what it found there, to the others. Shells are cut into blocks of bounded size,
+and a block's queries into portions, which are solved locally: a block's vectors are held, its queries stream past in batches.
+
+Where the data have no clusters, bounds in many dimensions reach every threshold and all pairs of queries and blocks are solved;
+``report`` tells the share.
 """
 
 from __future__ import annotations
@@ -18,6 +23,8 @@ from . import common
 K, SCALE = 10, 1024.0
 MAX_PIVOTS, SAMPLE = 256, 4096
 LEAST_BLOCK, MOST_BLOCK, QUERY_BATCH = 512, 1 << 16, 1024
+MOST_SHELLS = 64  # of a cell
+QUERIES = 1 << 16  # of a block that one task answers
 
 
 def quantised(column, scale: float = SCALE):
@@ -46,13 +53,24 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((ids[some], -scores[some]))[:k]]
 
 
-def top_k(vectors: DataFrame, every: int = 100, k: int = K, max_pivots: int = MAX_PIVOTS, sample: int = SAMPLE) -> DataFrame:
+def _along(x: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Components of each row along its unit vector, and across it."""
+    t = (x * units).sum(axis=1)
+    return t, np.sqrt(np.maximum(0.0, (x * x).sum(axis=1) - t * t))
+
+
+def _units(pivots: np.ndarray) -> np.ndarray:
+    return pivots / np.maximum(np.sqrt((pivots**2).sum(axis=1)), 1e-300)[:, None]
+
+
+def top_k(vectors: DataFrame, every: int = 100, k: int = K, max_pivots: int = MAX_PIVOTS, sample: int = SAMPLE, least_block: int = LEAST_BLOCK, report: dict | None = None) -> DataFrame:
     """For each row whose vec_id is divisible by ``every``: its k best among all other rows: query_id, rank, vec_id, score.
 
     Vectors that are null or hold null or non-finite components (or ones beyond double range once scaled) take no part, nor do
     rows without vec_id. Vectors of different lengths are no candidates of each other. Rows that repeat a vec_id are each a
     candidate (a query's own row is any row with its vec_id); a repeated query is answered once, for its smallest vector. Extra columns are ignored, an
-    empty table gives no rows. To the driver go ``sample`` vectors at most and one summary a cell."""
+    empty table gives no rows. To the driver go ``sample`` vectors at most and one summary a shell, of which a cell has
+    ``MOST_SHELLS`` at most. ``report`` gets queries, blocks, and pairs (of a query and a block that it was sent to)."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x * SCALE) < float("inf")))
     named = common.only(vectors, vec_id="long", embedding="array<double>").where("vec_id IS NOT NULL AND embedding IS NOT NULL")
     valid = named.where(F.coalesce(finite, F.lit(False))).select("vec_id", quantised("embedding").alias("v"))
@@ -62,7 +80,7 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = K, max_pivots: int = MA
     spark = vectors.sparkSession
     if not drawn:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    block = int(min(MOST_BLOCK, max(LEAST_BLOCK, total // 200)))
+    block = int(min(MOST_BLOCK, max(least_block, total // 200)))
     pivots: dict[int, np.ndarray] = {}
     samples: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for d in sorted({len(r.v) for r in drawn}):
@@ -71,6 +89,9 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = K, max_pivots: int = MA
         pivots[d] = np.unique(samples[d][1], axis=0)[: max(1, min(max_pivots, total // block))]
     sent = spark.sparkContext.broadcast((pivots, samples))
 
+    def nearest(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+        return ((p**2).sum(axis=1)[None] - 2 * (x @ p.T)).argmin(axis=1)
+
     def assign(batch):
         pivots, _ = sent.value
         ids, values = batch.column(0).to_numpy(), batch.column(1)
@@ -80,43 +101,78 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = K, max_pivots: int = MA
             rows = np.flatnonzero(sizes == d)
             x = flat[starts[rows][:, None] + np.arange(d)]
             p = pivots.get(int(d), np.zeros((1, d)))
-            best = ((p**2).sum(axis=1)[None] - 2 * (x @ p.T)).argmin(axis=1)
-            far = np.sqrt(((x - p[best]) ** 2).sum(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(np.full(len(rows), d, np.int32)), pa.array(best.astype(np.int32)), pa.array(far), pa.array([r.tobytes() for r in x], pa.binary())], names=["vec_id", "dim", "cell", "far", "v"])
-
-    cells = common.stored(common.map_batches(valid, assign, "vec_id long, dim int, cell int, far double, v binary"), "knn-cells")
-    summary = {(r.dim, r.cell): (r.n, r.radius) for r in cells.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).collect()}
-    cuts = {key: -(-n // block) for key, (n, _) in summary.items()}
-    told = spark.sparkContext.broadcast((summary, cuts))
+            best = nearest(x, p)
+            along, across = _along(x, _units(p)[best])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(np.full(len(rows), d, np.int32)), pa.array(best.astype(np.int32)), pa.array(along), pa.array(across), pa.array([r.tobytes() for r in x], pa.binary())], names=["vec_id", "dim", "cell", "along", "across", "v"])
+
+    cells = common.stored(common.map_batches(valid, assign, "vec_id long, dim int, cell int, along double, across double, v binary"), "knn-cells")
+    ranges = {(r.dim, r.cell): (r.n, r.lo, r.hi) for r in cells.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("along").alias("lo"), F.max("along").alias("hi")).collect()}
+    shells_of = {key: (lo, (hi - lo) / m if hi > lo else 1.0, m) for key, (n, lo, hi) in ranges.items() if (m := max(1, min(MOST_SHELLS, n // block)))}
+    shelled = spark.sparkContext.broadcast(shells_of)
+
+    def place(batch):
+        """Each vector's shell."""
+        keys = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
+        along = batch.column(3).to_numpy()
+        told = np.array([shelled.value[key] for key in keys])
+        shell = np.clip((along - told[:, 0]) // told[:, 1], 0, told[:, 2] - 1).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shell)], names=["vec_id", "dim", "cell", "along", "across", "v", "shell"])
+
+    placed = common.map_batches(cells, place, "vec_id long, dim int, cell int, along double, across double, v binary, shell int")
+    summary = placed.groupBy("dim", "cell", "shell").agg(F.count(F.lit(1)).alias("n"), F.min("along").alias("lo"), F.max("along").alias("hi"), F.max("across").alias("across")).collect()
+    cuts = {(r.dim, r.cell, r.shell): -(-r.n // block) for r in summary}
+    bounds = {}
+    for d in {r.dim for r in summary}:
+        own = sorted((r for r in summary if r.dim == d), key=lambda r: (r.cell, r.shell))
+        bounds[d] = tuple(np.array([r[x] for r in own]) for x in ("cell", "shell", "lo", "hi", "across"))
+    queries = common.stored(valid.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")), "knn-queries")
+    portions = max(1, -(-queries.count() // QUERIES))
+    told = spark.sparkContext.broadcast((bounds, cuts))
+    portion = lambda i: (i * 0x9E3779B97F4A7C15 >> 20) % portions
 
     def deal(batch):
-        """Each vector to its block."""
+        """Each vector to its block, once for each portion of the queries."""
         cuts = told.value[1]
-        ids, dims, own = (batch.column(i).to_pylist() for i in range(3))
-        keys = [f"{d}:{c}:{(i * 0x9E3779B1 >> 7) % cuts[d, c]}" for i, d, c in zip(ids, dims, own, strict=True)]
+        ids, dims, own, shells = (batch.column(i).to_pylist() for i in (0, 1, 2, 6))
+        keys = [f"{d}:{c}:{s}:{(i * 0x9E3779B1 >> 7) % cuts[d, c, s]}" for i, d, c, s in zip(ids, dims, own, shells, strict=True)]
         n = len(ids)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.zeros(n, np.int32)), batch.column(0), pa.nulls(n, pa.int64()), batch.column(3)], names=["key", "query", "id", "least", "v"])
-
-    def ask(batch):
-        """Each query to every block that may hold one of its answers."""
-        (pivots, samples), (summary, cuts) = sent.value, told.value
-        rows = []
-        for vec_id, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            q = np.array(v, np.float64)
-            d, raw = len(q), q.tobytes()
-            near, x = samples.get(d, (np.empty(0, np.int64), np.empty((0, d))))
-            scores = np.sort(_exact(q[None], x)[0][near != vec_id])
-            least = int(scores[-k]) if len(scores) >= k else None
-            size = float(np.sqrt((q**2).sum()))
-            reach = pivots.get(d, np.zeros((1, d))) @ q
-            for (d2, c2), (_, radius) in summary.items():
-                if d2 == d and (least is None or reach[c2] + size * radius + 1e-9 * (abs(reach[c2]) + size * radius) + 1 >= least):
-                    rows += [(f"{d}:{c2}:{b}", 1, vec_id, least, raw) for b in range(cuts[d, c2])]
-            if len(rows) > 8192:
+        for part in range(portions):
+            yield pa.RecordBatch.from_arrays([pa.array([f"{key}:{part}" for key in keys]), pa.array(np.zeros(n, np.int32)), batch.column(0), pa.nulls(n, pa.int64()), batch.column(5)], names=["key", "query", "id", "least", "v"])
+
+    def ask(home: bool):
+        """Each query to the blocks that may hold one of its answers: those of its own cell (home), or of the others."""
+
+        def run(batch):
+            (pivots, samples), (bounds, cuts) = sent.value, told.value
+            rows = []
+            for vec_id, v, known in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                q = np.array(v, np.float64)
+                d, raw = len(q), q.tobytes()
+                if d not in bounds:
+                    continue
+                near, x = samples.get(d, (np.empty(0, np.int64), np.empty((0, d))))
+                scores = np.sort(_exact(q[None], x)[0][near != vec_id])
+                least = int(scores[-k]) if len(scores) >= k else None
+                if known is not None and (least is None or known > least):
+                    least = known
+                p = pivots.get(d, np.zeros((1, d)))
+                cell, shell, lo, hi, across = bounds[d]
+                own = int(nearest(q[None], p)[0])
+                along = _units(p) @ q
+                beside = np.sqrt(np.maximum(0.0, (q * q).sum() - along**2))
+                a, b = along[cell], beside[cell] * across
+                top = np.maximum(a * lo, a * hi) + b
+                reach = top + 1e-9 * (np.abs(top) + b) + 1 >= (least if least is not None else -np.inf)
+                for j in np.flatnonzero(reach & ((cell == own) == home)).tolist():
+                    key = (d, int(cell[j]), int(shell[j]))
+                    rows += [(f"{key[0]}:{key[1]}:{key[2]}:{i}:{portion(vec_id)}", 1, vec_id, least, raw) for i in range(cuts[key])]
+                if len(rows) > 8192:
+                    yield dealt(rows)
+                    rows = []
+            if rows:
                 yield dealt(rows)
-                rows = []
-        if rows:
-            yield dealt(rows)
+
+        return run
 
     def dealt(rows):
         types = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
@@ -157,14 +213,27 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = K, max_pivots: int = MA
             yield from answers()
 
     schema = "key string, query int, id long, least long, v binary"
-    queries = valid.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    blocks = common.map_batches(cells.select("vec_id", "dim", "cell", "v"), deal, schema).union(common.map_batches(queries, ask, schema))
-    found = blocks.repartition(F.col("key")).sortWithinPartitions("key", "query").mapInArrow(solve, out)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = lambda df: df.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    def answered(asked: DataFrame, home: bool) -> DataFrame:
+        """The asked queries' answers; only blocks that some query was sent to are dealt out."""
+        asks = common.stored(common.map_batches(asked, ask(home), schema), "knn-asked")
+        if report is not None:
+            report["pairs"] = report.get("pairs", 0) + asks.count()
+        wanted = common.map_batches(placed, deal, schema).join(asks.select("key").distinct(), "key", "left_semi")
+        return wanted.select(*asks.columns).union(asks).repartition(F.col("key")).sortWithinPartitions("key", "query").mapInArrow(solve, out)
+
+    if report is not None:
+        report |= {"queries": queries.count(), "blocks": sum(cuts.values())}
+    at_home = common.stored(ranked(answered(queries.select("vec_id", "v", F.lit(None).cast("long").alias("least")), True)).drop("rank"), "knn-home")
+    known = at_home.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
+    abroad = answered(queries.join(known, "vec_id", "left").select("vec_id", "v", "least"), False)
+    return ranked(at_home.union(abroad)).select("query_id", "rank", "vec_id", "score")
 
 
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings; nulls, repeats, ties, extra columns and empty tables as in ``top_k``."""
     return top_k(common.table(spark, sf_dir, "embeddings"))
 
 

@@ -38,9 +38,21 @@ def test_exact(spark, n, d, every):
 
 
 def test_cells_blocks_and_ties(spark, monkeypatch):
-    monkeypatch.setattr(knn, "LEAST_BLOCK", 16)
+    monkeypatch.setattr(knn, "QUERIES", 9)
     rows = vectors(200, 4, 1) + [(1000 + i, [0.5, 0.5, 0.5, 0.5]) for i in range(150)]
-    assert run(spark, rows, 10, 10, max_pivots=6, sample=40) == brute(rows, 10, 10)
+    assert run(spark, rows, 10, 10, max_pivots=6, sample=40, least_block=16) == brute(rows, 10, 10)
+
+
+def test_clusters_are_pruned(spark):
+    """Of the pairs of queries and blocks few are solved where the data have clusters; the answers stay exact."""
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(20, 16)) * 4
+    rows = [(i, [float(np.float32(x)) for x in centres[i % 20] + r.normal(size=16) * 0.1]) for i in range(2000)]
+    report = {}
+    assert run(spark, rows, 50, 10, sample=400, least_block=32, report=report) == brute(rows, 50, 10)
+    share = report["pairs"] / (report["queries"] * report["blocks"])
+    print("pairs solved:", share)
+    assert share < 0.2 and report["queries"] == 40 and report["blocks"] >= 20
 
 
 def test_awkward_vectors(spark):
