@@ -47,8 +47,45 @@ def frequency(terms: Column, term: str) -> Column:
 
 
 def postings(df: DataFrame, key: str, terms: Column) -> DataFrame:
-    """(term, key, tf): for repeated searches, to be written as a table bucketed by term."""
-    return df.select(F.col(key), F.explode(terms).alias("term")).groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"))
+    """(term, key, len, tf, first): how often each term stands in each row, the row's terms in all, and for one term of each row
+    that it is the first, so that rows can be counted from postings alone."""
+    words = df.select(F.col(f"`{key}`").alias("key"), terms.alias("w"))
+    flat = words.select("key", F.size("w").alias("len"), F.posexplode("w").alias("pos", "term"))
+    return flat.groupBy("term", "key", "len").agg(F.count(F.lit(1)).cast("int").alias("tf"), (F.min("pos") == 0).alias("first"))
+
+
+def write_postings(found: DataFrame, path: str) -> DataFrame:
+    """Postings as a table sorted by term, so that a search reads the row groups of its terms. A frequent term's list is cut over
+    several files, as the range exchange goes by term and key."""
+    found.repartitionByRange("term", "key").sortWithinPartitions("term", "key").write.option("parquet.block.size", 8 << 20).parquet(path)
+    return found.sparkSession.read.schema(found.schema).parquet(path)
+
+
+def totals(found: DataFrame) -> DataFrame:
+    """One row: rows with terms, and terms in all."""
+    return found.agg(F.sum(F.col("first").cast("int")).alias("__n"), F.sum("tf").alias("__all"))
+
+
+def indexed(found: DataFrame, query: list[str], name: str | None, whole: DataFrame) -> DataFrame:
+    """(key, score) of the rows that hold all terms of the query; score is named name, or left out. whole: the one row of totals."""
+    if not query:
+        return found.where(F.lit(False)).select("key", *([F.lit(0.0).alias(name)] if name else []))
+    mine = found.where(F.col("term").isin(*query))
+    tf = [F.sum(F.when(F.col("term") == t, F.col("tf"))).alias(f"__tf{i}") for i, t in enumerate(query)]
+    hits = mine.groupBy("key", "len").agg(*tf).dropna(subset=[f"__tf{i}" for i in range(len(query))])
+    if name is None:
+        return hits.select("key")
+    known = mine.agg(*(F.sum(F.when(F.col("term") == t, 1).otherwise(0)).alias(f"__df{i}") for i, t in enumerate(query)))
+    hits = hits.crossJoin(F.broadcast(known)).crossJoin(F.broadcast(whole))  # one row each
+    score, ratio = F.lit(0.0), F.col("len") / (F.col("__all") / F.col("__n"))
+    for i in range(len(query)):
+        score = score + _weight(F.col("__n"), F.col(f"__df{i}"), F.col(f"__tf{i}").cast("double"), ratio)
+    return hits.select("key", F.coalesce(score, F.lit(0.0)).alias(name))
+
+
+def _weight(n: Column, df: Column, tf: Column, ratio: Column) -> Column:
+    """BM25 of one term: rows n, df of them with the term, tf times in this one, whose length is ratio times the mean."""
+    return F.ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * ratio))
 
 
 def holding(df: DataFrame, value: Column, terms: Column, query: list[str], lowercase: bool = True) -> DataFrame:
@@ -72,9 +109,8 @@ def bm25(df: DataFrame, terms: Column, query: list[str], name: str, scored: Data
     score = F.lit(0.0)
     for i, t in enumerate(query):
         tf, d = frequency(F.col("__terms"), t).cast("double"), F.col(f"__df{i}")
-        idf = F.ln(1 + (F.col("__n") - d + 0.5) / (d + 0.5))
         ratio = F.when(F.col("__avg") > 0, n / F.col("__avg")).otherwise(1.0)
-        score = score + F.when(tf > 0, idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * ratio))).otherwise(0.0)
+        score = score + F.when(tf > 0, _weight(F.col("__n"), d, tf, ratio)).otherwise(0.0)
     return joined.withColumn(name, F.coalesce(score, F.lit(0.0))).drop("__n", "__avg", "__terms", *(f"__df{i}" for i in range(len(query))))
 
 

@@ -15,12 +15,13 @@ from pyspark.sql import types as T
 from .. import semantics as sem
 from ..lang import nodes as n
 from ..lang.render import render
-from ..operators import fulltext
+from ..operators import fulltext, geo
 from ..semantics import Value, nothing
 from . import constants
 from .expressions import Rows, Unsupported, array, col, common, condition, conform, conjuncts, hidden, literal, lower, member, output_name, path_of, struct, walk
 
 AGGREGATES = {"count", "sum", "avg", "min", "max"}
+MOST_ROWS = 100_000  # of a subquery that becomes one array, sent to every task
 
 
 @dataclass
@@ -61,7 +62,13 @@ class Planner:
         order = tuple((named[e.name] if isinstance(e, n.Name) and e.name in named and rows.find(e.name) is None else e, down) for e, down in s.order)
         if not order and self._hybrid(s) and rows.score is not None:
             order = ((n.Call("search::score", ()), True),)
-        keys = [k for e, down in order for k in sem.sort_key(lower(e, rows), down)]
+        kept = []  # the sort keys, as columns of the rows
+        for e, down in order:
+            kept.append((hidden(), down))
+            rows.df = rows.df.withColumn(kept[-1][0], lower(e, rows).col)
+        keys = [k for name, down in kept for k in sem.sort_key(Value(col(name), rows.kind(name)), down)]
+        if s.distinct:
+            return Plan(self._distinct(s, rows, kept), s.value, s.only)
         if not keys and (s.limit or s.start) and rows.id_column:
             keys = [col(rows.id_column).asc()]
         if keys:
@@ -69,13 +76,25 @@ class Planner:
         rows.df = self._window(s, rows.df)
         for f in s.fetch:
             rows = self.fetch(rows, f)
+        if s.fetch and kept:  # its joins do not keep an order
+            rows.df = rows.df.orderBy(*keys)
         rows = self._masked(rows)
         df = self.project(s, rows)
-        if s.distinct:
-            df = df.distinct()
         single = s.only or bool(s.target and s.target.key is not None and not s.joins)
         return Plan(df, s.value, single)
 
+    def _distinct(self, s: n.Select, rows: Rows, kept: list[tuple[str, bool]]) -> DataFrame:
+        """Distinct rows, then their order and window. A row that several source rows give stands where the first of them would."""
+        for f in s.fetch:
+            rows = self.fetch(rows, f)
+        df = self.project(s, self._masked(rows), [name for name, _ in kept])
+        shown = [c for c in df.columns if c not in {name for name, _ in kept}]
+        if not kept:
+            return self._window(s, df.distinct())
+        df = df.groupBy(*map(col, shown)).agg(*((F.max if down else F.min)(col(name)).alias(name) for name, down in kept))
+        df = df.orderBy(*(k for name, down in kept for k in sem.sort_key(Value(col(name), df.schema[name].dataType), down)))
+        return self._window(s, df).select(*map(col, shown))
+
     # ------------------------------------------------------------ sources
     def source(self, t: n.Target | None, version, params: dict, alias: str | None = None) -> Rows:
         base = dict(session=self.session, params=params)
@@ -175,15 +194,57 @@ class Planner:
     # ------------------------------------------------------------ WHERE
     def where(self, rows: Rows, s: n.Select) -> Rows:
         parts = conjuncts(s.where)
-        score = self._search(rows, s, parts)
+        done = self._search(rows, s, parts)
         for e in parts:
+            if e is done:
+                continue
             joined = self._in_subquery(rows, e)
             if joined is not None:
                 rows = joined
                 continue
             rows = self.attach(rows, e)
+            near = self._near(rows, e)
+            if near is not None:
+                rows.df = rows.df.where(near)
             rows.df = rows.df.where(condition(e, rows))
-        return score(rows) if score else rows
+        return rows
+
+    def _near(self, rows: Rows, e: n.Expr):
+        """For ``geo::distance(x, point) < metres``: plain ranges that all rows meet which the distance lets pass, or None.
+
+        They are cheap, and reach the scan where x is a geometry::point of two columns. Missing places, other geometries and
+        coordinates out of range pass."""
+        if not (isinstance(e, n.Binary) and e.op in ("<", "<=") and isinstance(e.left, n.Call) and e.left.name.lower() == "geo::distance" and len(e.left.args) == 2):
+            return None
+        fixed = lambda x: not any(isinstance(y, (n.Name, n.Query, n.Hop)) or isinstance(y, n.Param) and y.name in ("parent", "this") for y in walk(x))
+        a, b = e.left.args
+        a, b = (a, b) if fixed(b) else (b, a)
+        if not fixed(b) or fixed(a) or not fixed(e.right):
+            return None
+        one = Rows(self.spark.range(1), self.session, params=rows.params)
+        point, metres = lower(b, one), lower(e.right, one)
+        if not (isinstance(point.kind, T.StructType) and "coordinates" in point.kind.names and metres.number):
+            return None
+        centre, most = constants.value_of(F.struct(point.col.alias("p"), metres.col.cast("double").alias("m")))
+        if most is None or most < 0 or centre is None or centre["type"] != "Point":
+            return None
+        around = geo.box(*map(float, centre["coordinates"]), most)
+        if around is None:
+            return None
+        other = F.lit(False)
+        if isinstance(a, n.Call) and a.name.lower() == "geometry::point" and len(a.args) == 2:
+            x, y = (lower(z, rows) for z in a.args)
+            if not (x.number and y.number):
+                return None
+            lon, lat = x.col, y.col
+        else:
+            v = lower(a, rows)
+            if not (isinstance(v.kind, T.StructType) and "coordinates" in v.kind.names and isinstance(v.kind["coordinates"].dataType, T.ArrayType) and sem.is_number(v.kind["coordinates"].dataType.elementType)):
+                return None
+            lon, lat = (F.get(v.col.getField("coordinates"), F.lit(i)) for i in (0, 1))
+            other = v.col.getField("type") != "Point" if "type" in v.kind.names else other
+        inside = lon.between(around[0], around[1]) & lat.between(around[2], around[3])
+        return inside | lon.isNull() | lat.isNull() | (lon < -180) | (lon > 180) | (lat < -90) | (lat > 90) | F.coalesce(other, F.lit(True))
 
     def _index(self, rows: Rows, e: n.Expr, kind: str) -> dict | None:
         name = path_of(e)
@@ -198,10 +259,13 @@ class Planner:
         parts = conjuncts(s.where)
         return len(parts) == 2 and any(_is_match(p) for p in parts) and any(_is_similarity(p) for p in parts)
 
-    def _search(self, rows: Rows, s: n.Select, parts: list[n.Expr]):
-        """For a WHERE that is one match, or a match and a similarity: terms and scores, as a step after the filter.
+    def _search(self, rows: Rows, s: n.Select, parts: list[n.Expr]) -> n.Expr | None:
+        """For a WHERE that is one match, or a match and a similarity: the rows that hold all terms, and their scores. Gives the
+        match if these rows meet it without a further test.
 
-        Scores are relative to the whole table, so their statistics are taken before the filter."""
+        Scores are relative to the whole table, so their statistics are taken before the filter. A table with record ids or a key is
+        searched through the postings that its index keeps; any other, and one behind row rules or of an earlier time, is read and
+        analysed."""
         match = next((p for p in parts if _is_match(p)), None)
         if match is None or not (len(parts) == 1 or self._hybrid(s)):
             return None
@@ -217,19 +281,29 @@ class Planner:
         rows.terms = terms
         mine = hidden()
         wanted = any(isinstance(x, n.Call) and x.name.lower() == "search::score" for x in walk((s.fields, s.order))) or len(parts) == 2
-        found = fulltext.holding(rows.df, body, value, terms, analyzer["lowercase"])
-        rows.df = fulltext.bm25(rows.df, value, terms, mine, found) if wanted else found
+        plain = s.version is None and s.target.key is None and s.target.db is None and not s.joins and not self.session.row_rules(rows.table, "select")
+        kept = self.session.postings(rows.table, index, body, value) if plain else None
+        if kept is not None:
+            found, whole, key = kept
+            hits = fulltext.indexed(found, terms, mine if wanted else None, whole).withColumnRenamed("key", "__key")
+            rows.df = rows.df.join(hits, col(key) == F.col("__key")).drop("__key")
+        else:
+            found = fulltext.holding(rows.df, body, value, terms, analyzer["lowercase"])
+            rows.df = fulltext.bm25(rows.df, value, terms, mine, found) if wanted else found
+        # a text of all the query's words as they stand, in this column, matches
+        words = fulltext.analyze_query(query)
+        done = match if len(index["columns"]) == 1 and words and not analyzer["stemming"] and not set(analyzer["stopwords"]) & set(words) and analyzer["lowercase"] else None
         if not wanted:
-            return None
+            return done
         if len(parts) == 1:
             rows.score = Value(col(mine), T.DoubleType())
-            return None
+            return done
         similarity = next(p for p in parts if _is_similarity(p)).left
         total = hidden()
         rows.df = fulltext.normalised(rows.df, mine, total)
         cosine = lower(similarity, rows).col
         rows.score = Value(col(total) + F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(cosine, F.lit(0.0)))), T.DoubleType())
-        return None
+        return done
 
     # ------------------------------------------------------------ subqueries
     def _in_subquery(self, rows: Rows, e: n.Expr) -> Rows | None:
@@ -280,6 +354,16 @@ class Planner:
         if any(self._is_aggregate(f.expr) for f in s.fields if f.expr is not None):
             return Plan(self.aggregate(s, rows, keys), s.value)
         rows = self.attach(rows, (s.fields, s.order))
+        first = s.limit is not None and not s.start and isinstance(s.limit, n.Literal) and s.limit.value == 1
+        if first and s.order and len({down for _, down in s.order}) == 1 and all(not isinstance(lower(e, rows).kind, (T.MapType, T.VariantType)) for e, _ in s.order):
+            # the one best row of each key needs no sort: partial aggregation keeps one row a key and task
+            by = F.struct(*(lower(e, rows).col for e, _ in s.order))
+            df = self.project(s, rows, keys)
+            shown = [c for c in df.columns if c not in keys]
+            rows.df = rows.df.withColumn("__by", by)
+            best = (F.max_by if s.order[0][1] else F.min_by)(F.struct(*map(col, shown)), F.col("__by")).alias("__best")
+            df = self.project(s, rows, [*keys, "__by"]).groupBy(*map(col, keys)).agg(best)
+            return Plan(df.select(*map(col, keys), *(F.col("__best").getField(c).alias(c) for c in shown)), s.value)
         if s.limit or s.start:
             order = [k for e, down in s.order for k in sem.sort_key(lower(e, rows), down)] or [col(rows.id_column) if rows.id_column else F.monotonically_increasing_id()]
             n_ = hidden()
@@ -288,7 +372,8 @@ class Planner:
         return Plan(self.project(s, rows, keys), s.value)
 
     def subquery(self, s: n.Node, rows: Rows) -> Value:
-        """A subquery as an array value. One without reference to its parent is computed once and joined as a broadcast row."""
+        """A subquery as an array value. One without reference to its parent is computed once and joined as a broadcast row; beyond
+        MOST_ROWS rows it is an error."""
         name = hidden()
         if not isinstance(s, n.Select):
             plan, keys = self.plan(s, rows.params), []
@@ -300,7 +385,9 @@ class Planner:
         kind = T.ArrayType(plan.df.schema[shown[0]].dataType if plan.value else T.StructType([plan.df.schema[c] for c in shown]))
         gathered = F.collect_list(item).alias(name)
         if not keys:
-            rows.df = rows.df.crossJoin(F.broadcast(plan.df.agg(gathered)))  # one row
+            too_many = F.raise_error(F.lit(f"a subquery of more than {MOST_ROWS} rows as an array; use a join, IN, or array::len"))
+            whole = F.when(F.count(F.lit(1)) > MOST_ROWS, too_many).otherwise(F.collect_list(item)).alias(name)
+            rows.df = rows.df.crossJoin(F.broadcast(plan.df.limit(MOST_ROWS + 1).agg(whole)))  # one row
             return Value(col(name), kind)
         inner = plan.df.groupBy(*map(col, own)).agg(gathered)
         test = F.lit(True)
@@ -311,6 +398,13 @@ class Planner:
 
     def attach(self, rows: Rows, part: object) -> Rows:
         """Joins what subqueries and graph hops within an expression need, and remembers their values."""
+        if isinstance(part, n.Call) and part.name.lower() in ("array::len", "array::length") and len(part.args) == 1 and isinstance(part.args[0], n.Query) and not _parent(part.args[0]):
+            if part not in rows.special:  # its rows are counted, not gathered
+                name = hidden()
+                counted = self.plan(part.args[0].select, rows.params).df.agg(F.count(F.lit(1)).alias(name))
+                rows.df = rows.df.crossJoin(F.broadcast(counted))  # one row
+                rows.special[part] = Value(col(name), T.LongType())
+            return rows
         if isinstance(part, n.Query):
             if part not in rows.special:
                 rows.special[part] = self.subquery(part.select, rows)
@@ -394,11 +488,10 @@ class Planner:
             joined = rows.df.join(records.select(F.col("id").alias(key), F.col("record").alias(key + "r")), v.col == F.col(key), "left")
             rows.df = joined.withColumn(name, F.when(v.col.isNotNull(), F.coalesce(F.col(key + "r"), missing(v.col)))).drop(key, key + "r")
             return rows
-        number = hidden()
-        rows.df = rows.df.withColumn(number, F.monotonically_increasing_id())
-        parts = rows.df.select(number, F.posexplode(v.col).alias("__p", key)).join(records.withColumnRenamed("id", "__i"), F.col(key) == F.col("__i"), "left")
-        lists = parts.groupBy(number).agg(F.transform(F.array_sort(F.collect_list(F.struct("__p", F.coalesce("record", missing(F.col(key))).alias("r")))), lambda x: x["r"]).alias(key + "r"))
-        rows.df = rows.df.join(lists, number, "left").withColumn(name, F.col(key + "r")).drop(number, key + "r")
+        ids = hidden()  # a list of ids stands for itself, however often and wherever it occurs
+        parts = rows.df.select(v.col.alias(ids)).distinct().select(ids, F.posexplode(ids).alias("__p", key)).join(records.withColumnRenamed("id", "__i"), F.col(key) == F.col("__i"), "left")
+        lists = parts.groupBy(ids).agg(F.transform(F.array_sort(F.collect_list(F.struct("__p", F.coalesce("record", missing(F.col(key))).alias("r")))), lambda x: x["r"]).alias(key + "r"))
+        rows.df = rows.df.join(lists, v.col == F.col(ids), "left").withColumn(name, F.col(key + "r")).drop(ids, key + "r")
         return rows
 
     # ------------------------------------------------------------ projection

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import time
 import uuid
+import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,18 +16,23 @@ from . import semantics as sem
 from .functions.types import cast
 from .lang import nodes as n
 from .lang import parse, render
-from .operators import graph
+from .operators import fulltext, graph
 from .plans import constants
-from .plans.expressions import Rows, Unsupported, col, common, condition, conform, hidden, literal, lower, struct
+from .plans.expressions import Rows, Unsupported, col, common, condition, conform, hidden, literal, lower, struct, walk
 from .plans.explain import strategy
 from .plans.select import Plan, Planner
 from .semantics import Value
 from .sources.kv import KeyValues
-from .sources.storage import stored
+from .sources.storage import new_path, stored
 from .sources.tables import ID, State, Table, aligned, empty
 from .streaming.live import Feed, Subscription
 
 
+AUDITED = 10_000  # entries of the audit log that the driver holds before they are written
+KINDS = 10_000  # of edges
+_built: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()  # postings of tables read from files, by Spark session
+
+
 class Refused(ValueError):
     """A statement that a rule, a check or a constraint does not allow."""
 
@@ -41,13 +47,16 @@ class Session:
         self.definitions: dict[tuple[str, str], n.Define] = {}
         self.links: dict[str, Callable[[str], DataFrame]] = {}
         self.link_keys: dict[str, str | None] = {}
-        self.edges: DataFrame | None = None
+        self.edges: DataFrame | None = None  # registered ones
+        self.related: DataFrame | None = None  # those that RELATE has made
+        self._loose = 0  # statements since these were written
         self.kinds: set[str] = set()
         self.auth_rules: list[str] = []
         self.masks: list[str] = []
         self.keys = KeyValues(spark)
         self.feed = Feed(self)
         self.audit: list[tuple] = []
+        self.audited: list[DataFrame] = []  # earlier entries, written
         self._stack: list[tuple[str | None, dict, DataFrame | None, dict]] = []
         self._held: list[tuple] = []
 
@@ -59,7 +68,7 @@ class Session:
     def register(self, name: str, source: DataFrame | str, key: str | None = None) -> Session:
         """A DataFrame, or the Parquet files at a path, as a table. ``key``: the column that ``name:key`` compares with."""
         if isinstance(source, str):
-            self.tables[name] = Table(name, key=key, source=lambda: self.spark.read.parquet(source))
+            self.tables[name] = Table(name, key=key, source=lambda: self.spark.read.parquet(source), path=source)
         else:
             self.tables[name] = Table(name, State(source), key)
         return self
@@ -72,7 +81,10 @@ class Session:
     def register_edges(self, edges: DataFrame, *kinds: str) -> Session:
         """Edges (src, kind, dst), ids being ``table:key``. Kinds are looked up unless they are named."""
         some = edges.select("src", "kind", "dst")
-        self.kinds |= set(kinds) or {r[0] for r in some.select("kind").distinct().limit(10_000).collect()}
+        found = set(kinds) or {r[0] for r in some.select("kind").distinct().limit(KINDS + 1).collect()}
+        if len(found) > KINDS:
+            raise Refused(f"more than {KINDS} kinds of edges")
+        self.kinds |= found
         self.edges = some if self.edges is None else self.edges.union(some)
         return self
 
@@ -102,8 +114,18 @@ class Session:
 
     def _audit_rows(self, name: str) -> DataFrame:
         schema = "id string, time timestamp, user string, statement string, verdict string"
-        rows = [r for r in reversed(self.audit) if name == "AUDIT_LOG" or r[4] != "SAFE"]
-        return self.spark.createDataFrame(rows, schema)
+        df = self.spark.createDataFrame(list(reversed(self.audit)), schema)
+        for earlier in reversed(self.audited):
+            df = df.union(earlier)
+        df = df.orderBy(F.desc("time")) if self.audited else df
+        return df if name == "AUDIT_LOG" else df.where("verdict <> 'SAFE'")
+
+    def _note(self, s: n.Node, verdict: str) -> None:
+        self.audit.append((uuid.uuid4().hex, dt.datetime.now(dt.UTC).replace(tzinfo=None), None, render(s), verdict))
+        if len(self.audit) >= AUDITED:
+            self.audited.append(stored(self.spark.createDataFrame(self.audit, "id string, time timestamp, user string, statement string, verdict string"), "audit"))
+            self.audit = self.audit[-1:]
+            self.audited[-1] = self.audited[-1].where(F.col("id") != self.audit[0][0])
 
     def analyzer(self, name: str) -> dict:
         d = self.definitions.get(("analyzer", name))
@@ -124,7 +146,10 @@ class Session:
 
     # ------------------------------------------------------------ rules
     def act_as(self, rules: list[str] = (), masks: list[str] = ()) -> Session:
-        """Data rules that hold for this session, and patterns (LIKE, any case) of columns that it sees masked."""
+        """Data rules that hold for this session, and patterns (LIKE, any case) of columns that it sees masked.
+
+        A rule that compares a field which a table does not have does not concern that table: its rows are all seen. To keep a table
+        closed, name a field that it has, or define its permissions."""
         self.auth_rules, self.masks = list(rules), list(masks)
         return self
 
@@ -163,9 +188,9 @@ class Session:
         for s in parse(text):
             try:
                 out = self.run(s)
-                self.audit.append((uuid.uuid4().hex, dt.datetime.now(dt.UTC).replace(tzinfo=None), None, render(s), "SAFE"))
+                self._note(s, "SAFE")
             except Refused:
-                self.audit.append((uuid.uuid4().hex, dt.datetime.now(dt.UTC).replace(tzinfo=None), None, render(s), "WARNING"))
+                self._note(s, "WARNING")
                 raise
         return out
 
@@ -257,7 +282,7 @@ class Session:
             return None
         if s.op == "KILL":
             return self.feed.kill(str(self.evaluate(s.value, params)))
-        state = lambda: ({k: dict((x, t.opened().state) for x, t in v.items()) for k, v in self.databases.items()}, self.edges, dict(self.keys.items))
+        state = lambda: ({k: dict((x, t.opened().state) for x, t in v.items()) for k, v in self.databases.items()}, (self.edges, self.related), dict(self.keys.items))
         if s.op in ("BEGIN", "SAVEPOINT"):
             if s.op == "SAVEPOINT" and not self._stack:
                 raise Refused("no transaction")
@@ -292,7 +317,7 @@ class Session:
                 state = databases.get(where, {}).get(name, State())
                 if t.state is not state:
                     t.write(state)
-        self.edges, self.keys.items = edges, dict(keys)
+        (self.edges, self.related), self.keys.items = edges, dict(keys)
 
     # ------------------------------------------------------------ changes
     def insert(self, name: str, df: DataFrame) -> int:
@@ -326,6 +351,8 @@ class Session:
         else:
             df = df.withColumn(ID, F.concat(F.lit(f"{name}:"), F.uuid()))
         del made
+        if any(isinstance(x, n.Query) for x in walk((s.data, s.sets))):
+            return stored(df, f"new-{name}")
         return self.spark.createDataFrame(df.collect(), df.schema)  # a statement's own rows, spelled out in its text
 
     def _set_items(self, sets, rows: Rows) -> list[tuple[str, Value]]:
@@ -436,11 +463,14 @@ class Session:
         events = [d for (what, _), d in self.definitions.items() if what == "event" and d.get("table") == name]
         if not events:
             return
-        # events see one row at a time, as their statements do
-        old = {r[ID]: r for r in before.collect()} if before is not None else {}
-        new = {r[ID]: r for r in after.collect()} if after is not None else {}
-        for key in dict.fromkeys([*new, *old]):
-            b, a = old.get(key), new.get(key)
+        # events see one row at a time, as their statements do; the driver holds a partition's rows
+        image = lambda df, what: df.select(F.col(ID).alias("__id"), F.struct(*map(col, df.columns)).alias(what))
+        if before is not None and after is not None:
+            both = image(after, "a").join(image(before, "b"), "__id", "full").select("a", "b")
+        else:
+            both = image(after, "a").withColumn("b", F.lit(None)) if after is not None else image(before, "b").withColumn("a", F.lit(None))
+        for r in both.toLocalIterator():
+            b, a = r["b"], r["a"]
             params = {"event": action, "before": _dict(b), "after": _dict(a), "value": _dict(a if a is not None else b)}
             for d in events:
                 if self.evaluate(n.Unary("not", n.Unary("not", d.get("when"))), params):
@@ -515,7 +545,10 @@ class Session:
             v = self.evaluate(e, params)
             ids.append([str(x) for x in v] if isinstance(v, list) else [str(v)])
         made = self.spark.createDataFrame([(a, s.kind, b) for a in ids[0] for b in ids[1]], graph.EDGES)
-        self.edges = made if self.edges is None else self.edges.union(made)
+        self.related = made if self.related is None else self.related.union(made)
+        self._loose += 1
+        if self._loose >= 8:
+            self.related, self._loose = stored(self.related, "edges"), 0
         self.kinds.add(s.kind)
         rows = self.one_row(params)
         data = self._set_items(s.sets, rows) if s.sets else []
@@ -524,16 +557,19 @@ class Session:
 
     # ------------------------------------------------------------ graph, records, keys
     def _edges(self) -> DataFrame:
-        return self.edges if self.edges is not None else self.spark.createDataFrame([], graph.EDGES)
+        if self.edges is None or self.related is None:
+            some = self.edges if self.edges is not None else self.related
+            return some if some is not None else self.spark.createDataFrame([], graph.EDGES)
+        return self.edges.union(self.related)
 
     def hop(self, e: n.Hop, rows: Rows) -> Value:
-        """Record ids that a traversal reaches from each row, as an array; joined to the rows by their number."""
-        number, name = hidden(), hidden()
+        """Record ids that a traversal reaches from each row, as an array. It starts once from each distinct id (or list of ids), and
+        is joined to the rows by these: they say all that it depends on."""
+        begun, name = hidden(), hidden()
         start = lower(e.base, rows) if e.base is not None else Value(col("id"), T.StringType())
-        rows.df = rows.df.withColumn(number, F.monotonically_increasing_id())
-        node = F.explode(start.col) if start.array else start.col
-        found = graph.hops(rows.df.select(F.col(number).alias("row"), node.alias("node")), self._edges(), e.steps, self.kinds)
-        rows.df = rows.df.join(found.select(F.col("row").alias(number), F.col("nodes").alias(name)), number, "left").drop(number)
+        starts = rows.df.select(start.col.alias("row")).where("row IS NOT NULL").distinct()
+        found = graph.hops(starts.select("row", (F.explode("row") if start.array else F.col("row")).alias("node")), self._edges(), e.steps, self.kinds)
+        rows.df = rows.df.join(found.select(F.col("row").alias(begun), F.col("nodes").alias(name)), start.col == F.col(begun), "left").drop(begun)
         return Value(F.coalesce(F.col(name), F.array().cast("array<string>")), T.ArrayType(T.StringType()))
 
     def graph_call(self, name: str, args: tuple, rows: Rows) -> Value:
@@ -563,6 +599,58 @@ class Session:
         v = [constants.value_of(a.col) for a in args]
         return literal(self.keys.call(name, [_plain(x) for x in v]))
 
+    def postings(self, name: str, index: dict, body, terms) -> tuple[DataFrame, DataFrame, str] | None:
+        """Postings of a table's rows as they are, their totals, and the column of their keys; None where rows have no unique key.
+
+        Built once for a table's base and written, sorted by term; for a base read from files also kept for other sessions, as long
+        as the files are the same. What changes have put is analysed when it is searched, what they have removed is left out."""
+        t = self._own(name)
+        state = t.state
+        if t.rows() is None:
+            return None
+        key = ID if ID in t.rows().columns else t.key
+        if key is None:
+            return None
+        mark = tuple(sorted((k, str(v)) for k, v in index.items()))
+        if state.base is None:
+            found, whole = None, None
+        else:
+            kept = t.postings.get(mark)
+            if kept is None or kept[0] is not state.base:
+                kept = t.postings[mark] = (state.base, *self._built(t, key, mark, terms))
+            _, found, whole = kept
+            if found is None:
+                return None
+        if state.gone is not None or state.base is None:
+            if found is not None:
+                found = found.join(state.gone.select(F.col(ID).alias("key")), "key", "left_anti").select(*found.columns)
+            if state.put is not None:
+                put = fulltext.postings(state.put, key, terms)
+                found = put if found is None else found.unionByName(put)
+            whole = fulltext.totals(found)
+        return found, whole, key
+
+    def _built(self, t: Table, key: str, mark: tuple, terms) -> tuple[DataFrame | None, DataFrame | None]:
+        known, made = _built.setdefault(self.spark, {}), None
+        if t.path is not None:
+            jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+            where = jvm.org.apache.hadoop.fs.Path(t.path)
+            files = where.getFileSystem(conf)
+            size = files.getContentSummary(where)
+            made = (t.path, key, mark, str(sorted(self.analyzer(dict(mark)["analyzer"]).items())), size.getLength(), size.getFileCount(), files.getFileStatus(where).getModificationTime())
+            if made in known:
+                return known[made]
+        base = t.state.base
+        if base.groupBy(col(key)).count().where(F.col("count") > 1).take(1) or base.where(col(key).isNull()).take(1):
+            out = (None, None)
+        else:
+            found = fulltext.write_postings(fulltext.postings(base, key, terms), new_path(self.spark, f"postings-{t.name}"))
+            n_, all_ = fulltext.totals(found).first()
+            out = (found, self.spark.range(1).select(F.lit(n_).cast("long").alias("__n"), F.lit(all_).cast("long").alias("__all")))
+        if made is not None:
+            known[made] = out
+        return out
+
     def subquery(self, s: n.Node, rows: Rows) -> Value:
         return Planner(self).subquery(s, rows)
 

@@ -27,8 +27,8 @@ def dump(session, path: str, form: str = "parquet") -> list[str]:
             df.write.mode("overwrite").format(form).save(f"{path}/tables/{name}")
             names.append(name)
     spark = session.spark
-    if session.edges is not None:
-        session.edges.write.mode("overwrite").format(form).save(f"{path}/edges")
+    if session.edges is not None or session.related is not None:
+        session._edges().write.mode("overwrite").format(form).save(f"{path}/edges")
     lines = [(i, s) for i, s in enumerate(statements(session))]
     spark.createDataFrame(lines, "n int, statement string").coalesce(1).write.mode("overwrite").json(f"{path}/definitions")
     spark.createDataFrame([(x,) for x in names], "name string").coalesce(1).write.mode("overwrite").json(f"{path}/names")

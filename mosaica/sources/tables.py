@@ -12,8 +12,10 @@ from pyspark.sql import types as T
 
 from ..plans.expressions import col, common, conform
 from ..semantics import Value
+from .storage import stored
 
 ID = "id"
+DEEPEST = 4  # changes that an overlay keeps as plans before it is written
 
 
 def aligned(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -34,6 +36,7 @@ class State:
     base: DataFrame | None = None
     put: DataFrame | None = None
     gone: DataFrame | None = None
+    depth: int = 0  # changes since the overlay was written
 
     def rows(self) -> DataFrame | None:
         df = self.base
@@ -49,7 +52,14 @@ class State:
         kept = self.put.join(gone, ID, "left_anti").select(*self.put.columns) if self.put is not None else None
         if put is not None:
             kept = put if kept is None else aligned(kept, put)
-        return State(self.base, kept, ids)
+        return State(self.base, kept, ids, self.depth + 1)
+
+    def settled(self, name: str) -> State:
+        """The same rows, with an overlay that is written once it has grown deep: plans stay as long after any number of changes."""
+        if self.depth < DEEPEST:
+            return self
+        put = stored(self.put, f"put-{name}") if self.put is not None else None
+        return State(self.base, put, stored(self.gone, f"gone-{name}"))
 
 
 @dataclass
@@ -63,6 +73,8 @@ class Table:
     schemafull: bool = False
     versions: list[tuple[float, State]] = field(default_factory=list)
     source: Callable[[], DataFrame] | None = None  # of the base, opened when first used
+    path: str | None = None  # of the base's files, where it is read from some
+    postings: dict[str, tuple] = field(default_factory=dict)  # by search index: the base it was built for, and what was built
 
     def opened(self) -> Table:
         if self.source is not None:
@@ -75,7 +87,7 @@ class Table:
     def write(self, state: State) -> None:
         if not self.opened().versions:
             self.versions.append((0.0, self.state))
-        self.state = state
+        self.state = state = state.settled(self.name)
         self.versions.append((time.time(), state))
 
     def at(self, moment: float, before: bool) -> State:

@@ -68,7 +68,7 @@ class Subscription:
 
     def _deliver(self, batch: DataFrame, _: int) -> None:
         plain = lambda r: {k: v for k, v in r.asDict(recursive=True).items() if v is not None} if r is not None else None
-        for r in batch.orderBy("seq").collect():  # a micro-batch of one subscriber's changes
+        for r in batch.orderBy("seq").toLocalIterator():  # the driver holds a partition's changes
             told = {"action": r.action, "id": r.id}
             told |= {"patch": patch(plain(r.before), plain(r.after))} if self.live.diff else {"result": plain(r.result)}
             self.receive(told)
