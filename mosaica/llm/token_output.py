@@ -56,29 +56,36 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(0x100 + i) for i, b in enumerate(hidden)}
 
 
-class _Pieces(dict):
+class _Pieces:
     """Ids (as little-endian bytes) by piece. Byte-level BPE never merges across pieces, so a text's ids are its pieces' in turn.
 
     Two generations: when the younger is full the elder goes, so pieces in use stay."""
 
     def __init__(self, tokenizer):
-        super().__init__()
-        self.model, self.letters, self.elder = tokenizer.model, _byte_letters(), {}
+        self.younger, self.elder = {}, {}
+        self.model, self.letters = tokenizer.model, _byte_letters()
         wide = 2 if tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind, self.spell = f"<u{wide}", [i.to_bytes(wide, "little") for i in range(tokenizer.get_vocab_size())]
 
-    def __missing__(self, piece):
-        ids = self.elder.get(piece)
+    def ids(self, pieces: list[str]) -> np.ndarray:
+        found = list(map(self.younger.get, pieces))
+        at = -1
+        for _ in range(found.count(None)):
+            at = found.index(None, at + 1)
+            found[at] = self._new(pieces[at])
+        return np.frombuffer(b"".join(found), self.kind).astype(np.uint32)
+
+    def _new(self, piece: str) -> bytes:
+        ids = self.younger.get(piece) or self.elder.get(piece)
         if ids is None:
             if piece.isascii() and (piece[1:].isalnum() if piece[0] == " " else piece.isalnum()):  # most are; each letter is written as itself
                 spelled = self.letters[0x20] + piece[1:] if piece[0] == " " else piece
             else:
                 spelled = piece.encode("utf-8").decode("latin-1").translate(self.letters)
             ids = b"".join([self.spell[t.id] for t in self.model.tokenize(spelled)])
-        if len(self) >= CACHE // 2:
-            self.elder = dict(self)
-            self.clear()
-        self[piece] = ids
+        if len(self.younger) >= CACHE // 2:
+            self.elder, self.younger = self.younger, {}
+        self.younger[piece] = ids
         return ids
 
 
@@ -89,16 +96,17 @@ def _tokenizer(path: str):
 
     tokenizer = Tokenizer.from_file(path)
     specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    return tokenizer, _Pieces(tokenizer) if _by_pieces(json.loads(tokenizer.to_str())) else None, specials
+    return tokenizer, _Pieces(tokenizer) if _by_pieces(tokenizer) else None, specials
 
 
-def _by_pieces(made: dict) -> bool:
+def _by_pieces(tokenizer) -> bool:
     """Whether a tokenizer cuts text as _PIECES does and encodes each piece by itself: byte-level BPE, and nothing else."""
-    cut, model = made["pre_tokenizer"] or {}, made["model"]
+    cut = json.loads(tokenizer.pre_tokenizer.__getstate__()) if tokenizer.pre_tokenizer is not None else {}
+    model = tokenizer.model
     return (
-        made["normalizer"] is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
-        and model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
-        and made["truncation"] is None and made["padding"] is None
+        tokenizer.normalizer is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+        and type(model).__name__ == "BPE" and not any(getattr(model, k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        and tokenizer.truncation is None and tokenizer.padding is None
     )
 
 
@@ -117,7 +125,7 @@ def encode_text(text: str | None, path: str) -> np.ndarray:
     except UnicodeEncodeError:
         plain = False
     if plain:
-        return np.frombuffer(b"".join(map(pieces.__getitem__, _PIECES.findall(text))), pieces.kind).astype(np.uint32)
+        return pieces.ids(_PIECES.findall(text))
     return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
