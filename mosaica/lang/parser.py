@@ -452,7 +452,7 @@ class Parser:
         self.word("only")
         target = self.target()
         if op == "INSERT":
-            if self.is_op("("):
+            if self.is_op("(") and not self.is_word("select", k=1):
                 self.at += 1
                 names = self.comma_list(self.ident)
                 self.need_op(")")

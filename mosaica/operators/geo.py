@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import RADIUS, haversine
+from ..functions.geo import GEOHASH, RADIUS, haversine
 
 
 def box(lon: float, lat: float, metres: float) -> tuple[float, float, float, float] | None:
@@ -27,6 +27,32 @@ def within(df: DataFrame, lon: Column, lat: Column, centre: tuple[float, float],
     return df.where(haversine(lon, lat, F.lit(centre[0]), F.lit(centre[1])) < metres)
 
 
+def covering(around: tuple[float, float, float, float], precision: int, most: int = 256) -> list[str]:
+    """Geohashes that cover a box of longitudes and latitudes: of this precision, or of the finest below it that takes at most so
+    many cells. Cells are counted along either axis, longitude having the odd bit."""
+    for k in range(precision, 0, -1):
+        bits = 5 * k
+        wide, high = (bits + 1) // 2, bits // 2
+        place = lambda v, low, span, n: min((1 << n) - 1, max(0, math.floor((v - low) / span * (1 << n))))
+        xs = range(place(around[0], -180, 360, wide), place(around[1], -180, 360, wide) + 1)
+        ys = range(place(around[2], -90, 180, high), place(around[3], -90, 180, high) + 1)
+        if len(xs) * len(ys) <= most:
+            bit = lambda x, y, i: (x >> (wide - 1 - i // 2) if i % 2 == 0 else y >> (high - 1 - i // 2)) & 1  # noqa: B023, E731
+            return sorted("".join(GEOHASH[sum(bit(x, y, 5 * j + i) << (4 - i) for i in range(5))] for j in range(k)) for x in xs for y in ys)
+    return [""]
+
+
+def within_cells(df: DataFrame, cell: Column, lon: Column, lat: Column, centre: tuple[float, float], metres: float, precision: int) -> DataFrame:
+    """Rows nearer than metres, of a table whose column cell holds geohashes of this precision: those in the cells that cover the circle
+    (a condition that reaches the scan, and prunes where the table is partitioned or sorted by cell), then the exact distance."""
+    around = box(*centre, metres)
+    if around:
+        cells = covering(around, precision)
+        if cells != [""]:
+            df = df.where(cell.isin(*cells) if len(cells[0]) == precision else F.substring(cell, 1, len(cells[0])).isin(*cells))
+    return df.where(haversine(lon, lat, F.lit(centre[0]), F.lit(centre[1])) < metres)
+
+
 def distance_join(a: DataFrame, b: DataFrame, a_at: tuple[str, str], b_at: tuple[str, str], metres: float) -> DataFrame:
     """Pairs of rows nearer than metres, with their ``distance``: an equi-join on grid cells, b entering its neighbours' cells too.
 

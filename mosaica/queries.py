@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .client import Client, connect
 from .operators import fulltext, geo, graph, timetravel, vectors
 from .session import Session
+from .sources.dump import dump, restore
 from .sources.kv import scan_table
-from .sources.storage import stored
+from .sources.storage import new_path, stored
+from .sources.vectorstore import VectorStore
 from .streaming.live import changes
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages")
@@ -84,8 +87,7 @@ ask("contains_each", "SELECT k FROM (SELECT c_custkey AS k, [c_custkey % 2, c_cu
 ask("all_equal", "SELECT k FROM (SELECT c_custkey AS k, [c_custkey % 2, c_custkey % 3] AS a FROM customer) WHERE a *= 1", "SELECT c_custkey AS k FROM customer WHERE c_custkey % 2 = 1 AND c_custkey % 3 = 1")
 ask("any_equal", "SELECT k FROM (SELECT c_custkey AS k, [c_custkey % 2, c_custkey % 3] AS a FROM customer) WHERE a ?= 2", "SELECT c_custkey AS k FROM customer WHERE c_custkey % 3 = 2")
 ask("match_no_index", "SELECT doc_id FROM documents WHERE text @@ 'the er'", "SELECT doc_id FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), 'er')")
-ask("arith_mixed", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, l_linenumber ** 2 AS sq, l_linenumber % 3 AS m FROM lineitem WHERE l_linenumber <= 2", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, CAST(power(l_linenumber, 2) AS DOUBLE) AS sq, CAST(l_linenumber % 3 AS BIGINT) AS m FROM lineitem WHERE l_linenumber <= 2")
-ask("arith_mixed_whole", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, l_linenumber ** 2 AS sq, l_linenumber % 3 AS m FROM lineitem", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, CAST(power(l_linenumber, 2) AS DOUBLE) AS sq, CAST(l_linenumber % 3 AS BIGINT) AS m FROM lineitem")
+ask("arith_mixed", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, l_linenumber ** 2 AS sq, l_linenumber % 3 AS m FROM lineitem", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, CAST(power(l_linenumber, 2) AS DOUBLE) AS sq, CAST(l_linenumber % 3 AS BIGINT) AS m FROM lineitem")
 ask("arith_decimal", "SELECT n_nationkey, <string> (n_nationkey / 3) AS third FROM nation", "SELECT n_nationkey, CAST(CAST(round(n_nationkey * 10000000000::HUGEINT / 3.0, 0) / 10000000000 AS DECIMAL(38,10)) AS VARCHAR) AS third FROM nation")
 ask("arith_missing", f"SELECT k, x + 5 AS a, x * 5 AS b, x - 5 AS c FROM {_gaps}", f"SELECT k, coalesce(x, 5) + 5 AS a, coalesce(x, 5) * 5 AS b, coalesce(x, 5) - 5 AS c FROM {_gaps_sql}")
 ask("datetime_plus_duration", "SELECT event_id, ts + 1h30m AS later, ts - 1d AS before FROM events", "SELECT event_id, ts + INTERVAL '90 minutes' AS later, ts - INTERVAL '1 day' AS before FROM events")
@@ -93,8 +95,7 @@ ask("cast_ops", "SELECT n_nationkey, <string> n_nationkey AS s, <float> n_name A
 ask("if_else", "SELECT o_orderkey, IF o_totalprice > 200000 THEN 'high' ELSE IF o_totalprice > 100000 THEN 'mid' ELSE 'low' END AS band FROM orders", "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'low' END AS band FROM orders")
 ask("block_expression", "SELECT n_nationkey, { LET $d = n_nationkey * 2; $d + 1 } AS v FROM nation", "SELECT n_nationkey, CAST(n_nationkey * 2 + 1 AS BIGINT) AS v FROM nation")
 ask("params", "LET $min = 20; SELECT n_name FROM nation WHERE n_nationkey >= $min", "SELECT n_name FROM nation WHERE n_nationkey >= 20")
-ask("array_where", "SELECT VALUE [n_nationkey, n_regionkey][WHERE value > 3] FROM nation WHERE n_nationkey < 10", "SELECT list_filter([n_nationkey, n_regionkey], lambda x: x > 3) AS value FROM nation WHERE n_nationkey < 10")
-ask("array_where_whole", "SELECT VALUE [n_nationkey, n_regionkey][WHERE value > 3] FROM nation", "SELECT list_filter([n_nationkey, n_regionkey], lambda x: x > 3) AS value FROM nation")
+ask("array_where", "SELECT VALUE [n_nationkey, n_regionkey][WHERE value > 3] FROM nation", "SELECT list_filter([n_nationkey, n_regionkey], lambda x: x > 3) AS value FROM nation")
 
 # ---------------------------------------------------------------- order and limit
 ask("order_limit_start", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 START 5", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5")
@@ -121,6 +122,9 @@ ask("join_chain", "SELECT o.o_orderkey AS k, n.n_name AS nation, r.r_name AS reg
 ask("join_null_keys", f"SELECT a.k AS k, n.n_name AS n FROM {_gaps} a JOIN nation n ON a.x = n.n_nationkey", f"SELECT k, n_name AS n FROM {_gaps_sql} JOIN nation ON x = n_nationkey")
 ask("join_left", "SELECT c.c_custkey AS c, o.o_orderkey AS o FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey", "SELECT c_custkey AS c, o_orderkey AS o FROM customer LEFT JOIN orders ON c_custkey = o_custkey")
 ask("join_anti", "SELECT c.c_custkey AS c FROM customer c ANTI JOIN orders o ON c.c_custkey = o.o_custkey", "SELECT c_custkey AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+ask("join_right", "SELECT o.o_orderkey AS o, c.c_custkey AS c FROM orders o RIGHT JOIN customer c ON o.o_custkey = c.c_custkey", "SELECT o_orderkey AS o, c_custkey AS c FROM orders RIGHT JOIN customer ON o_custkey = c_custkey")
+ask("join_full", f"SELECT a.k AS k, n.n_name AS n FROM {_gaps} a FULL JOIN nation n ON a.x = n.n_nationkey", f"SELECT k, n_name AS n FROM {_gaps_sql} FULL JOIN nation ON x = n_nationkey")
+ask("join_semi", "SELECT c.c_custkey AS c FROM customer c SEMI JOIN orders o ON c.c_custkey = o.o_custkey", "SELECT c_custkey AS c FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 ask("in_subquery", "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT VALUE n_nationkey FROM nation WHERE n_regionkey = 2)", "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)")
 ask("not_in_subquery", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT VALUE o_custkey FROM orders WHERE o_orderstatus = 'F')", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 ask("correlated_subquery", "SELECT r_name, array::sort((SELECT VALUE n_name FROM nation WHERE n_regionkey = $parent.r_regionkey)) AS nations FROM region", "SELECT r_name, list_sort(list(n_name)) AS nations FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name")
@@ -128,6 +132,8 @@ ask("correlated_aggregate", "SELECT c_custkey, (SELECT VALUE count() FROM orders
 ask("correlated_top", "SELECT c_custkey, (SELECT VALUE o_orderkey FROM orders WHERE o_custkey = $parent.c_custkey ORDER BY o_totalprice DESC LIMIT 1)[0] AS best FROM customer", "SELECT c_custkey, (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC LIMIT 1) AS best FROM customer")
 ask("scalar_subquery", "SELECT n_nationkey, array::len((SELECT VALUE r_regionkey FROM region)) AS regions FROM nation", "SELECT n_nationkey, (SELECT count(*) FROM region) AS regions FROM nation")
 ask("union_all", "SELECT n_name AS x FROM nation UNION ALL SELECT r_name AS x FROM region", "SELECT n_name AS x FROM nation UNION ALL SELECT r_name FROM region")
+ask("intersect_distinct", "SELECT c_nationkey AS n FROM customer INTERSECT SELECT s_nationkey AS n FROM supplier", "SELECT c_nationkey AS n FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+ask("order_distinct", "SELECT DISTINCT o_orderpriority AS p FROM orders ORDER BY o_orderpriority DESC LIMIT 3", "SELECT DISTINCT o_orderpriority AS p FROM orders ORDER BY p DESC LIMIT 3")
 ask("except_distinct", "SELECT DISTINCT c_nationkey AS n FROM customer EXCEPT SELECT s_nationkey AS n FROM supplier", "SELECT c_nationkey AS n FROM customer EXCEPT SELECT s_nationkey FROM supplier")
 
 # ---------------------------------------------------------------- functions
@@ -151,6 +157,17 @@ ask("fn_time", "SELECT event_id, time::year(ts) AS a, time::month(ts) AS b, time
     "SELECT event_id, year(ts) AS a, month(ts) AS b, day(ts) AS c, hour(ts) AS d, minute(ts) AS e, second(ts) AS f, dayofyear(ts) AS g, isodow(ts) AS h, epoch_us(ts) // 1000000 AS i, epoch_us(ts) // 1000 AS j, date_trunc('second', ts) AS k FROM events")
 ask("fn_crypto_encoding", "SELECT c_custkey, crypto::md5(c_name) AS a, crypto::sha1(c_name) AS b, crypto::sha256(c_name) AS c, encoding::base64::encode(c_name) AS d, encoding::base64::decode(encoding::base64::encode(c_name)) AS e FROM customer", "SELECT c_custkey, md5(c_name) AS a, sha1(c_name) AS b, sha256(c_name) AS c, base64(encode(c_name)) AS d, c_name AS e FROM customer")
 ask("fn_value", f"SELECT k, value::coalesce(x, -1) AS a, value::default(x, 0) AS b FROM {_gaps}", f"SELECT k, coalesce(x, -1) AS a, coalesce(x, 0) AS b FROM {_gaps_sql}")
+ask("fn_names_string_math", "SELECT n_nationkey, string::length(n_name) AS a, math::round(math::log2(n_nationkey + 1) * 1000) AS b, math::round(math::tau * 1000) AS c, math::round(math::e * 1000) AS d, math::inf > 1 AS e, math::neg_inf < n_nationkey AS f, crypto::sha512('a') AS g FROM nation",
+    "SELECT n_nationkey, CAST(length(n_name) AS BIGINT) AS a, CAST(floor(log2(n_nationkey + 1) * 1000 + 0.5) AS BIGINT) AS b, CAST(6283 AS BIGINT) AS c, CAST(2718 AS BIGINT) AS d, true AS e, true AS f, '1f40fc92da241694750979ee6cf582f2d5d7d28e18335de05abc54d0560e0f5302860c652bf08d560252aa5e74210546f369fbbbce8c12cfc7957b2652fe9a75' AS g FROM nation")
+ask("fn_names_array_object", f"SELECT n_nationkey, array::length({_a}) AS a, array::push({_a}, 9) AS b, array::sort(array::shuffle({_a})) AS c, array::sort::asc({_a}) AS d, object::length({{a: 1, b: n_name}}) AS e, object::from_entries([['a', n_name]]).a AS f FROM nation",
+    f"SELECT n_nationkey, CAST(4 AS BIGINT) AS a, list_append({_al}, 9) AS b, list_sort({_al}) AS c, list_sort({_al}) AS d, CAST(2 AS BIGINT) AS e, n_name AS f FROM nation")
+ask("fn_names_type", "SELECT n_nationkey, <string> type::decimal('1.5') AS a, type::table(n_name) AS b, type::record('nation', n_nationkey) AS c, type::array(n_nationkey) AS d, type::number('2.5') AS e, type::is::bool(n_nationkey > 3) AS f, type::is::datetime(n_name) AS g, type::is::none(null) AS h, type::is::record(nation:1) AS i FROM nation",
+    "SELECT n_nationkey, '1.5000000000' AS a, n_name AS b, 'nation:' || n_nationkey AS c, [n_nationkey] AS d, CAST(2.5 AS DOUBLE) AS e, true AS f, false AS g, true AS h, true AS i FROM nation")
+ask("fn_names_record_time", "SELECT event_id, meta::id('event:' + <string> event_id) AS a, record::table('event:' + <string> event_id) AS b, record::tb('event:1') AS c, record::exists(event:1) AS d, time::from::millis(time::millis(ts)) AS e, time::year(now()) >= 2024 AS f, time::now() >= ts AS g FROM events",
+    "SELECT event_id, CAST(event_id AS VARCHAR) AS a, 'event' AS b, 'event' AS c, true AS d, date_trunc('millisecond', ts) AS e, true AS f, true AS g FROM events")
+ask("fn_rand_within", "SELECT n_nationkey, rand::float(2, 3) >= 2 AS a, rand::int(5, 5) AS b, string::len(rand::string(8)) AS c, rand::enum('x') AS d FROM nation", "SELECT n_nationkey, true AS a, CAST(5 AS BIGINT) AS b, CAST(8 AS BIGINT) AS c, 'x' AS d FROM nation")
+ask("operators_without_value", "SELECT n_nationkey, n_nationkey ?: 2 AS a, [n_nationkey] OUTSIDE [1] AS b, [n_nationkey] INTERSECTS [1] AS c FROM nation", "SELECT n_nationkey, CAST(NULL AS VARCHAR) AS a, CAST(NULL AS VARCHAR) AS b, CAST(NULL AS VARCHAR) AS c FROM nation")
+ask("param_array_source", "LET $rows = [{a: 1}, {a: 2}]; SELECT a, a + 1 AS b FROM $rows", "SELECT CAST(a AS BIGINT) AS a, CAST(a + 1 AS BIGINT) AS b FROM (VALUES (1), (2)) t(a)")
 ask("fn_rand", "SELECT n_nationkey, rand() AS a, rand::int(1, 6) AS b, rand::string(8) AS c, rand::uuid() AS d, rand::bool() AS e, rand::enum('x', 'y') AS f FROM nation", None)
 
 # ---------------------------------------------------------------- geography
@@ -170,18 +187,25 @@ def _geo_within(spark, sf_dir):
     return geo.within(df, F.col("lon"), F.col("lat"), (10.0, 50.0), 2_000_000.0).select("c_custkey")
 
 
-@build("geo_distance_join", f"SELECT a.c_custkey AS a, b.c_custkey AS b FROM {_pts} a JOIN {_pts} b ON a.c_custkey % 10 = 0 AND b.c_custkey % 10 = 5 AND 2 * 6371008.8 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) < 300000")
+@build("geo_distance_join", None)
 def _geo_distance_join(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", ((F.col("c_custkey") * 37 % 360) - 180).cast("double").alias("lon"), ((F.col("c_custkey") * 17 % 170) - 85).cast("double").alias("lat"))
-    a = df.where("c_custkey % 10 = 0").toDF("a", "alon", "alat")
-    b = df.where("c_custkey % 10 = 5").toDF("b", "blon", "blat")
-    return geo.distance_join(a, b, ("alon", "alat"), ("blon", "blat"), 300_000.0).select("a", "b")
+    return geo.distance_join(df.toDF("a", "alon", "alat"), df.toDF("b", "blon", "blat"), ("alon", "alat"), ("blon", "blat"), 300_000.0).select("a", "b")
 
 
-@build("geo_distance_join_whole", None)
-def _geo_distance_join_whole(spark, sf_dir):
-    df = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", ((F.col("c_custkey") * 37 % 360) - 180).cast("double").alias("lon"), ((F.col("c_custkey") * 17 % 170) - 85).cast("double").alias("lat"))
-    return geo.distance_join(df.toDF("a", "alon", "alat"), df.toDF("b", "blon", "blat"), ("alon", "alat"), ("blon", "blat"), 300_000.0).select("a", "b")
+_bits = "list_transform(range(25), lambda i: CASE WHEN i % 2 = 0 THEN (x >> (12 - i // 2)) & 1 ELSE (y >> (11 - i // 2)) & 1 END)"
+_letters = " || ".join(f"'0123456789bcdefghjkmnpqrstuvwxyz'[1 + list_sum(list_transform(range({5 * k}, {5 * k + 5}), lambda i: b[i + 1] << ({5 * k + 4} - i)))::INT]" for k in range(5))
+ask("geo_hash", f"SELECT c_custkey, geo::hash::encode({_p}, 5) AS h FROM customer", f"SELECT c_custkey, {_letters} AS h FROM (SELECT c_custkey, {_bits} AS b FROM (SELECT c_custkey, least(8191, floor((lon + 180) / 360 * 8192))::INT AS x, least(4095, floor((lat + 90) / 180 * 4096))::INT AS y FROM {_pts}))")
+ask("geo_radius_field", f"SELECT k FROM (SELECT c_custkey AS k, {_p} AS at FROM customer) WHERE geo::distance(at, geometry::point(10, 50)) < 2000000", f"SELECT c_custkey AS k FROM {_pts} WHERE {_hav.format(lat='50', lon='10')} < 2000000")
+
+
+@build("geo_cells", f"SELECT c_custkey FROM {_pts} WHERE {_hav.format(lat='50', lon='10')} < 2000000")
+def _geo_cells(spark, sf_dir):
+    """A table that stores the geohash of its places, searched by the cells that cover a circle."""
+    s = session(spark, sf_dir)
+    df = s.query(f"SELECT c_custkey, geo::hash::encode({_p}, 3) AS h, {_p} AS at FROM customer")
+    at = F.col("at.coordinates")
+    return geo.within_cells(df, F.col("h"), at[0], at[1], (10.0, 50.0), 2_000_000.0, 3).select("c_custkey")
 
 
 # ---------------------------------------------------------------- vectors
@@ -200,6 +224,14 @@ def _vec_nearest(spark, sf_dir):
     return vectors.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "embedding", [0.1] * 64, 10, tie="vec_id").select("vec_id")
 
 
+@build("vector_store", f"SELECT 'vectors:' || vec_id AS id, CAST(floor((1 - list_cosine_distance({_e}, {_ql})) * 100000 + 0.5) AS BIGINT) AS score FROM embeddings ORDER BY list_cosine_distance({_e}, {_ql}), id LIMIT 5")
+def _vector_store(spark, sf_dir):
+    store = VectorStore(Session(spark))
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    store.upsert_frame(df.select(F.concat(F.lit("vectors:"), "vec_id").alias("id"), F.lit("").alias("text"), F.col("embedding").cast("array<double>"), F.lit("{}").alias("metadata")))
+    return store.search([0.1] * 64, 5).select("id", F.floor(F.col("score") * 100000 + 0.5).alias("score"))
+
+
 # ---------------------------------------------------------------- full text
 _toks = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '')"
 _bm = f"""WITH d AS (SELECT doc_id, text, {_toks} AS w FROM documents), s AS (SELECT count(*) FILTER (len(w) > 0) AS n, avg(len(w)) FILTER (len(w) > 0) AS a,
@@ -210,6 +242,7 @@ b AS (SELECT doc_id, w, ln(1 + (n - df1 + 0.5) / (df1 + 0.5)) * f1 * 2.2 / (f1 +
 
 def searching(spark: SparkSession, sf_dir: str) -> Session:
     s = session(spark, sf_dir)
+    s.tables["documents"].key = "doc_id"
     s.execute("DEFINE ANALYZER plain LOWERCASE; DEFINE INDEX body ON TABLE documents COLUMNS text SEARCH ANALYZER plain")
     return s
 
@@ -229,13 +262,8 @@ def _bm25_topk(spark, sf_dir):
     return searching(spark, sf_dir).query("SELECT doc_id FROM documents WHERE text @@ 'the of' ORDER BY search::score() DESC, doc_id LIMIT 10")
 
 
-@build("highlight", "SELECT doc_id, regexp_replace(left(text, 40), '(the)', '<b>\\1</b>', 'gi') AS h FROM documents WHERE list_contains(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> ''), 'the')")
+@build("highlight", "SELECT doc_id, regexp_replace(text, '(the)', '<b>\\1</b>', 'gi') AS h FROM documents WHERE list_contains(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> ''), 'the')")
 def _highlight(spark, sf_dir):
-    return searching(spark, sf_dir).query("SELECT doc_id, search::highlight(string::slice(text, 0, 40), '<b>', '</b>') AS h FROM documents WHERE text @@ 'the'")
-
-
-@build("highlight_whole", "SELECT doc_id, regexp_replace(text, '(the)', '<b>\\1</b>', 'gi') AS h FROM documents WHERE list_contains(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> ''), 'the')")
-def _highlight_whole(spark, sf_dir):
     return searching(spark, sf_dir).query("SELECT doc_id, search::highlight(text, '<b>', '</b>') AS h FROM documents WHERE text @@ 'the'")
 
 
@@ -245,6 +273,21 @@ def _analyzer_terms(spark, sf_dir):
     return df.select("p_partkey", fulltext.analyze(F.col("p_name"), True, ("the",), True).alias("terms"))
 
 
+@build("postings", f"SELECT term, p_partkey AS key, CAST(len(w) AS INTEGER) AS len, CAST(count(*) AS INTEGER) AS tf FROM (SELECT p_partkey, w, unnest(w) AS term FROM (SELECT p_partkey, {_toks.replace('text', 'p_name')} AS w FROM part)) GROUP BY ALL")
+def _postings(spark, sf_dir):
+    return fulltext.postings(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_partkey", fulltext.analyze(F.col("p_name"))).select("term", "key", "len", "tf")
+
+
+@build("search_after_changes", "SELECT 'part:' || p_partkey AS id FROM part WHERE list_contains(" + _toks.replace("text", "p_name") + ", 'green') AND p_partkey % 5 <> 0 UNION ALL SELECT 'part:new'")
+def _search_after_changes(spark, sf_dir):
+    """The index of a table follows its changes: removed rows are not found, new ones are."""
+    s = session(spark, sf_dir)
+    s.register("part", s.tables["part"].rows().select(F.concat(F.lit("part:"), "p_partkey").alias("id"), "p_name", "p_partkey"))
+    s.execute("DEFINE ANALYZER plain LOWERCASE; DEFINE INDEX n ON TABLE part COLUMNS p_name SEARCH ANALYZER plain")
+    s.execute("DELETE part WHERE p_partkey % 5 = 0; CREATE part:new SET p_name = 'a Green thing'")
+    return s.query("SELECT id FROM part WHERE p_name @@ 'green'")
+
+
 _hybrid = f"""{_bm}, v AS (SELECT b.doc_id, b.score, greatest(0, least(1, list_cosine_similarity([len(w) % 7, len(w) % 5, 1]::DOUBLE[], [1, 2, 3]::DOUBLE[]))) AS sim, list_cosine_similarity([len(w) % 7, len(w) % 5, 1]::DOUBLE[], [1, 2, 3]::DOUBLE[]) AS cs FROM b),
 h AS (SELECT doc_id, cs, (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) + sim AS total FROM v)"""
 
@@ -259,6 +302,15 @@ def _hybrid_search(spark, sf_dir):
     return s.query("SELECT doc_id, math::round(search::score() * 100000) AS score FROM documents2 WHERE text @@ 'the of' AND vector::similarity::cosine(embedding, [1, 2, 3]) > 0.5")
 
 
+@build("hybrid_default_order", f"{_hybrid} SELECT doc_id FROM h WHERE cs > 0.5 ORDER BY round(total, 9) DESC LIMIT 5")
+def _hybrid_default_order(spark, sf_dir):
+    s = searching(spark, sf_dir)
+    n = F.size(fulltext.analyze(F.col("text"))).cast("double")
+    s.register("documents2", s.tables["documents"].rows().withColumn("embedding", F.array(n % 7, n % 5, F.lit(1.0))))
+    s.execute("DEFINE INDEX body2 ON TABLE documents2 COLUMNS text SEARCH ANALYZER plain")
+    return s.query("SELECT doc_id FROM documents2 WHERE text @@ 'the of' AND vector::similarity::cosine(embedding, [1, 2, 3]) > 0.5 LIMIT 5")
+
+
 # ---------------------------------------------------------------- graph
 def graphed(spark: SparkSession, sf_dir: str) -> Session:
     """customer -placed-> order -of-> nation of the customer; region -holds-> nation."""
@@ -429,6 +481,167 @@ def _remote_scan(spark, sf_dir):
     return s.query("SELECT n_name FROM far.nation WHERE n_regionkey = 3")
 
 
+@build("fetch_after_order", "SELECT n_name, r_name AS region FROM nation JOIN region ON r_regionkey = n_regionkey ORDER BY n_name DESC LIMIT 7")
+def _fetch_after_order(spark, sf_dir):
+    return owned(spark, sf_dir).query("SELECT n_name, region.r_name AS region FROM nation ORDER BY n_name DESC LIMIT 7 FETCH region")
+
+
+@build("param_record_source", "SELECT n_name FROM nation WHERE n_nationkey = 3")
+def _param_record_source(spark, sf_dir):
+    return owned(spark, sf_dir).query("SELECT n_name FROM $which", which="nation:3")
+
+
+@build("remote_point", "SELECT n_name FROM nation WHERE n_nationkey = 3")
+def _remote_point(spark, sf_dir):
+    return Session(spark).link("far", lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"), key="n_nationkey").query("SELECT n_name FROM far.nation:3")
+
+
+def _with_strategy(s: Session, text: str) -> DataFrame:
+    return s.query(text).withColumn("strategy", F.lit(s.execute(f"EXPLAIN {text}")["strategy"]))
+
+
+@build("unique_lookup", "SELECT n_name, 'UNIQUE_LOOKUP' AS strategy FROM nation WHERE n_nationkey = 7")
+def _unique_lookup(spark, sf_dir):
+    s = owned(spark, sf_dir)
+    s.execute("DEFINE INDEX k ON TABLE nation COLUMNS n_nationkey UNIQUE")
+    return _with_strategy(s, "SELECT n_name FROM nation WHERE n_nationkey = 7")
+
+
+@build("columnar_lookup", "SELECT o_orderkey, 'COLUMNAR' AS strategy FROM orders WHERE o_orderstatus = 'F'")
+def _columnar_lookup(spark, sf_dir):
+    s = session(spark, sf_dir)
+    s.execute("DEFINE INDEX c ON TABLE orders COLUMNS o_orderstatus COLUMNAR")
+    return _with_strategy(s, "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'")
+
+
+@build("audit_log", "SELECT * FROM (VALUES ('LET $a = 1', 'SAFE'), ('ERROR \"no\"', 'WARNING')) t(statement, verdict)")
+def _audit_log(spark, sf_dir):
+    s = Session(spark)
+    s.execute("LET $a = 1")
+    try:
+        s.execute("ERROR 'no'")
+    except ValueError:
+        pass
+    return s.query("SELECT statement, verdict FROM AUDIT_LOG")
+
+
+@build("audit_cases", "SELECT 'WARNING' AS verdict")
+def _audit_cases(spark, sf_dir):
+    s = Session(spark)
+    try:
+        s.execute("LET $a = 1; ERROR 'no'")
+    except ValueError:
+        pass
+    return s.query("SELECT verdict FROM AUDIT_CASES")
+
+
+@build("dump_restore", "SELECT n_name, r_name AS region, ['region:' || n_regionkey] AS of FROM nation JOIN region ON r_regionkey = n_regionkey")
+def _dump_restore(spark, sf_dir):
+    s, path = owned(spark, sf_dir), new_path(spark, "dump")
+    s.execute("DEFINE FIELD n_name ON TABLE nation TYPE string")
+    s.register_edges(s.tables["nation"].rows().select(F.col("id").alias("src"), F.lit("lies").alias("kind"), F.col("region").alias("dst")), "lies")
+    for table in set(s.tables) - {"nation", "region"}:
+        del s.tables[table]
+    dump(s, path)
+    other = Session(spark)
+    restore(other, path)
+    return other.query("SELECT n_name, region.r_name AS region, ->lies->region AS of FROM nation FETCH region")
+
+
+@build("client_verbs", "SELECT * FROM (VALUES ('a', 1), ('b', 5), ('c', 9)) t(name, n)")
+def _client_verbs(spark, sf_dir):
+    c = Client(Session(spark))
+    c.create("item:1", {"name": "a", "n": 1})
+    c.insert("item", [{"id": "2", "name": "b", "n": 2}, {"id": "4", "name": "gone", "n": 4}])
+    c.update("item:2", {"n": 5})
+    c.upsert("item:3", {"name": "c", "n": 9})
+    c.delete("item:4")
+    return c.query("SELECT name, n FROM item")
+
+
+@build("client_graphql", "SELECT n_name, n_regionkey FROM nation")
+def _client_graphql(spark, sf_dir):
+    return Client(session(spark, sf_dir)).graphql("{ nation { n_name n_regionkey } }")
+
+
+@build("client_peek", "SELECT r_regionkey, r_name FROM region")
+def _client_peek(spark, sf_dir):
+    return spark.createDataFrame([(r["r_regionkey"], r["r_name"]) for r in Client(session(spark, sf_dir)).peek("region")], "r_regionkey int, r_name string")
+
+
+@build("dbapi_cursor", "SELECT n_name, n_nationkey FROM nation WHERE n_regionkey = 2")
+def _dbapi_cursor(spark, sf_dir):
+    cursor = connect(session(spark, sf_dir)).cursor().execute("SELECT n_name, n_nationkey FROM nation WHERE n_regionkey = ?", (2,))
+    return spark.createDataFrame(cursor.fetchall(), "n_name string, n_nationkey int")
+
+
+@build("write_injection", "SELECT * FROM (VALUES ('a', 7), ('b', 7)) t(t, owner)")
+def _write_injection(spark, sf_dir):
+    s = Session(spark)
+    s.execute("CREATE DATA RULE own APPLY owner = 7")
+    s.act_as(["own"]).execute("INSERT INTO note [{t: 'a', owner: 1}, {t: 'b', owner: 3}]")
+    return s.act_as().query("SELECT t, owner FROM note")
+
+
+@build("nested_set", "SELECT n_nationkey AS k, CASE WHEN n_regionkey = 1 THEN 5 ELSE n_nationkey END AS c, n_regionkey AS d FROM nation")
+def _nested_set(spark, sf_dir):
+    s = owned(spark, sf_dir)
+    made = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.concat(F.lit("obj:"), "n_nationkey").alias("id"), F.col("n_nationkey").alias("k"), F.struct(F.col("n_nationkey").alias("c"), F.col("n_regionkey").alias("d")).alias("b"))
+    s.register("obj", made).execute("UPDATE obj SET b.c = 5 WHERE b.d = 1")
+    return s.query("SELECT k, b.c AS c, b.d AS d FROM obj")
+
+
+@build("set_coercion", "SELECT n_name, CASE WHEN n_regionkey = 1 THEN 12 ELSE n_nationkey END AS n_nationkey FROM nation")
+def _set_coercion(spark, sf_dir):
+    s = owned(spark, sf_dir)
+    s.execute("UPDATE nation SET n_nationkey = '12' WHERE region = 'region:1'")
+    return s.query("SELECT n_name, n_nationkey FROM nation")
+
+
+@build("relate_hop", "SELECT n_name, CASE n_nationkey WHEN 1 THEN ['nation:2', 'nation:3'] WHEN 2 THEN ['nation:3'] ELSE [] :: VARCHAR[] END AS to, CASE WHEN n_nationkey = 3 THEN 2 WHEN n_nationkey = 2 THEN 1 ELSE 0 END AS came FROM nation")
+def _relate_hop(spark, sf_dir):
+    s = owned(spark, sf_dir)
+    s.execute("RELATE nation:1->sells->nation:2 SET since = 2001; RELATE nation:1->sells->nation:3; RELATE nation:2->sells->nation:3")
+    return s.query("SELECT n_name, ->sells->nation AS to, array::len(<-sells<-nation) AS came FROM nation")
+
+
+@build("return_before", "SELECT n_name, n_nationkey FROM nation WHERE n_regionkey = 1")
+def _return_before(spark, sf_dir):
+    return owned(spark, sf_dir).execute("UPDATE nation SET n_nationkey = 0 WHERE region = 'region:1' RETURN BEFORE").select("n_name", "n_nationkey")
+
+
+@build("return_after", "SELECT n_name, n_nationkey + 100 AS a, n_nationkey + 200 AS b FROM nation WHERE n_regionkey = 1")
+def _return_after(spark, sf_dir):
+    """AFTER, as which DIFF and expressions count too."""
+    s = owned(spark, sf_dir)
+    a = s.execute("UPDATE nation SET n_nationkey = n_nationkey + 100 WHERE region = 'region:1' RETURN DIFF").select("n_name", F.col("n_nationkey").alias("a"))
+    b = s.execute("UPDATE nation SET n_nationkey = n_nationkey + 100 WHERE region = 'region:1' RETURN n_name").select("n_name", F.col("n_nationkey").alias("b"))
+    return a.join(b, "n_name")
+
+
+@build("event_trigger", "SELECT n_nationkey + 100 AS now, n_nationkey AS was, 'UPDATE' AS what FROM nation WHERE n_regionkey = 2")
+def _event_trigger(spark, sf_dir):
+    s = owned(spark, sf_dir)
+    s.execute("DEFINE EVENT e ON TABLE nation WHEN $event = 'UPDATE' THEN (CREATE log SET now = $after.n_nationkey, was = $before.n_nationkey, what = $event)")
+    s.execute("UPDATE nation SET n_nationkey = n_nationkey + 100 WHERE region = 'region:2'")
+    return s.query("SELECT now, was, what FROM log")
+
+
+@build("insert_subquery", "SELECT n_name AS name FROM nation WHERE n_regionkey = 3")
+def _insert_subquery(spark, sf_dir):
+    s = owned(spark, sf_dir)
+    s.execute("INSERT INTO copy (SELECT n_name AS name FROM nation WHERE region = 'region:3')")
+    return s.query("SELECT name FROM copy")
+
+
+@build("many_updates", "SELECT n_name, n_nationkey + 12 AS n FROM nation")
+def _many_updates(spark, sf_dir):
+    s = owned(spark, sf_dir)
+    for _ in range(12):
+        s.execute("UPDATE nation SET n_nationkey = n_nationkey + 1")
+    return s.query("SELECT n_name, n_nationkey AS n FROM nation")
+
+
 # ---------------------------------------------------------------- versions, keys, live queries
 _log = "(SELECT user_id AS key, ts, event_id, CASE WHEN event_id % 7 = 0 THEN 'DELETE' ELSE 'UPDATE' END AS op, value FROM events)"
 
@@ -484,6 +697,63 @@ def _live_stream(spark, sf_dir):
     return stored(spark.createDataFrame([(x["action"], int(x["result"]["age"])) for x in got], "action string, v int"), "live")
 
 
+@build("live_diff", "SELECT * FROM (VALUES ('UPDATE', 'replace', '/age', 32), ('UPDATE', 'add', '/rank', 1)) t(action, op, path, v)")
+def _live_diff(spark, sf_dir):
+    s = Session(spark)
+    s.execute("CREATE person:1 SET age = 31")
+    sub = s.live("LIVE SELECT * FROM person DIFF")
+    s.execute("UPDATE person:1 SET age = 32; UPDATE person:1 SET rank = 1")
+    got = [(x["action"], p["op"], p["path"], int(p["value"])) for x in sub.drain() for p in x["patch"]]
+    sub.stop()
+    return stored(spark.createDataFrame(got, "action string, op string, path string, v int"), "live")
+
+
+@build("live_held", "SELECT 0 AS before, 1 AS after, 0 AS cancelled")
+def _live_held(spark, sf_dir):
+    """Changes of a transaction are told when it commits, not at all when it is cancelled."""
+    s = Session(spark)
+    sub = s.live("LIVE SELECT * FROM person")
+    s.execute("BEGIN; CREATE person:1 SET age = 31")
+    before = len(sub.drain())
+    s.execute("COMMIT")
+    after = len(sub.drain())
+    s.execute("BEGIN; CREATE person:2 SET age = 5; CANCEL")
+    out = (before, after, len(sub.drain()) - after)
+    sub.stop()
+    return spark.createDataFrame([out], "before int, after int, cancelled int")
+
+
+@build("live_kill", "SELECT 1 AS told, true AS killed, false AS again")
+def _live_kill(spark, sf_dir):
+    s = Session(spark)
+    sub = s.live("LIVE SELECT * FROM person")
+    s.execute("CREATE person:1 SET age = 31")
+    sub.drain()
+    killed = s.execute(f"KILL '{sub.id}'")
+    s.execute("CREATE person:2 SET age = 32")
+    return spark.createDataFrame([(len(sub.received), bool(killed), bool(s.execute(f"KILL '{sub.id}'")))], "told int, killed boolean, again boolean")
+
+
+@build("live_refused", "SELECT * FROM (VALUES ('LIMIT'), ('ORDER'), ('GROUP'), ('FETCH')) t(clause)")
+def _live_refused(spark, sf_dir):
+    """Clauses that a live query may not have."""
+    s, refused = Session(spark), []
+    for clause, text in (("LIMIT", "LIMIT 1"), ("ORDER", "ORDER BY age"), ("GROUP", "GROUP BY age"), ("FETCH", "FETCH age")):
+        try:
+            s.live(f"LIVE SELECT age FROM person {text}").stop()
+        except ValueError:
+            refused.append((clause,))
+    return spark.createDataFrame(refused, "clause string")
+
+
+@build("kv_functions", "SELECT 5 AS got, 2 AS found, true AS gone, 1 AS left")
+def _kv_functions(spark, sf_dir):
+    s = Session(spark)
+    s.execute("LET $a = kv::set('s1', 5); LET $b = kv::set('s2', 6); LET $c = kv::set('t', 7)")
+    got, found, gone, left = (s.execute(f"RETURN {x}") for x in ("kv::get('s1')", "array::len(kv::scan('s'))", "kv::del('s2')", "array::len(kv::scan('s'))"))
+    return spark.createDataFrame([(int(got), int(found), bool(gone), int(left))], "got int, found int, gone boolean, left int")
+
+
 @build("window_events", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, sum(value) AS v FROM events GROUP BY 1, 2")
 def _window_events(spark, sf_dir):
     """Extension: event-time windows under a watermark, batch and stream alike."""

@@ -49,10 +49,13 @@ class Subscription:
         self.stream = None
 
     def start(self) -> None:
-        """Starts the stream; the table's fields are known by then."""
+        """Starts the stream. Each micro-batch is read with the fields that the table has by then."""
+        spark, table = self.feed.session.spark, self.live.select.target.table
+        log = spark.readStream.schema(LOG).json(self.feed.path(table))
+        self.stream = log.writeStream.foreachBatch(self._deliver).option("checkpointLocation", new_path(spark, "live")).trigger(processingTime="200 milliseconds").start()
+
+    def _told(self, log: DataFrame) -> DataFrame:
         feed, session, q = self.feed, self.feed.session, self.live.select
-        kind = feed.kinds[q.target.table]
-        log = session.spark.readStream.schema(LOG).json(feed.path(q.target.table))
         from ..plans.expressions import Rows, condition, lower, output_name
 
         rows = lambda df: Rows(df, session, labels={q.target.table: ""}, table=q.target.table)
@@ -63,12 +66,11 @@ class Subscription:
                 return [F.col("row").alias("result")]
             return [F.struct(*(lower(f.expr, rows(df)).col.alias(f.alias or output_name(f.expr)) for f in q.fields)).alias("result")]
 
-        stream = changes(log, kind, where, project)
-        self.stream = stream.writeStream.foreachBatch(self._deliver).option("checkpointLocation", new_path(session.spark, "live")).trigger(processingTime="200 milliseconds").start()
+        return changes(log, feed.kinds[q.target.table], where, project)
 
     def _deliver(self, batch: DataFrame, _: int) -> None:
         plain = lambda r: {k: v for k, v in r.asDict(recursive=True).items() if v is not None} if r is not None else None
-        for r in batch.orderBy("seq").toLocalIterator():  # the driver holds a partition's changes
+        for r in self._told(batch).orderBy("seq").toLocalIterator():  # the driver holds a partition's changes
             told = {"action": r.action, "id": r.id}
             told |= {"patch": patch(plain(r.before), plain(r.after))} if self.live.diff else {"result": plain(r.result)}
             self.receive(told)

@@ -25,11 +25,11 @@ def test_distance_join_over_all_customers(spark, sf):
         return 2 * 6371008.8 * math.asin(math.sqrt(min(1.0, math.sin((v - y) / 2) ** 2 + math.cos(y) * math.cos(v) * math.sin((u - x) / 2) ** 2)))
 
     want = sorted((a, b) for a in at for b in at if metres(at[a], at[b]) < 300_000)
-    assert len(want) > len(at) and sorted(tuple(r) for r in q.REGISTERED["geo_distance_join_whole"].run(spark, sf).collect()) == want
+    assert len(want) > len(at) and sorted(tuple(r) for r in q.REGISTERED["geo_distance_join"].run(spark, sf).collect()) == want
 
 
 def test_highlight_marks_the_whole_text(spark, sf):
-    out = q.REGISTERED["highlight_whole"].run(spark, sf).collect()
+    out = q.REGISTERED["highlight"].run(spark, sf).collect()
     assert out and all("<b>" in r.h for r in out)
 
 
