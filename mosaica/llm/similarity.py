@@ -34,7 +34,7 @@ VERIFY_COST = 20.0  # of one verification, in postings read
 STARS = 2
 FEW = 32  # chunks of one text up to which its own shingles can be told from shared ones
 RARE = 16  # frequency up to which a shingle is rare
-PARTNERS = 256  # that one task verifies against one node at a time
+PARTNERS = 64  # that one task verifies against one node at a time
 
 COUNTS = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("raw", pa.binary()), ("n", pa.binary())])
 BACK = pa.schema([("chunk", pa.int32()), ("part", pa.int32()), ("raw", pa.binary()), ("n", pa.binary())])
