@@ -399,7 +399,7 @@ class Parser:
         word = self.now.text.lower() if self.now.kind == "ident" else ""
         if word in ("create", "alter", "define") and self._defines():
             return self.define()
-        read = getattr(self, f"_{_STATEMENTS.get(word, '')}", None) if word in _STATEMENTS and not self.is_op("(", "=", ".", k=1) or word == "return" else None
+        read = getattr(self, f"_{_STATEMENTS.get(word, '')}", None) if word in _STATEMENTS and not self.is_op("(", "=", ".", k=1) or word == "return" or word == "select" and self.is_op("(", k=1) else None
         return read() if read else n.Evaluate(self.expression())
 
     def _defines(self) -> bool:

@@ -209,7 +209,7 @@ def test_radius_ranges_lose_no_row(s, spark, tmp_path):
         assert sorted(r.value for r in ranged.collect()) == plain
         assert sorted(s.rows(f"SELECT VALUE k FROM f WHERE {near.format('at')} < {metres}")) == plain
     pushed = s.query("SELECT VALUE k FROM p WHERE geo::distance(geometry::point(lon, lat), geometry::point(10, 50)) < 1000")._jdf.queryExecution().toString()
-    assert "GreaterThanOrEqual(lat" in pushed or "GreaterThan(lat" in pushed or "lat,9" in pushed
+    assert "OrEqual(lon,9.98" in pushed
 
 
 def test_cells_cover_a_circle(spark):
