@@ -41,11 +41,39 @@ SHARD_IDS = 1 << 21  # ids in a shard, but for a longer document
 END_ID = 0
 CACHE = 600_000  # pieces a worker remembers
 
-# The byte-level vocabulary's piece pattern for text within U+00FF, its classes written out.
+PORTION = 4_000_000  # characters that are encoded at once, but for a longer document
+SHORT = 7  # letters of a piece that fit a key
+
+# Character classes of the byte-level vocabulary's piece pattern for text within U+00FF.
 _L = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 _N = "0-9²³¹¼-¾"
-_S = "\\t-\\r \u0085 "
-_PIECES = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+_S = "\\t-\\r \u0085\u00a0"
+_SPACE, _LETTER, _NUMBER, _OTHER, _END = range(5)
+_CLASS = np.array([next(k for k, x in enumerate((_S, _L, _N, "\\x00-\\xff")) if re.match(f"[{x}]", chr(i))) for i in range(256)], np.uint8)
+
+
+def cut(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where the pieces of Latin-1 texts begin that are laid end to end, each with one letter after it, at ends, which is a piece.
+
+    Pieces are runs of letters, of numbers, of others, each with the one blank before it; contractions ('s 't 'm 'd 're 've 'll) that
+    nothing but a letter or number run comes before; and white space short of that blank, whose last character is a piece of its own
+    where it is none and text follows."""
+    kind = _CLASS[data]
+    kind[ends] = _END
+    begins = np.empty(len(data) + 4, bool)
+    begins[0] = True
+    begins[1 : len(data)] = kind[1:] != kind[:-1]
+    begins[ends] = begins[ends + 1] = True
+    last = np.flatnonzero((kind[:-1] == _SPACE) & (kind[1:] > _SPACE) & (kind[1:] < _END))  # of a white-space run that text follows
+    begins[last] = True
+    begins[last[data[last] == 0x20] + 1] = False
+    at = np.flatnonzero((data[:-1] == 0x27) & begins[: len(data) - 1] & (kind[1:] == _LETTER))
+    one, two = data[at + 1], data[np.minimum(at + 2, len(data) - 1)]
+    short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+    long = ((one == 0x72) | (one == 0x76)) & (two == 0x65) | (one == 0x6C) & (two == 0x6C)  # re, ve, ll
+    begins[at[short | long] + 1] = False
+    begins[at[short] + 2] = begins[at[long & ~short] + 3] = True
+    return np.flatnonzero(begins[: len(data)])
 
 
 # ---------------------------------------------------------------- tokenizer
@@ -67,25 +95,63 @@ class _Pieces:
         wide = 2 if tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind, self.spell = f"<u{wide}", [i.to_bytes(wide, "little") for i in range(tokenizer.get_vocab_size())]
 
-    def ids(self, pieces: list[str]) -> np.ndarray:
-        found = list(map(self.younger.get, pieces))
+    def encode(self, texts: list[bytes], end_id: int) -> list[np.ndarray]:
+        """Ids of each Latin-1 text, and the end id. Pieces of up to SHORT letters are looked up once for all that are equal, by a key
+        of their letters and length, which is exact; longer ones one by one."""
+        raw = b"\0".join(texts) + b"\0"
+        ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+        data = np.frombuffer(raw, np.uint8)
+        starts = cut(data, ends)
+        sizes = np.diff(starts, append=len(data))
+        stop = np.searchsorted(starts, ends)  # the piece that ends each text
+        brief = sizes <= SHORT
+        brief[stop] = False
+        few, some = starts[brief], sizes[brief]
+        keys = some.astype(np.uint64) << np.uint64(56)
+        for k in range(SHORT):
+            part = data[np.minimum(few + k, len(data) - 1)].astype(np.uint64)
+            part[some <= k] = 0
+            keys |= part << np.uint64(8 * k)
+        distinct, which = np.unique(keys, return_inverse=True)
+        known = self._all(distinct.tolist(), lambda key: (key & (1 << 56) - 1).to_bytes(SHORT, "little")[: key >> 56].decode("latin-1"))
+        many = np.flatnonzero(~brief)
+        many = many[~np.isin(many, stop)]
+        text = raw.decode("latin-1")
+        longer = self._all([text[a:b] for a, b in zip(starts[many].tolist(), (starts[many] + sizes[many]).tolist(), strict=True)], lambda piece: piece)
+        flat = np.frombuffer(b"".join(known) + b"".join(longer), self.kind)
+        width = flat.dtype.itemsize
+        counts = np.array([len(x) for x in known] + [len(x) for x in longer], np.int64) // width
+        places = np.cumsum(counts) - counts
+        n, at = np.ones(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        n[brief], at[brief] = counts[which], places[which]
+        n[many], at[many] = counts[len(known) :], places[len(known) :]
+        begun = np.cumsum(n) - n
+        source = np.repeat(at - begun, n)
+        source += np.arange(len(source))
+        ids = flat[source].astype(np.uint32) if len(flat) else np.zeros(len(source), np.uint32)
+        ids[begun[stop]] = end_id
+        return np.split(ids, (begun[stop] + 1)[:-1])
+
+    def _all(self, keys: list, spelled) -> list[bytes]:
+        found = list(map(self.younger.get, keys))
         at = -1
         for _ in range(found.count(None)):
             at = found.index(None, at + 1)
-            found[at] = self._new(pieces[at])
-        return np.frombuffer(b"".join(found), self.kind).astype(np.uint32)
+            found[at] = self._new(keys[at], spelled)
+        return found
 
-    def _new(self, piece: str) -> bytes:
-        ids = self.younger.get(piece) or self.elder.get(piece)
+    def _new(self, key: int | str, spelled) -> bytes:
+        ids = self.younger.get(key) or self.elder.get(key)
         if ids is None:
+            piece = spelled(key)
             if piece.isascii() and (piece[1:].isalnum() if piece[0] == " " else piece.isalnum()):  # most are; each letter is written as itself
-                spelled = self.letters[0x20] + piece[1:] if piece[0] == " " else piece
+                written = self.letters[0x20] + piece[1:] if piece[0] == " " else piece
             else:
-                spelled = piece.encode("utf-8").decode("latin-1").translate(self.letters)
-            ids = b"".join([self.spell[t.id] for t in self.model.tokenize(spelled)])
+                written = piece.encode("utf-8").decode("latin-1").translate(self.letters)
+            ids = b"".join([self.spell[t.id] for t in self.model.tokenize(written)])
         if len(self.younger) >= CACHE // 2:
             self.elder, self.younger = self.younger, {}
-        self.younger[piece] = ids
+        self.younger[key] = ids
         return ids
 
 
@@ -100,7 +166,7 @@ def _tokenizer(path: str):
 
 
 def _by_pieces(tokenizer) -> bool:
-    """Whether a tokenizer cuts text as _PIECES does and encodes each piece by itself: byte-level BPE, and nothing else."""
+    """Whether a tokenizer cuts text as ``cut`` does and encodes each piece by itself: byte-level BPE, and nothing else."""
     cut = json.loads(tokenizer.pre_tokenizer.__getstate__()) if tokenizer.pre_tokenizer is not None else {}
     model = tokenizer.model
     return (
@@ -110,23 +176,43 @@ def _by_pieces(tokenizer) -> bool:
     )
 
 
-def encode_text(text: str | None, path: str) -> np.ndarray:
-    """Ids of one text, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them. Null: none.
+def encode_all(texts: list[str | None], path: str, end_id: int = END_ID) -> list[np.ndarray]:
+    """Ids of each text, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them, and the end id. Null: the end id alone.
 
     Text beyond U+00FF, text that spells a special token, and any text where the tokenizer is not plain byte-level BPE, goes to the
     library whole; other text is cut into the pieces that its pre-tokenizer would make, and the library's model encodes each piece
     that is not remembered."""
-    if not text:
-        return np.empty(0, np.uint32)
     tokenizer, pieces, specials = _tokenizer(path)
-    try:
-        text.encode("latin-1")
-        plain = pieces is not None and not any(s in text for s in specials)
-    except UnicodeEncodeError:
-        plain = False
-    if plain:
-        return pieces.ids(_PIECES.findall(text))
-    return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+    plain, other = [b""] * len(texts), []
+    for i, text in enumerate(texts):
+        if not text:
+            continue
+        if pieces is not None and not any(s in text for s in specials):
+            try:
+                plain[i] = text.encode("latin-1")
+                continue
+            except UnicodeEncodeError:
+                pass
+        other.append(i)
+    out = pieces.encode(plain, end_id) if pieces is not None and texts else [np.array([end_id], np.uint32)] * len(texts)
+    for i in other:
+        out[i] = np.array([*tokenizer.encode(texts[i], add_special_tokens=False).ids, end_id], np.uint32)
+    return out
+
+
+def encode_text(text: str | None, path: str) -> np.ndarray:
+    """Ids of one text, without an end."""
+    return encode_all([text], path)[0][:-1]
+
+
+def _portions(texts: list[str | None]):
+    """Slices of the texts of about PORTION characters."""
+    a = n = 0
+    for i, t in enumerate(texts):
+        n += len(t or "")
+        if n >= PORTION or i + 1 == len(texts):
+            yield slice(a, i + 1)
+            a, n = i + 1, 0
 
 
 # ---------------------------------------------------------------- PFOR codec
@@ -256,16 +342,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
             image = encode_shard(np.concatenate(held), np.array([len(x) for x in held]), block, percentile)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([n], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([image], pa.binary())], names=["part", "seq", "n_ids", "doc_ids", "image"])
 
-        end = np.array([end_id], np.uint32)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.concatenate([encode_text(text.as_py(), tokenizer), end])
-                if held and n + len(ids) > shard_ids:
-                    yield shard()
-                    seq, held, doc_ids, n = seq + 1, [], [], 0
-                held.append(ids)
-                doc_ids.append(doc_id)
-                n += len(ids)
+            own, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for some in _portions(texts):
+                for doc_id, ids in zip(own[some], encode_all(texts[some], tokenizer, end_id), strict=True):
+                    if held and n + len(ids) > shard_ids:
+                        yield shard()
+                        seq, held, doc_ids, n = seq + 1, [], [], 0
+                    held.append(ids)
+                    doc_ids.append(doc_id)
+                    n += len(ids)
         if held:
             yield shard()
 

@@ -28,6 +28,13 @@ def test_ids_are_the_library_s(text):
 Tokenizer_ = Tokenizer.from_file(PATH)
 
 
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(max_size=8), st.text("aé '\n\t\x85\xa0\x00\x1f12½³,.sdtmrevl", max_size=60), st.sampled_from(["'s", "don't", "we'll've", " 'tis", "''s", "!'re", "a  b", "x \n", "<|endoftext|>"])), max_size=6))
+def test_texts_encoded_at_once(texts):
+    got = t.encode_all(texts, PATH, 7)
+    assert [x.tolist() for x in got] == [[*(Tokenizer_.encode(x, add_special_tokens=False).ids if x else []), 7] for x in texts]
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_other_tokenizers(spark, sf, name):
     path = public_tokenizers.path(name)
