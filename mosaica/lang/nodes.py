@@ -71,6 +71,16 @@ class Call(Expr):
     args: tuple[Expr, ...]
 
 
+@dataclass(frozen=True)
+class Over(Expr):
+    """A call over a window of rows. frame: rows before (negative) and after the current one; None: all."""
+
+    call: Call
+    partition: tuple[Expr, ...] = ()
+    order: tuple[tuple[Expr, bool], ...] = ()
+    frame: tuple[int | None, int | None] | None = None
+
+
 @dataclass(frozen=True)
 class Unary(Expr):
     op: str

@@ -208,7 +208,8 @@ class Parser:
                 self.fail("an expression")
             self.at += 1
             if self.is_op("(") and t.kind == "ident":
-                return n.Call(t.text.removeprefix("fn::"), self.arguments())
+                made = n.Call(t.text.removeprefix("fn::"), self.arguments())
+                return self.over(made) if self.is_word("over") and self.is_op("(", k=1) else made
             if self.is_op(":") and self.now.start == t.end and self.peek().start == self.now.end and self.peek().kind in ("ident", "quoted", "int", "string", "param", "uuid", "duration"):
                 self.at += 1
                 k = self.next()
@@ -360,6 +361,33 @@ class Parser:
             else:
                 return n.Select(**kw)
 
+    def over(self, call: n.Call) -> n.Over:
+        self.need_word("over")
+        self.need_op("(")
+        kw: dict = {}
+        if self.word("partition"):
+            self.need_word("by")
+            kw["partition"] = self.comma_list(self.expression)
+        if self.word("order"):
+            self.need_word("by")
+            kw["order"] = self.comma_list(self.ordering)
+        if self.word("rows"):
+            self.need_word("between")
+            start = self.bound()
+            self.need_word("and")
+            kw["frame"] = (start, self.bound())
+        self.need_op(")")
+        return n.Over(call, **kw)
+
+    def bound(self) -> int | None:
+        """An end of a frame: rows from the current one, None for all."""
+        if self.word("current"):
+            self.need_word("row")
+            return 0
+        many = None if self.word("unbounded") else int(self.next().value)
+        before = self.need_word("preceding", "following").lower() == "preceding"
+        return many if many is None else -many if before else many
+
     def ordering(self) -> tuple[n.Expr, bool]:
         e = self.expression()
         return e, (self.word("asc", "desc") or "asc") == "desc"

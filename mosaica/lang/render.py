@@ -81,6 +81,16 @@ def _(e: n.Call):
     return f"{e.name}({', '.join(map(render, e.args))})"
 
 
+@render.register
+def _(e: n.Over):
+    parts = [f"PARTITION BY {', '.join(map(render, e.partition))}"] if e.partition else []
+    parts += [f"ORDER BY {', '.join(render(x) + ' DESC' * down for x, down in e.order)}"] if e.order else []
+    if e.frame:
+        end = lambda k, way: f"UNBOUNDED {way}" if k is None else "CURRENT ROW" if k == 0 else f"{abs(k)} {'PRECEDING' if k < 0 else 'FOLLOWING'}"
+        parts.append(f"ROWS BETWEEN {end(e.frame[0], 'PRECEDING')} AND {end(e.frame[1], 'FOLLOWING')}")
+    return f"{render(e.call)} OVER ({' '.join(parts)})"
+
+
 @render.register
 def _(e: n.Unary):
     return {"not": "!"}.get(e.op, e.op) + _inner(e.value, 9)

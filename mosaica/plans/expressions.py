@@ -7,7 +7,7 @@ import itertools
 from dataclasses import dataclass, field
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -354,6 +354,30 @@ def _hop(e: n.Hop, rows: Rows) -> Value:
     return rows.session.hop(e, rows)
 
 
+def over(e: n.Over, rows: Rows) -> Value:
+    """A ranking, offset or aggregate over a window. Missing values sort as in ORDER BY."""
+    name, args = e.call.name.lower(), [lower(a, rows) for a in e.call.args]
+    window = Window.partitionBy(*(lower(p, rows).col for p in e.partition)).orderBy(*(k for x, down in e.order for k in sem.sort_key(lower(x, rows), down)))
+    if e.frame:
+        window = window.rowsBetween(Window.unboundedPreceding if e.frame[0] is None else e.frame[0], Window.unboundedFollowing if e.frame[1] is None else e.frame[1])
+    fixed = lambda k, default: int(e.call.args[k].value) if len(e.call.args) > k and isinstance(e.call.args[k], n.Literal) else default
+    ranks = {"row_number": F.row_number, "rank": F.rank, "dense_rank": F.dense_rank, "percent_rank": F.percent_rank, "cume_dist": F.cume_dist}
+    if name in ranks:
+        return Value(ranks[name]().over(window).cast("double" if name in ("percent_rank", "cume_dist") else "long"), T.DoubleType() if name in ("percent_rank", "cume_dist") else T.LongType())
+    if name == "ntile":
+        return Value(F.ntile(fixed(0, 1)).over(window).cast("long"), T.LongType())
+    if name == "count":
+        return Value(F.count(F.lit(1)).over(window), T.LongType())
+    if name in ("lag", "lead") and args:
+        return Value((F.lag if name == "lag" else F.lead)(args[0].col, fixed(1, 1)).over(window), args[0].kind)
+    if name in ("first", "last", "min", "max") and len(args) == 1:
+        return Value(getattr(F, name)(args[0].col).over(window), args[0].kind)
+    if name in ("sum", "avg") and len(args) == 1 and args[0].number:
+        made, whole = getattr(F, name)(args[0].col), isinstance(args[0].kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+        return Value(made.over(window), T.LongType() if whole and name == "sum" else sem.WIDE if isinstance(args[0].kind, T.DecimalType) else T.DoubleType())
+    raise Unsupported(f"{name} over a window")
+
+
 def _record(e: n.Record, rows: Rows) -> Value:
     return Value(F.concat(F.lit(e.table + ":"), lower(e.key, rows).col.cast("string")), T.StringType(), isinstance(e.key, n.Literal))
 
@@ -361,7 +385,7 @@ def _record(e: n.Record, rows: Rows) -> Value:
 _LOWER = {
     n.Literal: lambda e, rows: literal(e.value, e.kind),
     n.Name: _name, n.Param: _param, n.Field: _field, n.Item: _item, n.Every: _every, n.Hop: _hop, n.Record: _record,
-    n.Call: _call, n.Unary: _unary, n.Binary: _binary, n.Branch: _branch, n.Block: _block, n.Query: _query,
+    n.Call: _call, n.Over: over, n.Unary: _unary, n.Binary: _binary, n.Branch: _branch, n.Block: _block, n.Query: _query,
     n.Cast: lambda e, rows: cast(e.kind, lower(e.value, rows)),
     n.ArrayOf: lambda e, rows: array([lower(x, rows) for x in e.items]),
     n.ObjectOf: lambda e, rows: struct([(k, lower(v, rows)) for k, v in e.items]),
@@ -384,6 +408,8 @@ def path_of(e: n.Expr) -> str | None:
 def output_name(e: n.Expr) -> str:
     if isinstance(e, n.Call):
         return e.name
+    if isinstance(e, n.Over):
+        return e.call.name
     if isinstance(e, (n.Item, n.Hop)):
         return render(e)
     return path_of(e) or "value"

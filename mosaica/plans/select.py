@@ -18,7 +18,7 @@ from ..lang.render import render
 from ..operators import fulltext, geo
 from ..semantics import Value, nothing
 from . import constants
-from .expressions import Rows, Unsupported, array, col, common, condition, conform, conjuncts, hidden, literal, lower, member, output_name, path_of, struct, walk
+from .expressions import Rows, Unsupported, array, col, common, condition, conform, conjuncts, hidden, literal, lower, member, output_name, over, path_of, struct, walk
 
 AGGREGATES = {"count", "sum", "avg", "min", "max"}
 MOST_ROWS = 100_000  # of a subquery that becomes one array, sent to every task
@@ -413,6 +413,12 @@ class Planner:
             if part not in rows.special:
                 rows.special[part] = self.session.hop(part, rows)
             return rows
+        if isinstance(part, n.Over) and part not in rows.special:  # over all rows, before LIMIT takes some
+            rows = self.attach(rows, (part.call, part.partition, part.order))
+            name, v = hidden(), over(part, rows)
+            rows.df = rows.df.withColumn(name, v.col)
+            rows.special[part] = Value(col(name), v.kind)
+            return rows
         if isinstance(part, n.Node):
             for v in part.__dict__.values():
                 rows = self.attach(rows, v)

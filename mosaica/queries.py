@@ -115,6 +115,11 @@ ask("agg_having", "SELECT count() AS n FROM orders GROUP BY o_custkey HAVING n >
 ask("agg_join", "SELECT sum(o_totalprice) AS s FROM orders JOIN customer ON orders.o_custkey = customer.c_custkey GROUP BY c_mktsegment", 'SELECT c_mktsegment AS "group.0", sum(o_totalprice) AS s FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1')
 ask("group_without_aggregate", "SELECT r_name FROM region GROUP BY r_regionkey", "SELECT r_name FROM region")
 
+# ---------------------------------------------------------------- windows
+ask("window_rank", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r, rank() OVER (ORDER BY o_orderpriority) AS p, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r, rank() OVER (ORDER BY o_orderpriority) AS p, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders")
+ask("window_aggregate", "SELECT event_id, count() OVER (PARTITION BY user_id) AS n, sum(event_id) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS s, max(event_id) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 FOLLOWING) AS m FROM events", "SELECT event_id, count(*) OVER (PARTITION BY user_id) AS n, CAST(sum(event_id) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS s, max(event_id) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 FOLLOWING) AS m FROM events")
+ask("window_before_limit", "SELECT o_orderkey, count() OVER () AS n FROM orders ORDER BY o_orderkey LIMIT 5", "SELECT o_orderkey, count(*) OVER () AS n FROM orders ORDER BY o_orderkey LIMIT 5")
+
 # ---------------------------------------------------------------- joins and subqueries
 ask("join_inner", "SELECT * FROM nation JOIN region ON nation.n_regionkey = region.r_regionkey", 'SELECT n_nationkey AS "nation.n_nationkey", n_name AS "nation.n_name", n_regionkey AS "nation.n_regionkey", r_regionkey AS "region.r_regionkey", r_name AS "region.r_name" FROM nation JOIN region ON n_regionkey = r_regionkey')
 ask("join_where_after", "SELECT orders.o_orderkey AS k, customer.c_name AS c FROM orders JOIN customer ON customer.c_custkey = orders.o_custkey WHERE customer.c_acctbal > 5000 AND orders.o_orderstatus = 'O'", "SELECT o_orderkey AS k, c_name AS c FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal > 5000 AND o_orderstatus = 'O'")
@@ -535,6 +540,18 @@ def _audit_cases(spark, sf_dir):
     return s.query("SELECT verdict FROM AUDIT_CASES")
 
 
+@build("audit_rules", "SELECT * FROM (VALUES ('DELETE t', 'DANGER'), ('UPDATE t SET n = 2', 'WARNING'), ('CREATE t:1 SET n = 1', 'SAFE')) t(statement, verdict)")
+def _audit_rules(spark, sf_dir):
+    """Rules that judge statements by their text; dangerous ones are not run."""
+    s = Session(spark).judge(r"^update", "WARNING").judge(r"^delete \w+$", "DANGER")
+    try:
+        s.execute("CREATE t:1 SET n = 1; UPDATE t SET n = 2; DELETE t")
+    except ValueError:
+        pass
+    assert s.rows("SELECT VALUE n FROM t") == [2]
+    return s.query("SELECT statement, verdict FROM AUDIT_LOG WHERE statement CONTAINS 't SET' OR statement CONTAINS 't:1' OR statement = 'DELETE t'")
+
+
 @build("dump_restore", "SELECT n_name, r_name AS region, ['region:' || n_regionkey] AS of FROM nation JOIN region ON r_regionkey = n_regionkey")
 def _dump_restore(spark, sf_dir):
     s, path = owned(spark, sf_dir), new_path(spark, "dump")

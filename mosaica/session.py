@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 import time
 import uuid
 import weakref
@@ -30,6 +31,7 @@ from .streaming.live import Feed, Subscription
 
 AUDITED = 10_000  # entries of the audit log that the driver holds before they are written
 KINDS = 10_000  # of edges
+VERDICTS = ("SAFE", "WARNING", "DANGER")
 _built: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()  # postings of tables read from files, by Spark session
 
 
@@ -57,6 +59,7 @@ class Session:
         self.feed = Feed(self)
         self.audit: list[tuple] = []
         self.audited: list[DataFrame] = []  # earlier entries, written
+        self.audit_rules: list[tuple[re.Pattern, str]] = []
         self._stack: list[tuple[str | None, dict, DataFrame | None, dict]] = []
         self._held: list[tuple] = []
 
@@ -167,8 +170,6 @@ class Session:
         return [e for e in out if action != "select" or not isinstance(e, n.Binary) or not columns or _names(e) <= columns | {"value"}]
 
     def is_masked(self, column: str) -> bool:
-        import re
-
         patterns = [*self.masks, *(p for d in self._rules() for p in d.get("mask") or ())]
         return any(re.fullmatch(re.escape(p.lower()).replace("%", ".*").replace("_", "."), column.lower()) for p in patterns)
 
@@ -180,15 +181,27 @@ class Session:
         df = table.at(at, before).rows()
         return df if df is not None else empty(self.spark, table.fields)
 
+    def judge(self, pattern: str, verdict: str) -> Session:
+        """An audit rule: statements whose text the pattern matches (anywhere, any case) are noted with this verdict, and not run if
+        it is DANGER. The gravest verdict of all rules counts."""
+        if verdict not in VERDICTS:
+            raise ValueError(f"a verdict is one of {', '.join(VERDICTS)}")
+        self.audit_rules.append((re.compile(pattern, re.IGNORECASE), verdict))
+        return self
+
     # ------------------------------------------------------------ running
     def execute(self, text: str, **params):
         """Runs all statements; gives the last one's result: a DataFrame for SELECT, a Python value otherwise."""
         self.variables |= params
         out = None
         for s in parse(text):
+            found = max((v for rule, v in self.audit_rules if rule.search(render(s))), key=VERDICTS.index, default="SAFE") if self.audit_rules else "SAFE"
+            if found == "DANGER":
+                self._note(s, found)
+                raise Refused(f"an audit rule forbids {render(s)}")
             try:
                 out = self.run(s)
-                self._note(s, "SAFE")
+                self._note(s, found)
             except Refused:
                 self._note(s, "WARNING")
                 raise

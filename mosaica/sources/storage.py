@@ -36,12 +36,20 @@ def new_path(spark: SparkSession, what: str) -> str:
     return path
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes what this process has written to the shared folder."""
+def written(spark: SparkSession) -> list[str]:
+    """Paths that this process has made in the shared folder and not released, in order."""
+    return list(_written.get(spark, []))
+
+
+def release(spark: SparkSession, *paths: str) -> None:
+    """Deletes what this process has written to the shared folder: these paths, or all."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _written.pop(spark, []):
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+    mine = _written.get(spark, [])
+    for path in paths or list(mine):
+        if path in mine:
+            mine.remove(path)
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
 
 
 @atexit.register
@@ -52,8 +60,27 @@ def _release_all() -> None:
                 release(spark)
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """df, written and read back: fixed from then on, with no lineage to recompute."""
-    path, schema = new_path(df.sparkSession, what), df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+#: Spark then deletes the shuffle files of a statement when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def cleaning(spark: SparkSession):
+    """Within, each statement's shuffle files go when it ends."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
+def stored(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
+    """df, written and read back: fixed from then on, with no lineage to recompute and no shuffle files."""
+    path, schema, spark = new_path(df.sparkSession, what), df.schema, df.sparkSession
+    with cleaning(spark):
+        df.write.option("compression", compression).parquet(path)
+    return spark.read.schema(schema).parquet(path)
