@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mosaica.llm import common, decontaminate, mixing, similarity, token_output, toxicity
+from mosaica.sources import storage
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,7 +75,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    """All stages in turn over documents. What a stage has written beside its result goes when the next one begins."""
+    docs, earlier = common.table(spark, sf_dir, "documents"), set(storage.written(spark))
     for name, stage in STAGES:
+        spent = [p for p in storage.written(spark)[:-1] if p not in earlier]
+        if spent:
+            storage.release(spark, *spent)
         docs = common.stored(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs

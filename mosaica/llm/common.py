@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
-import gc
 import tempfile
-import uuid
-import weakref
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -15,11 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import storage
+from ..sources.storage import new_path
+
 #: Bytes that separate words in the white-space word contracts: blank and \t \n \v \f \r.
 _SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
 
-_written: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
-
 
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once a context, so that their workers can import it wherever they start."""
@@ -40,54 +37,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one where it is unset."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        return conf.rstrip("/")
-    made = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if made.isDefined():
-        return made.get().rstrip("/")
-    own = f"file://{tempfile.mkdtemp(prefix='mosaica-')}"
-    spark.sparkContext.setCheckpointDir(own)
-    return own
-
-
-def new_path(spark: SparkSession, what: str) -> str:
-    path = f"{shared_dir(spark)}/mosaica/{what}-{uuid.uuid4().hex}"
-    _written.setdefault(spark, []).append(path)
-    return path
-
-
-def release(spark: SparkSession) -> None:
-    """Deletes the tables that this session's operators have written to the shared folder."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _written.pop(spark, []):
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
-
-
-@atexit.register
-def _release_all() -> None:
-    for spark in list(_written):
-        try:
-            if spark.sparkContext._jsc is not None:
-                release(spark)
-        except Exception:  # the JVM may have gone first; its folder then goes with the cluster
-            pass
-
-
-def stored(df: DataFrame, what: str, free: bool = False) -> DataFrame:
-    """Cuts lineage: writes df to the shared folder and reads it back, so a lost executor costs no recomputation.
-
-    free: asks the JVM to collect garbage then, so that Spark deletes the shuffle files that only df needed."""
-    path, spark, schema = new_path(df.sparkSession, what), df.sparkSession, df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    if free:
-        del df
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """Cuts lineage: writes df to the shared folder and reads it back, so a lost executor costs no recomputation."""
+    return storage.stored(df, what, "zstd")
 
 
 def from_files(df: DataFrame) -> bool:
@@ -124,3 +76,6 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordB
 def words(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` as UTF-8. bytes.split() splits at just these bytes."""
     return (text or "").encode("utf-8", "surrogatepass").split()
+
+
+__all__ = ["fresh", "from_files", "map_batches", "new_path", "only", "ship", "stored", "table", "words"]

@@ -140,7 +140,7 @@ def nodes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFram
 
     by_chunk = lambda df: df.groupBy("chunk")
     known = by_chunk(text).applyInArrow(count, "part int, chunk int, raw binary, n binary").groupBy("part").applyInArrow(total, "chunk int, part int, raw binary, n binary")
-    return common.stored(by_chunk(text).cogroup(by_chunk(known)).applyInArrow(post, NODES_SQL), "jaccard-nodes", free=True)
+    return common.stored(by_chunk(text).cogroup(by_chunk(known)).applyInArrow(post, NODES_SQL), "jaccard-nodes")
 
 
 def _alike(n1: str, own1: str, n2: str, own2: str, percent: int):
@@ -174,7 +174,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
     rows = heads.union(tails).repartition(F.col("a"), F.col("cut")).sortWithinPartitions("a", "cut", F.col("b").asc_nulls_first())
-    return common.stored(rows.mapInArrow(run, "a long, b long"), "jaccard-links", free=True)
+    return common.stored(rows.mapInArrow(run, "a long, b long"), "jaccard-links")
 
 
 def links(found: DataFrame, percent: int = PERCENT) -> DataFrame:
