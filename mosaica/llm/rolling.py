@@ -116,15 +116,15 @@ class Deal:
 
 
 # ---------------------------------------------------------------- chunks
-LEAST_CHUNK, MOST_CHUNK, MOST_PART = 1 << 17, 32_000_000, 64_000_000  # characters
+LEAST_CHUNK, MOST_CHUNK, MOST_PART = 1 << 17, 32_000_000, 32_000_000  # characters
 
 
 def sizes(chars: int) -> tuple[int, int]:
     """(chunks, parts) for so many characters.
 
     A chunk sends a row to each part, so rows grow with chunks times parts. Both sizes grow with the root of the text, so that
-    a row keeps carrying as many hashes, up to what a task can hold: 32 million characters a chunk (some 5 million words), 64
-    million a part. From there rows carry fewer: some 300 hashes at 1 TB, 30 at 10 TB, 3 at 100 TB."""
+    a row keeps carrying as many hashes, up to what a task can hold: 32 million characters (some 5 million words) in a chunk or
+    part. From there rows carry fewer: some 160 hashes at 1 TB, 16 at 10 TB, 2 at 100 TB."""
     root = max(1.0, float(chars)) ** 0.5
     chunk = min(MOST_CHUNK, max(LEAST_CHUNK, int(90 * root)))
     part = min(MOST_PART, max(1, int(360 * root)))
