@@ -192,7 +192,7 @@ def _geo_within(spark, sf_dir):
     return geo.within(df, F.col("lon"), F.col("lat"), (10.0, 50.0), 2_000_000.0).select("c_custkey")
 
 
-@build("geo_distance_join", None)
+@build("geo_distance_join", f"SELECT a.c_custkey AS a, b.c_custkey AS b FROM {_pts} a JOIN {_pts} b ON abs(a.lat - b.lat) < 3 AND 2 * 6371008.8 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) < 300000")
 def _geo_distance_join(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", ((F.col("c_custkey") * 37 % 360) - 180).cast("double").alias("lon"), ((F.col("c_custkey") * 17 % 170) - 85).cast("double").alias("lat"))
     return geo.distance_join(df.toDF("a", "alon", "alat"), df.toDF("b", "blon", "blat"), ("alon", "alat"), ("blon", "blat"), 300_000.0).select("a", "b")
