@@ -274,3 +274,32 @@ def test_whole_table(spark, sf, module, brute, find):
     for k, r in got.items():
         base = set(brute(next(x.text for x in docs_.where(f"doc_id = {k}").collect()) or "")) if r.spans and k % 20 == 0 else set()
         assert all(f"{a}:{b}:{c}" in r.spans for a, b, c in base)
+
+
+def test_all_spans_of_the_pii_query(spark, sf):
+    """Against each text read by itself, through all windows; on the table and on texts whose forms no pattern finds."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    rows += [(10**6 + i, " ".join(t for t, _ in pii.generate(3, 500 + i)[3])) for i in range(40)]
+    m, added = pii.trained(), 0
+    got = {r.doc_id: r for r in pii.find_pii(docs(spark, rows)).collect()}
+    for i, text in rows:
+        base = pii.base_spans(text or "")
+        more = [s for s in pii.model_spans([text or ""], m, pii.all_windows)[0] if not any(s[1] < b and a < s[2] for _, a, b in base)]
+        assert got[i].spans == joined(base + more, pii.KINDS) and got[i].n_added == len(more)
+        added += len(more)
+    assert added > 20
+
+
+def test_all_spans_of_the_secrets_query(spark, sf):
+    b64 = base64.b64encode(RSA).decode()
+    token = f"{part({'alg': 'HS256'})}.{part({'sub': 'x'})}.{part(b's' * 32)}"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    rows += [(10**6, f"a {b64} b {PKCS8.hex()} c"), (10**6 + 1, f"token={token}"), (10**6 + 2, armoured(b64))]
+    got = {r.doc_id: {tuple(x.rsplit(":", 2)) for x in r.spans.split(",") if x} for r in secrets.find_secrets(docs(spark, rows)).collect()}
+    for i, text in rows:
+        base = {(k, str(a), str(b)) for k, a, b in brute_secrets(text or "")}
+        assert base <= got[i]
+        if i < 10**6:
+            assert {(int(a), int(b)) for k, a, b in got[i] - base if k in ("der", "ssh")} == brute_structure(text or "")
+    kinds = lambda i: {k for k, _, _ in got[i]} - set(secrets.BASE_KINDS)
+    assert kinds(10**6) == {"der"} and kinds(10**6 + 1) == {"jwt"} and kinds(10**6 + 2) == {"pem"}

@@ -189,3 +189,13 @@ def test_components(spark, edges):
                 label[a] = label[b] = min(label[a], label[b])
     linked = {x for a, b in edges if a is not None and b is not None and a != b for x in (a, b)}
     assert got == {(x, label[x]) for x in linked}
+
+
+def test_many_equal_rows(spark):
+    """Thousands of rows that repeat id and text: all their words go, and they are one component."""
+    same, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    df = docs(spark, [(None if i % 3 else 5, same) for i in range(3000)] + [(7, other), (8, "short")])
+    got = Counter((r.doc_id, r.n_words, r.n_removed) for r in substrings.repeats(df).collect())
+    assert got == Counter({(None, 40, 40): 2000, (5, 40, 40): 1000, (7, 40, 0): 1, (8, 1, 0): 1})
+    found = Counter(tuple(r) for r in similarity.near_duplicates(df).select("doc_id", "n_shingles", "component_id").collect())
+    assert found == Counter({(None, 36, 5): 2000, (5, 36, 5): 1000, (7, 36, 7): 1, (8, 1, 8): 1})
