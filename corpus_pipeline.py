@@ -31,7 +31,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     kept = common.stored(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count(), "kept")
     once = kept.where("doc_id IS NOT NULL AND count = 1").select("doc_id")
     again = kept.where("doc_id IS NULL OR count > 1").select(F.col("doc_id").alias("_again"))
-    first = docs.join(once, "doc_id", "left_semi").select(*docs.columns)
+    first = docs.join(once.hint("merge"), "doc_id", "left_semi").select(*docs.columns)  # at every size: ids grow with the documents
     if again.isEmpty():
         return first
     rows = docs.join(again, docs["doc_id"].eqNullSafe(again["_again"]), "left_semi").select(*docs.columns)

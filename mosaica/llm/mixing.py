@@ -120,11 +120,14 @@ def _placed(docs: DataFrame, weights, block_chars: int, whole: bool) -> DataFram
     end = min((blocks // q[s] * period + slots[s, blocks % q[s]] for s in q if (blocks := max(1, -(-sizes[s] // block_chars)))), default=0)
 
     spark, names = docs.sparkSession, sorted(q)
-    letter = {s: chr(0x100 + i) for i, s in enumerate(names)}  # a source by one letter, so that a period is one text
-    one = spark.range(1)
-    source_rows = one.select(F.explode(F.array(*(F.struct(F.lit(s).alias("_source"), F.lit(letter[s]).alias("_letter"), F.lit(q[s]).alias("_q")) for s in names) or [F.struct(F.lit(None).cast("string").alias("_source"), F.lit("").alias("_letter"), F.lit(0).alias("_q"))])).alias("x")).select("x.*")
-    turns = one.select(F.posexplode(F.split(F.lit("".join(letter[s] for s, _ in plan)), "")).alias("_slot", "_letter")).where("_letter <> ''")
-    period_rows = turns.withColumn("_i", F.row_number().over(Window.partitionBy("_letter").orderBy("_slot")) - 1)  # MAX_PERIOD rows at most
+    turns: dict[str, list[str]] = {s: [] for s in names}
+    for t, (s, _) in enumerate(plan):
+        turns[s].append(str(t))
+    sources = [F.struct(F.lit(s).alias("_source"), F.lit(i).alias("_n"), F.lit(q[s]).alias("_q"), F.lit(" ".join(turns[s])).alias("_turns")) for i, s in enumerate(names)]
+    nobody = F.struct(F.lit(None).cast("string").alias("_source"), F.lit(-1).alias("_n"), F.lit(0).alias("_q"), F.lit("0").alias("_turns"))
+    known_sources = spark.range(1).select(F.explode(F.array(*(sources or [nobody]))).alias("x")).select("x.*")
+    source_rows = known_sources.drop("_turns")
+    period_rows = known_sources.select("_n", F.posexplode(F.split("_turns", " ")).alias("_i", "_slot")).withColumn("_slot", F.col("_slot").cast("int"))  # MAX_PERIOD rows at most
 
     coarse = F.substring("_bucket", 1, max(0, digits - 3))
     groups = buckets.groupBy("_source", coarse.alias("_group")).agg(F.sum("_chars").alias("_chars"))
@@ -136,7 +139,7 @@ def _placed(docs: DataFrame, weights, block_chars: int, whole: bool) -> DataFram
     started = keyed.withColumn("_local", F.sum("_size").over(inside) - F.col("_size")).join(offsets, ["_source", "_bucket"])
     blocked = started.withColumn("block", F.expr(f"(_offset + _local) div {block_chars}"))
     known = blocked.join(F.broadcast(source_rows), "_source", "left")
-    slotted = known.withColumn("_i", (F.col("block") % F.col("_q")).cast("int")).join(F.broadcast(period_rows), ["_letter", "_i"], "left")
+    slotted = known.withColumn("_i", (F.col("block") % F.col("_q")).cast("int")).join(F.broadcast(period_rows), ["_n", "_i"], "left")
     placed = slotted.select(
         "doc_id", F.col("_source").alias("source_name"), F.col("_size").alias("size"), "block",
         F.expr(f"block * {period} div _q").alias("release"), F.expr(f"((block + 1) * {period} + _q - 1) div _q").alias("deadline"),
@@ -170,7 +173,8 @@ def mix(docs: DataFrame, weights=None, **options) -> DataFrame:
     own, at = common.fresh("_taken", docs.columns), common.fresh("_at", docs.columns)
     places = plan_mix(docs, weights, **options).where("taken").groupBy(F.col("doc_id").alias(own)).agg(F.min("slot").alias(at))
     places = common.stored(places, "mix-places")  # a side of its own: only joins of plain exchanges have their skew split
-    placed = docs.join(places, docs["doc_id"].cast("long").eqNullSafe(places[own]))
+    # a merge join at every size: places grow with the documents, so there is no size at which to broadcast them
+    placed = docs.join(places.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(places[own]))
     order = (F.col(at), F.md5(F.col(own).cast("string")))
     return placed.repartitionByRange(*order).sortWithinPartitions(*order).select(*(f"`{c}`" for c in docs.columns))
 

@@ -208,8 +208,13 @@ def links(found: DataFrame, percent: int = PERCENT) -> DataFrame:
         else:
             rest = common.stored(labelled.join(open_lists.select("token"), "token", "left_semi"), "jaccard-rest")
             # Pairs of components in a list, as far as their most similar members could be linked; then their members
-            group = lambda i: rest.groupBy("token", F.col("root").alias(f"r{i}")).agg(F.min("n").alias(f"n{i}"), F.max("own").alias(f"own{i}"), F.count(F.lit(1)).alias(f"m{i}"))
-            across = group(1).join(group(2), "token").where(F.struct("m1", "r1") > F.struct("m2", "r2")).where(_alike("n1", "own1", "n2", "own2", percent)).select("token", "r1", "r2")
+            # The smaller set of a link has own * (100 + percent) >= 2 * n * percent, as _alike says; so a group without such a set meets
+            # those alone that have one. Texts that share a long passage, each with more of its own than a link allows, have none: a list
+            # of any number of them makes no pairs.
+            wide = F.max(F.col("own") * (100 + percent) - F.col("n") * 2 * percent) >= 0
+            group = lambda i: rest.groupBy("token", F.col("root").alias(f"r{i}")).agg(F.min("n").alias(f"n{i}"), F.max("own").alias(f"own{i}"), F.count(F.lit(1)).alias(f"m{i}"), wide.alias(f"wide{i}"))
+            once = (F.col("r1") != F.col("r2")) & (~F.col("wide2") | (F.struct("m1", "r1") > F.struct("m2", "r2")))
+            across = group(1).where("wide1").join(group(2), "token").where(once).where(_alike("n1", "own1", "n2", "own2", percent)).select("token", "r1", "r2")
             # A pair is taken from the list of its first common shingle alone, and only if it matches often enough. That list still
             # holds both: a closed one cannot, being of one component, and one that lost either to a star has had the pair tested.
             arrays = common.stored(one.select("node", "s.tokens", "s.levels").join(rest.select("node").distinct(), "node", "left_semi"), "jaccard-prefixes")
