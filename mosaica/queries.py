@@ -565,7 +565,7 @@ def _dump_restore(spark, sf_dir):
     return other.query("SELECT n_name, region.r_name AS region, ->lies->region AS of FROM nation FETCH region")
 
 
-@build("client_verbs", "SELECT * FROM (VALUES ('a', 1), ('b', 5), ('c', 9)) t(name, n)")
+@build("client_verbs", "SELECT name, CAST(n AS BIGINT) AS n FROM (VALUES ('a', 1), ('b', 5), ('c', 9)) t(name, n)")
 def _client_verbs(spark, sf_dir):
     c = Client(Session(spark))
     c.create("item:1", {"name": "a", "n": 1})
@@ -592,7 +592,7 @@ def _dbapi_cursor(spark, sf_dir):
     return spark.createDataFrame(cursor.fetchall(), "n_name string, n_nationkey int")
 
 
-@build("write_injection", "SELECT * FROM (VALUES ('a', 7), ('b', 7)) t(t, owner)")
+@build("write_injection", "SELECT t, CAST(owner AS BIGINT) AS owner FROM (VALUES ('a', 7), ('b', 7)) t(t, owner)")
 def _write_injection(spark, sf_dir):
     s = Session(spark)
     s.execute("CREATE DATA RULE own APPLY owner = 7")
@@ -600,7 +600,7 @@ def _write_injection(spark, sf_dir):
     return s.act_as().query("SELECT t, owner FROM note")
 
 
-@build("nested_set", "SELECT n_nationkey AS k, CASE WHEN n_regionkey = 1 THEN 5 ELSE n_nationkey END AS c, n_regionkey AS d FROM nation")
+@build("nested_set", "SELECT n_nationkey AS k, CAST(CASE WHEN n_regionkey = 1 THEN 5 ELSE n_nationkey END AS BIGINT) AS c, n_regionkey AS d FROM nation")
 def _nested_set(spark, sf_dir):
     s = owned(spark, sf_dir)
     made = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.concat(F.lit("obj:"), "n_nationkey").alias("id"), F.col("n_nationkey").alias("k"), F.struct(F.col("n_nationkey").alias("c"), F.col("n_regionkey").alias("d")).alias("b"))
@@ -615,7 +615,7 @@ def _set_coercion(spark, sf_dir):
     return s.query("SELECT n_name, n_nationkey FROM nation")
 
 
-@build("relate_hop", "SELECT n_name, CASE n_nationkey WHEN 1 THEN ['nation:2', 'nation:3'] WHEN 2 THEN ['nation:3'] ELSE [] :: VARCHAR[] END AS to, CASE WHEN n_nationkey = 3 THEN 2 WHEN n_nationkey = 2 THEN 1 ELSE 0 END AS came FROM nation")
+@build("relate_hop", "SELECT n_name, CASE n_nationkey WHEN 1 THEN ['nation:2', 'nation:3'] WHEN 2 THEN ['nation:3'] ELSE [] :: VARCHAR[] END AS to, CAST(CASE WHEN n_nationkey = 3 THEN 2 WHEN n_nationkey = 2 THEN 1 ELSE 0 END AS BIGINT) AS came FROM nation")
 def _relate_hop(spark, sf_dir):
     s = owned(spark, sf_dir)
     s.execute("RELATE nation:1->sells->nation:2 SET since = 2001; RELATE nation:1->sells->nation:3; RELATE nation:2->sells->nation:3")
@@ -627,7 +627,7 @@ def _return_before(spark, sf_dir):
     return owned(spark, sf_dir).execute("UPDATE nation SET n_nationkey = 0 WHERE region = 'region:1' RETURN BEFORE").select("n_name", "n_nationkey")
 
 
-@build("return_after", "SELECT n_name, n_nationkey + 100 AS a, n_nationkey + 200 AS b FROM nation WHERE n_regionkey = 1")
+@build("return_after", "SELECT n_name, CAST(n_nationkey + 100 AS BIGINT) AS a, CAST(n_nationkey + 200 AS BIGINT) AS b FROM nation WHERE n_regionkey = 1")
 def _return_after(spark, sf_dir):
     """AFTER, as which DIFF and expressions count too."""
     s = owned(spark, sf_dir)
@@ -636,7 +636,7 @@ def _return_after(spark, sf_dir):
     return a.join(b, "n_name")
 
 
-@build("event_trigger", "SELECT n_nationkey + 100 AS now, n_nationkey AS was, 'UPDATE' AS what FROM nation WHERE n_regionkey = 2")
+@build("event_trigger", "SELECT CAST(n_nationkey + 100 AS BIGINT) AS now, n_nationkey AS was, 'UPDATE' AS what FROM nation WHERE n_regionkey = 2")
 def _event_trigger(spark, sf_dir):
     s = owned(spark, sf_dir)
     s.execute("DEFINE EVENT e ON TABLE nation WHEN $event = 'UPDATE' THEN (CREATE log SET now = $after.n_nationkey, was = $before.n_nationkey, what = $event)")
@@ -651,7 +651,7 @@ def _insert_subquery(spark, sf_dir):
     return s.query("SELECT name FROM copy")
 
 
-@build("many_updates", "SELECT n_name, n_nationkey + 12 AS n FROM nation")
+@build("many_updates", "SELECT n_name, CAST(n_nationkey + 12 AS BIGINT) AS n FROM nation")
 def _many_updates(spark, sf_dir):
     s = owned(spark, sf_dir)
     for _ in range(12):
