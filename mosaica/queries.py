@@ -636,7 +636,7 @@ def _return_after(spark, sf_dir):
     return a.join(b, "n_name")
 
 
-@build("event_trigger", "SELECT CAST(n_nationkey + 100 AS BIGINT) AS now, n_nationkey AS was, 'UPDATE' AS what FROM nation WHERE n_regionkey = 2")
+@build("event_trigger", "SELECT CAST(n_nationkey + 100 AS BIGINT) AS now, CAST(n_nationkey AS BIGINT) AS was, 'UPDATE' AS what FROM nation WHERE n_regionkey = 2")
 def _event_trigger(spark, sf_dir):
     s = owned(spark, sf_dir)
     s.execute("DEFINE EVENT e ON TABLE nation WHEN $event = 'UPDATE' THEN (CREATE log SET now = $after.n_nationkey, was = $before.n_nationkey, what = $event)")
