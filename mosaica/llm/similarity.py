@@ -13,7 +13,7 @@ the smaller of their l.
 3. Links are found in rounds. First every list's most central node is verified against the list (a star), twice; what these
    links join needs no further test, as only components are asked for. Then all pairs of nodes that still lie in different
    components and match l times are verified. So a group of many near copies costs about as many tests as it has members,
-   and no link between different texts is lost.
+   and no link between different texts is lost. Each round follows only the links it has found, between the components so far.
 4. Verification streams: a node's set is held while its partners' sets pass. Nodes of very many partners are cut up.
 """
 
@@ -177,8 +177,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return common.stored(rows.mapInArrow(run, "a long, b long"), "jaccard-links")
 
 
-def links(found: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) between nodes of ``nodes``: enough of them to join all nodes that any links join."""
+def linked(found: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(node, root) for all nodes of ``nodes`` that have links: root is the smallest node that they reach; stored."""
     every = found.where("not is_doc")
     sets = every.groupBy("node").agg(F.first("raw").alias("raw"))
     # A text that m chunks hold has counted m times for each of its shingles: those that count no more are its own alone.
@@ -190,7 +190,7 @@ def links(found: DataFrame, percent: int = PERCENT) -> DataFrame:
     posted = one.select("node", "s.n", "s.need", "lone", others.alias("others"), F.explode(F.arrays_zip("s.tokens", "s.levels", "s.rare")).alias("t"))
     own = F.when(F.col("t.rare"), F.col("n") - F.col("lone")).otherwise(F.col("others"))
     postings = common.stored(posted.select(F.col("t.tokens").alias("token"), "node", "n", "need", "lone", F.col("t.levels").alias("level"), F.col("t.rare").alias("rare"), own.alias("own")), "jaccard-postings")
-    roots, parts = None, []
+    roots = None
     for step in range(STARS + 1):
         # Postings of lists that still hold several components
         labelled = postings.withColumn("root", F.col("node")) if roots is None else postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -225,13 +225,8 @@ def links(found: DataFrame, percent: int = PERCENT) -> DataFrame:
             shared = F.array_intersect(within("a"), within("b"))
             met = across.join(side(2, "b"), ["token", "r2"]).join(side(1, "a"), ["token", "r1"])  # the smaller one is spread first
             pairs = met.where(_alike("an", "aown", "bn", "bown", percent) & (F.size(shared) >= need) & (F.get(shared, F.lit(0)) == F.col("token"))).select("a", "b")
-        parts.append(verified(common.stored(pairs, "jaccard-pairs"), sets, percent))
-        all_links = parts[0]
-        for p in parts[1:]:
-            all_links = all_links.union(p)
-        if step < STARS:
-            roots = components(all_links)
-    return all_links
+        roots = components(verified(common.stored(pairs, "jaccard-pairs"), sets, percent), known=roots)
+    return roots
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -241,7 +236,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     are no component_id unless all of a component are null. Rows that repeat a doc_id are documents of their own. Extra columns
     are ignored; an empty table gives no rows."""
     found = nodes(docs, k, percent)
-    roots = components(links(found, percent))
+    roots = linked(found, percent)
     rows = found.where("is_doc").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "node")
     some = rows.where("node IS NOT NULL").join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root"))
     least = common.stored(some.groupBy("root").agg(F.min("doc_id").alias("component_id")), "jaccard-least")  # lets the join's skew be split

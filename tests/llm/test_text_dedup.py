@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 
 from mosaica.llm import common, rolling, similarity, substrings
 from mosaica.llm.components import components
+from mosaica.sources import storage
 
 from ..oracle import compare, connect
 from .helpers import awkward, docs, key
@@ -191,6 +192,30 @@ def test_components(spark, edges):
     assert got == {(x, label[x]) for x in linked}
 
 
+def test_components_of_links_that_come_later(spark):
+    r = random.Random(3)
+    edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(k + 100, k + 101) for k in range(20)]
+    r.shuffle(edges)
+    table = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    known = None
+    for some in (edges[:30], [], edges[30:50], edges[:10], edges[50:]):
+        known = components(table(some), known=known)
+    got = [tuple(x) for x in known.collect()]
+    assert sorted(got) == sorted(tuple(x) for x in components(table(edges)).collect())
+    assert len(got) == len({x for a, b in edges if a != b for x in (a, b)})
+
+
+def test_links_of_earlier_rounds_are_not_followed_again(spark):
+    """The driver holds plans, threads and compiled code for each statement, so their number is kept down."""
+    r = random.Random(5)
+    base = [[f"w{r.randrange(10**6)}" for _ in range(100)] for _ in range(6)]
+    rows = [(10 * k + i, edited(r, words, 2)) for k, words in enumerate(base) for i in range(8)]
+    before = set(storage.written(spark))
+    got = sorted((tuple(x) for x in similarity.near_duplicates(docs(spark, rows)).collect()), key=key)
+    assert got == brute_components(rows)
+    assert len([p for p in storage.written(spark) if p not in before]) <= 28
+
+
 def test_many_equal_rows(spark):
     """Thousands of rows that repeat id and text: all their words go, and they are one component."""
     same, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
